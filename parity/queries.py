@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from parity.tables import Tables, plain, tables
 from tillroll.functions.bands import CLOSENESS, LOWEST_CLOSENESS
 from tillroll.operators import (basket, cancel, classify, cluster, evaluation, features, keywords,
                                 lines, metrics, outlier, product, score)
-from tillroll.plans import segments
+from tillroll.operators.smote import smote
+from tillroll.plans import period, segments
 from tillroll.schema import FEATURES, LINE_COLUMNS
+from tillroll.session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 CATEGORIES = [f"categ_{i}" for i in range(5)]
@@ -193,7 +197,6 @@ def segment_names(t: Tables) -> DataFrame:
 
 @query
 def single_cluster_cost(t: Tables) -> DataFrame:
-    from pyspark.ml.functions import array_to_vector
     vectors = t.points.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
     return t.spark.createDataFrame([(1, cluster.single_cluster_cost(vectors))], "k int, wcss double")
 
@@ -207,6 +210,72 @@ simple("accuracy", lambda t: evaluation.accuracy(t.placed))
 simple("class_balance", lambda t: lines.value_counts(t.source("labels").select("quality"), "quality"))
 
 
+# models: no SQL says what a fit must give, so these have no statement
+simple("product_vectors", lambda t: _vectors(t.product_vectors, "Description"))
+simple("product_cluster_sweep", lambda t: cluster.kmeans_sweep(t.product_vectors))
+simple("product_components", lambda t: features.fit_components(t.product_vectors).explained(t.spark))
+simple("product_projection", lambda t: _vectors(
+    features.fit_components(t.product_vectors, _at_most(t.product_vectors, 50)).transform(t.product_vectors),
+    "Description", "pca"))
+simple("feature_vectors", lambda t: _vectors(features.assemble(t.features), "CustomerID", "raw_features"))
+simple("standardised_features", lambda t: _vectors(t.scaled, "CustomerID"))
+simple("customer_components", lambda t: features.fit_components(t.scaled).explained(t.spark))
+simple("customer_projection", lambda t: _vectors(
+    features.fit_components(t.scaled, 2).transform(t.scaled), "CustomerID", "pca"))
+simple("customer_cluster_sweep", lambda t: cluster.kmeans_sweep(t.scaled))
+simple("hierarchical_sweep", lambda t: cluster.hierarchical_sweep(t.scaled))
+simple("customer_clusters", lambda t: t.labelled.select("CustomerID", "label"))
+simple("hierarchical_clusters", lambda t: cluster.fit_hierarchical(t.scaled).transform(t.scaled).select(
+    "CustomerID", "cluster"))
+simple("customer_silhouettes", lambda t: cluster.silhouettes(t.labelled, cluster="label").drop("features"))
+simple("balanced_classes", lambda t: smote(t.labelled).groupBy("label", "synthetic").agg(F.count("*").alias("n")))
+simple("linear_svm", lambda t: _predictions(t, classify.fit_svm))
+simple("linear_svm_pairwise", lambda t: _predictions(t, classify.fit_pairwise_svm))
+simple("adaboost", lambda t: _predictions(t, classify.fit_adaboost))
+simple("decision_tree_gini", lambda t: _predictions(t, lambda df: classify.fit_tree(df, "gini")))
+simple("decision_tree_entropy", lambda t: _predictions(t, classify.fit_tree))
+simple("random_forest", lambda t: _predictions(t, classify.fit_forest))
+simple("model_comparison", lambda t: classify.compare(*t.learning)[0])
+
+
+def _vectors(df: DataFrame, key: str, column: str = "features") -> DataFrame:
+    return df.select(key, F.transform(vector_to_array(column), lambda v: F.round(v, 4)).alias(column))
+
+
+def _at_most(vectors: DataFrame, k: int) -> int:
+    """Components asked for, or as many as the vectors have entries."""
+    return min(k, vectors.select(F.size(vector_to_array("features")).alias("n")).first().n)
+
+
+def _predictions(t: Tables, fit: classify.Fitter) -> DataFrame:
+    train, test = t.learning
+    return fit(train).transform(test).select("CustomerID", "label", "prediction")
+
+
+@query
+def product_clusters(t: Tables) -> DataFrame:
+    """Five product groups: the cheapest of 30 fits."""
+    model, _ = cluster.fit_until_separated(t.product_vectors, 5)
+    return model.transform(t.product_vectors).select("Description", "cluster")
+
+
+@query
+def random_split(t: Tables) -> DataFrame:
+    train, test = features.split_by_id(t.metrics, "CustomerID")
+    return (train.select("CustomerID", F.lit("train").alias("part"))
+            .unionByName(test.select("CustomerID", F.lit("test").alias("part"))))
+
+
+@query
+def later_period(t: Tables) -> DataFrame:
+    """Models fitted on the first period, stored, loaded and applied to the later one."""
+    fitted = period.fit_period(t.train, models={"svm": classify.fit_svm})
+    path = f"{shared_folder(t.spark)}/tillroll/models-{uuid.uuid4().hex}"
+    fitted.save(path)
+    products, segmenter, svm = period.load_models(t.spark, path, "svm")
+    return period.score_period(t.later, products, segmenter, svm, on_ties="drop")
+
+
 def registered() -> dict[str, Query]:
     def bind(build: Callable[[Tables], DataFrame]) -> Query:
         return lambda spark, folder: plain(build(tables(spark, folder)))

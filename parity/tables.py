@@ -8,6 +8,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tillroll.operators import basket, cancel, cluster, features, keywords, lines, metrics, product
+from tillroll.operators.smote import smote
 from tillroll.plans import segments
 from tillroll.session import materialize
 from tillroll.sources.invoices import from_star_schema
@@ -102,12 +103,26 @@ class Tables:
 
     @cached_property
     def scaled(self) -> DataFrame:
-        return materialize(features.fit_scaling(self.features).transform(self.features), "scaled")
+        table = self.features.drop("cluster")
+        return materialize(features.fit_scaling(table).transform(table), "scaled")
 
     @cached_property
     def product_vectors(self) -> DataFrame:
         words = [r.keyword for r in self.useful.orderBy(F.desc("n"), "keyword").collect()]
-        return materialize(product.product_vectors(self.banded, self.hits, words), "products")
+        marks = product.product_marks(self.banded, self.hits)
+        return materialize(product.product_encoder(words).transform(marks).drop("marks"), "products")
+
+    @cached_property
+    def labelled(self) -> DataFrame:
+        """Customers with the label their k-means cluster gives them."""
+        model = cluster.fit_kmeans(self.scaled, 3, restarts=10)
+        found = model.transform(self.scaled).withColumn("label", F.col("cluster").cast("double"))
+        return materialize(found.select("CustomerID", "label", "features"), "labelled")
+
+    @cached_property
+    def learning(self) -> tuple[DataFrame, DataFrame]:
+        train, test = features.split_by_id(self.labelled, "CustomerID")
+        return materialize(smote(train), "train"), materialize(test, "test")
 
     @cached_property
     def points(self) -> DataFrame:

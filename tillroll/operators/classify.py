@@ -5,23 +5,26 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Callable
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
+from itertools import combinations
 
 from pyspark.ml.classification import (DecisionTreeClassifier, LinearSVC, OneVsRest,
                                        RandomForestClassifier)
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tillroll.operators.cluster import FITS_AT_ONCE, side_by_side
 from tillroll.operators.evaluation import accuracy
 
+TOLERANCE = 1e-3
 Fitter = Callable[[DataFrame], object]
 
 
 def fit_svm(train: DataFrame, c: float = 3.0) -> object:
     """Linear SVM, one class against the rest. The penalty C weighs the sum of losses, Spark's
     parameter the regulariser against the mean loss, hence 1 / (C n)."""
-    svm = LinearSVC(regParam=1.0 / (c * train.count()), featuresCol="features")
-    return OneVsRest(classifier=svm, labelCol="label").fit(train)
+    svm = LinearSVC(regParam=1.0 / (c * train.count()), tol=TOLERANCE)
+    return OneVsRest(classifier=svm, labelCol="label", parallelism=FITS_AT_ONCE).fit(train)
 
 
 @dataclass(frozen=True)
@@ -52,14 +55,14 @@ def _first_best(totals: dict[int, Column]) -> Column:
 
 def fit_pairwise_svm(train: DataFrame, c: float = 3.0) -> PairwiseSvm:
     classes = sorted(int(r.label) for r in train.select("label").distinct().collect())
-    planes = []
-    for i, a in enumerate(classes):
-        for b in classes[i + 1:]:
-            pair = train.where(F.col("label").isin(a, b)).withColumn(
-                "side", (F.col("label") == b).cast("double"))
-            model = LinearSVC(regParam=1.0 / (c * pair.count()), labelCol="side").fit(pair)
-            planes.append((a, b, [float(v) for v in model.coefficients], float(model.intercept)))
-    return PairwiseSvm(planes)
+
+    def plane(pair: tuple[int, int]) -> tuple[int, int, list[float], float]:
+        a, b = pair
+        rows = train.where(F.col("label").isin(a, b)).withColumn("side", (F.col("label") == b).cast("double"))
+        model = LinearSVC(regParam=1.0 / (c * rows.count()), tol=TOLERANCE, labelCol="side").fit(rows)
+        return a, b, [float(v) for v in model.coefficients], float(model.intercept)
+
+    return PairwiseSvm(side_by_side(plane, list(combinations(classes, 2))))
 
 
 @dataclass(frozen=True)
@@ -71,8 +74,6 @@ class Stump:
     weight: float
 
     def says(self, x: Column) -> Column:
-        if self.feature < 0:
-            return F.lit(self.left)
         return F.when(x[self.feature] <= self.threshold, self.left).otherwise(self.right)
 
 
@@ -100,42 +101,56 @@ class BoostedStumps:
         return BoostedStumps(state["classes"], [Stump(**s) for s in state["stumps"]])
 
 
-def _read_stump(model, weight: float) -> Stump:
-    node = model._java_obj.rootNode()
-    if node.subtreeDepth() == 0:
-        said = int(node.prediction())
-        return Stump(-1, 0.0, said, said, weight)
-    split = node.split()
-    return Stump(split.featureIndex(), split.threshold(), int(node.leftChild().prediction()),
-                 int(node.rightChild().prediction()), weight)
-
-
-def fit_adaboost(train: DataFrame, rounds: int = 50, seed: int = 0) -> BoostedStumps:
+def _best_stump(cells: list, edges: list[list[float]], classes: list[int]) -> tuple[Stump, float]:
+    """The split with the least weighted error among the counted cells, and that error."""
+    best, least = None, math.inf
+    total = {c: sum(r.weight for r in cells if r.feature == 0 and r.label == c) for c in classes}
+    for j, cuts in enumerate(edges):
+        at = {(r.bin, r.label): r.weight for r in cells if r.feature == j}
+        left = dict.fromkeys(classes, 0.0)
+        for i, cut in enumerate(cuts):
+            for c in classes:
+                left[c] += at.get((i, c), 0.0)
+            right = {c: total[c] - left[c] for c in classes}
+            low, high = max(classes, key=left.get), max(classes, key=right.get)
+            error = sum(total.values()) - left[low] - right[high]
+            if error < least:
+                best, least = Stump(j, cut, low, high, 0.0), error
+    return best, least / sum(total.values())
+
+
+def fit_adaboost(train: DataFrame, rounds: int = 50, bins: int = 32) -> BoostedStumps:
     """Multi-class boosting (SAMME) of depth-1 trees.
 
-    The weight of a row is an expression over the stumps so far, computed from the stored
-    table, so the lineage does not grow with the rounds.
+    Features are binned once at approximate quantiles, as Spark's own trees do. A round is
+    one aggregate, the weight per feature, bin and class. Row weights are an expression
+    over the stumps so far, so the lineage does not grow with the rounds.
     """
     classes = sorted(int(r.label) for r in train.select("label").distinct().collect())
-    table = train.select("label", "features").withColumn("x", vector_to_array("features")).persist()
+    table = train.select(F.col("label").cast("int").alias("label"), vector_to_array("features").alias("x"))
+    size = table.select(F.size("x").alias("n")).first().n
+    wide = table.select(*[F.col("x")[j].alias(f"x{j}") for j in range(size)])
+    found = wide.approxQuantile(wide.columns, [i / bins for i in range(1, bins)], 1 / (8 * bins))
+    edges = [sorted(set(q)) for q in found]
+
+    def bin_of(j: int) -> Column:
+        return F.size(F.filter(F.array(*[F.lit(v) for v in edges[j]]), lambda v: v < F.col("x")[j]))
+
+    table = table.withColumn("bins", F.array(*[bin_of(j) for j in range(size)])).persist()
     stumps: list[Stump] = []
     log_weight = F.lit(0.0)
-    for i in range(rounds):
-        weighted = table.withColumn("weight", F.exp(log_weight))
-        tree = DecisionTreeClassifier(maxDepth=1, weightCol="weight", seed=seed + i).fit(weighted)
-        stump = _read_stump(tree, 0.0)
-        wrong = stump.says(F.col("x")) != F.col("label")
-        row = weighted.agg(F.sum("weight").alias("total"),
-                           F.sum(F.when(wrong, F.col("weight")).otherwise(0.0)).alias("wrong")).first()
-        error = row.wrong / row.total
+    for _ in range(rounds):
+        cells = (table.select("label", F.exp(log_weight).alias("weight"),
+                              F.posexplode("bins").alias("feature", "bin"))
+                 .groupBy("feature", "bin", "label").agg(F.sum("weight").alias("weight")).collect())
+        stump, error = _best_stump(cells, edges, classes)
         if error >= 1 - 1 / len(classes):
             break
+        alpha = math.log((1 - error) / error) + math.log(len(classes) - 1) if error > 0 else 1.0
+        stumps.append(replace(stump, weight=alpha))
         if error <= 0:
-            stumps.append(Stump(stump.feature, stump.threshold, stump.left, stump.right, 1.0))
             break
-        alpha = math.log((1 - error) / error) + math.log(len(classes) - 1)
-        stumps.append(Stump(stump.feature, stump.threshold, stump.left, stump.right, alpha))
-        log_weight = log_weight + F.when(wrong, alpha).otherwise(0.0)
+        log_weight = log_weight + F.when(stump.says(F.col("x")) != F.col("label"), alpha).otherwise(0.0)
     table.unpersist()
     return BoostedStumps(classes, stumps)
 

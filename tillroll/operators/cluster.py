@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import BisectingKMeans, KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import vector_to_array
@@ -11,6 +15,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 SEGMENT_NAMES = ["bronze", "silver", "gold"]  # fixed values, by rising spend
 
 
+FITS_AT_ONCE = 4
+
+
+def side_by_side(fit: Callable, items: Iterable) -> list:
+    """Results of independent fits, a few of them in the cluster at a time."""
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        return list(pool.map(inheritable_thread_target(fit), items))
+
+
 def _summary(table: DataFrame, column: str = "features"):
     row = table.agg(F.count(column).alias("n"), Summarizer.mean(F.col(column)).alias("mean"),
                     Summarizer.variance(F.col(column)).alias("variance")).first()
@@ -26,12 +39,10 @@ def single_cluster_cost(table: DataFrame, column: str = "features") -> float:
 def fit_kmeans(table: DataFrame, k: int, restarts: int = 1, seed: int = 1,
                column: str = "features") -> KMeansModel:
     """Cheapest of ``restarts`` fits with consecutive seeds."""
-    best = None
-    for s in range(seed, seed + restarts):
-        model = KMeans(k=k, seed=s, featuresCol=column, predictionCol="cluster").fit(table)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
-    return best
+    fits = side_by_side(
+        lambda s: KMeans(k=k, seed=s, featuresCol=column, predictionCol="cluster").fit(table),
+        range(seed, seed + restarts))
+    return min(fits, key=lambda model: model.summary.trainingCost)
 
 
 def mean_silhouette(clustered: DataFrame, column: str = "features", cluster: str = "cluster") -> float:
@@ -56,11 +67,15 @@ def fit_until_separated(table: DataFrame, k: int, restarts: int = 30, least: flo
 
 def _sweep(table: DataFrame, ks, fit, column: str, with_one: bool) -> DataFrame:
     table = table.persist()
-    rows = [(1, single_cluster_cost(table, column), None)] if with_one else []
-    for k in ks:
+    table.count()
+
+    def measure(k: int) -> tuple:
         model = fit(k)
-        clustered = model.transform(table)
-        rows.append((k, float(model.summary.trainingCost), float(mean_silhouette(clustered, column))))
+        return (k, float(model.summary.trainingCost),
+                float(mean_silhouette(model.transform(table), column)))
+
+    rows = [(1, single_cluster_cost(table, column), None)] if with_one else []
+    rows += side_by_side(measure, ks)
     table.unpersist()
     return table.sparkSession.createDataFrame(rows, "k int, wcss double, silhouette double")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import PCA, PCAModel, StandardScaler, VectorAssembler
+from pyspark.ml.feature import PCA, PCAModel, SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -39,6 +39,14 @@ class Scaling:
         complete = table.na.drop(subset=self.columns)
         return complete.withColumn("features", array_to_vector(F.array(*scaled)))
 
+    def stages(self) -> list:
+        """The same as pipeline stages, to be stored with the models that need it."""
+        scaled = [f"scaled_{i}" for i in range(len(self.columns))]
+        terms = ", ".join(f"(`{c}` - {m!r}D) / {(s or 1.0)!r}D AS {name}" for c, m, s, name in
+                          zip(self.columns, self.means, self.deviations, scaled))
+        return [SQLTransformer(statement=f"SELECT *, {terms} FROM __THIS__"),
+                VectorAssembler(inputCols=scaled, outputCol="features", handleInvalid="skip")]
+
     def report(self, table: DataFrame) -> DataFrame:
         return table.sparkSession.createDataFrame(
             list(zip(self.columns, self.means, self.deviations)), "feature string, mean double, std double")

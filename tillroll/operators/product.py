@@ -33,18 +33,22 @@ def band_counts(banded: DataFrame) -> DataFrame:
     return one_row.select(F.inline(cells))
 
 
-def product_vectors(banded: DataFrame, hits: DataFrame, keywords: list[str]) -> DataFrame:
-    """Sparse 0/1 vector per product: its keywords, then its price band.
+def product_marks(banded: DataFrame, hits: DataFrame) -> DataFrame:
+    """Keywords and price band of each product as one array ``marks``.
 
-    A product collects at most the given keywords, so its array is bounded by them.
+    A product has at most as many marks as there are keywords, plus one.
     """
     found = hits.groupBy("Description").agg(F.collect_set("keyword").alias("found"))
+    own = F.coalesce("found", F.array().cast("array<string>"))
+    return (banded.join(found, "Description", "left")
+            .select("Description", "band",
+                    F.concat(own, F.array(F.concat(F.lit("price "), "band"))).alias("marks")))
+
+
+def product_encoder(keywords: list[str]) -> CountVectorizerModel:
+    """Turns ``marks`` into a sparse 0/1 vector: keywords first, then price bands."""
     bands = [f"price {b}" for b in range_names(PRICE_BANDS, open_end=True)]
-    marked = (banded.join(found, "Description", "left")
-              .withColumn("marks", F.concat(F.coalesce("found", F.array().cast("array<string>")),
-                                            F.array(F.concat(F.lit("price "), F.col("band"))))))
-    encoder = CountVectorizerModel.from_vocabulary([*keywords, *bands], "marks", "features")
-    return encoder.setBinary(True).transform(marked).select("Description", "band", "features")
+    return CountVectorizerModel.from_vocabulary([*keywords, *bands], "marks", "features").setBinary(True)
 
 
 def with_product_cluster(lines: DataFrame, assigned: DataFrame) -> DataFrame:

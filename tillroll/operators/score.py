@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tillroll.functions.bands import closeness, level
@@ -53,15 +55,32 @@ def join_length(rfm_table: DataFrame, length_table: DataFrame) -> DataFrame:
     return rfm_table.join(length_table.select("CustomerID", "Lenght"), "CustomerID", "left")
 
 
-def score_customers(combined: DataFrame, on_ties: str = "raise") -> DataFrame:
-    """R, F, M, L and everything derived from them. ``combined`` is read several times."""
-    scored = combined.withColumns({
-        "R": quartile_by_value(combined, "Recency", DESCENDING, on_ties),
-        "F": quartile_by_rank(combined, "Frequency"),
-        "M": quartile_by_value(combined, "MonetaryValue", ASCENDING, on_ties),
-        "L": quartile_by_rank(combined, "Lenght"),
-    })
-    return with_labels(scored)
+@dataclass(frozen=True)
+class ScoreRules:
+    """Edges and cuts of the four scores; those of one window can score another."""
+
+    recency: list[float]
+    monetary: list[float]
+    frequency: list[tuple]
+    length: list[tuple]
+
+
+def fit_rules(combined: DataFrame, on_ties: str = "raise") -> ScoreRules:
+    """``combined`` is read several times."""
+    return ScoreRules(value_edges(combined, "Recency", on_ties=on_ties),
+                      value_edges(combined, "MonetaryValue", on_ties=on_ties),
+                      rank_cuts(combined, "Frequency", "CustomerID"),
+                      rank_cuts(combined, "Lenght", "CustomerID"))
+
+
+def score_customers(combined: DataFrame, rules: ScoreRules) -> DataFrame:
+    """R, F, M, L and everything derived from them."""
+    return with_labels(combined.withColumns({
+        "R": score_by_edges("Recency", rules.recency, DESCENDING),
+        "F": score_by_cuts("Frequency", "CustomerID", rules.frequency),
+        "M": score_by_edges("MonetaryValue", rules.monetary, ASCENDING),
+        "L": score_by_cuts("Lenght", "CustomerID", rules.length),
+    }))
 
 
 def with_labels(scored: DataFrame) -> DataFrame:

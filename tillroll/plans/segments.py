@@ -12,8 +12,8 @@ def clean_lines(raw: DataFrame) -> DataFrame:
     return line_ops.deduplicate(line_ops.drop_without_customer(raw))
 
 
-def segment_customers(metric_table: DataFrame, factor: float = 2, on_ties: str = "raise") -> DataFrame:
-    """Scored customers from stored metrics: outliers out, quartiles, labels.
+def combine_metrics(metric_table: DataFrame, factor: float = 2) -> DataFrame:
+    """RFM and length of one window without outliers, stored.
 
     The length table is filtered on all of its columns (CustomerID too), the RFM table on
     its three metrics; customers only the first filter dropped keep a null Lenght.
@@ -21,8 +21,14 @@ def segment_customers(metric_table: DataFrame, factor: float = 2, on_ties: str =
     kept_rfm = outlier.remove_outliers_iqr(metrics.rfm(metric_table),
                                            ["Recency", "Frequency", "MonetaryValue"], factor)
     kept_length = outlier.remove_outliers_iqr(metrics.length(metric_table), factor=factor)
-    combined = materialize(score.join_length(kept_rfm, kept_length), "combined")
-    return score.score_customers(combined, on_ties)
+    return materialize(score.join_length(kept_rfm, kept_length), "combined")
+
+
+def segment_customers(metric_table: DataFrame, factor: float = 2, on_ties: str = "raise",
+                      rules: score.ScoreRules | None = None) -> DataFrame:
+    """Scored customers from stored metrics: outliers out, quartiles, labels."""
+    combined = combine_metrics(metric_table, factor)
+    return score.score_customers(combined, rules or score.fit_rules(combined, on_ties))
 
 
 def segments(lines: DataFrame, factor: float = 2, on_ties: str = "raise") -> DataFrame:
