@@ -158,7 +158,8 @@ def forget() -> None:
 def _plain(field: T.StructField) -> Column:
     c, kind = F.col(f"`{field.name}`"), field.dataType
     if isinstance(kind, (T.TimestampNTZType, T.TimestampType)):
-        c = F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+        shown = c.cast("string")
+        c = F.rpad(F.when(F.length(shown) == 19, F.concat(shown, F.lit("."))).otherwise(shown), 26, "0")
     elif isinstance(kind, T.DateType):
         c = c.cast("string")
     elif isinstance(kind, (T.DecimalType, T.DoubleType, T.FloatType)):

@@ -30,6 +30,7 @@ from tillroll.schema import line_key
 from tillroll.session import materialize
 
 KEY = ["CustomerID", "StockCode"]
+MICROS_PER_HOUR = 3_600_000_000
 
 
 def is_discount() -> Column:
@@ -76,19 +77,19 @@ def _groups_from(quantity: Column) -> Column:
                                                larger_siblings)))
 
 
-def _before(entries: DataFrame, probes: DataFrame, keys: list[str], chunk: str) -> DataFrame:
+def _before(entries: DataFrame, probes: DataFrame, keys: list[str], chunk_hours: int) -> DataFrame:
     """Probes with ``n`` and ``last``: count and greatest line of the entries with the same
     keys and an earlier ``at``. ``entries``: keys, at, n, last; ``probes``: keys, at, need, ..."""
-    start = F.coalesce(F.date_trunc(chunk, "at").cast("timestamp_ntz"),
-                       F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
-    both = entries.unionByName(probes, allowMissingColumns=True).withColumn("chunk", start)
+    micros = to_micros(F.col("at"))
+    both = (entries.unionByName(probes, allowMissingColumns=True)
+            .withColumn("chunk", F.coalesce(F.floor(micros / (chunk_hours * MICROS_PER_HOUR)), F.lit(0))))
     per_chunk = both.groupBy(*keys, "chunk").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
     earlier_chunks = Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     carried = per_chunk.select(*keys, "chunk", F.sum("n").over(earlier_chunks).alias("n_carried"),
                                F.max("last").over(earlier_chunks).alias("last_carried"))
     earlier = (Window.partitionBy(*keys, "chunk").orderBy("micros")
                .rangeBetween(Window.unboundedPreceding, -1))
-    inside = (both.withColumn("micros", to_micros(F.col("at")))
+    inside = (both.withColumn("micros", micros)
               .select(*probes.columns, "chunk", F.sum("n").over(earlier).alias("n_inside"),
                       F.max("last").over(earlier).alias("last_inside"))
               .where("need is not null"))
@@ -99,12 +100,12 @@ def _before(entries: DataFrame, probes: DataFrame, keys: list[str], chunk: str)
                     F.greatest("last_inside", "last_carried").alias("last")))
 
 
-def match_cancels(lines: DataFrame, chunk: str = "hour") -> DataFrame:
+def match_cancels(lines: DataFrame, chunk_hours: int = 1) -> DataFrame:
     """One row per distinct (customer, stock code, time, quantity) of the cancels.
 
     Columns: the key, ``at``, ``need`` (units given back), ``n_lines`` (cancel lines
     behind the row), ``n_candidates``, ``status`` and ``order_line``. ``lines`` must be
-    free of duplicates and is read several times. ``chunk`` is a ``date_trunc`` unit.
+    free of duplicates and is read several times.
     """
     lines = lines.na.drop(subset=[*KEY, "InvoiceDate"])
     at, line = F.col("InvoiceDate").alias("at"), line_key(lines).alias("line")
@@ -117,14 +118,14 @@ def match_cancels(lines: DataFrame, chunk: str = "hour") -> DataFrame:
         return table.groupBy(*keys, "at").agg(F.count("*").alias("n"), F.max("line").alias("last"))
 
     entries = purchases.join(cancels.select(*KEY).distinct(), KEY, "left_semi").select(*KEY, at, line)
-    seen = materialize(_before(latest(entries, KEY), cancels, KEY, chunk), "cancels")
+    seen = materialize(_before(latest(entries, KEY), cancels, KEY, chunk_hours), "cancels")
 
     too_small = (F.col("n") > 1) & (F.col("last.Quantity") < F.col("need"))
     open_cancels = seen.where(too_small)
     grouped = (purchases.join(open_cancels.select(*KEY).distinct(), KEY, "left_semi")
                .select(*KEY, at, line, F.explode(_groups_of(F.col("Quantity"))).alias("units")))
     asked = open_cancels.select(*KEY, "at", "need", F.explode(_groups_from(F.col("need"))).alias("units"))
-    larger = (_before(latest(grouped, [*KEY, "units"]), asked, [*KEY, "units"], chunk)
+    larger = (_before(latest(grouped, [*KEY, "units"]), asked, [*KEY, "units"], chunk_hours)
               .groupBy(*KEY, "at", "need").agg(F.max("last").alias("larger")))
     order_line = F.when(too_small, F.col("larger")).otherwise(F.col("last"))
     return (seen.join(larger, [*KEY, "at", "need"], "left")

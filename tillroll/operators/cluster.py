@@ -10,7 +10,7 @@ from pyspark.ml.clustering import BisectingKMeans, KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 SEGMENT_NAMES = ["bronze", "silver", "gold"]  # fixed values, by rising spend
 
@@ -21,7 +21,7 @@ FITS_AT_ONCE = 4
 def side_by_side(fit: Callable, items: Iterable) -> list:
     """Results of independent fits, a few of them in the cluster at a time."""
     with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
-        return list(pool.map(inheritable_thread_target(fit), items))
+        return list(pool.map(inheritable_thread_target(SparkSession.active())(fit), items))
 
 
 def _summary(table: DataFrame, column: str = "features"):
