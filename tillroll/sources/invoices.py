@@ -36,6 +36,16 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return table.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in INVOICE_LINES])
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """Rows dealt out to all cores if the scan has fewer splits than there are cores.
+
+    A small file with one row group is one task, and so would be everything that Spark
+    fuses with its scan. Large tables have splits enough and stay as they are.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def from_star_schema(spark: SparkSession, folder: str) -> DataFrame:
     """Invoice lines derived from lineitem, orders, part, customer and nation.
 
@@ -49,8 +59,10 @@ def from_star_schema(spark: SparkSession, folder: str) -> DataFrame:
     twice = (F.col("l_linenumber") == 7) & (F.col("l_suppkey") % 2 == 0)
     retail_cents = F.round(F.col("p_retailprice") * 100).cast("bigint")
     price = F.floor((retail_cents * F.col("p_size") + 5000) / F.lit(10000))
+    sold = table("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+                                    "l_returnflag", "l_linestatus", "l_shipdate")
     joined = (
-        table("lineitem")
+        spread(sold)
         .join(table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(table("part"), F.col("l_partkey") == F.col("p_partkey"))
         .join(table("customer"), F.col("o_custkey") == F.col("c_custkey"))
