@@ -210,15 +210,23 @@ simple("accuracy", lambda t: evaluation.accuracy(t.placed))
 simple("class_balance", lambda t: lines.value_counts(t.source("labels").select("quality"), "quality"))
 
 
-# models: no SQL says what a fit must give, so these have no statement
 simple("product_vectors", lambda t: _vectors(t.product_vectors, "Description"))
+simple("feature_vectors", lambda t: _vectors(features.assemble(t.features), "CustomerID", "raw_features"))
+simple("standardised_features", lambda t: _vectors(t.scaled, "CustomerID"))
+
+
+@query
+def balanced_classes(t: Tables) -> DataFrame:
+    vectors = t.points.select("vec_id", "label", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    return smote(vectors, key="vec_id").groupBy("label", "synthetic").agg(F.count("*").alias("n"))
+
+
+# models: no SQL says what a fit must give, so these have no statement
 simple("product_cluster_sweep", lambda t: cluster.kmeans_sweep(t.product_vectors))
 simple("product_components", lambda t: features.fit_components(t.product_vectors).explained(t.spark))
 simple("product_projection", lambda t: _vectors(
     features.fit_components(t.product_vectors, _at_most(t.product_vectors, 50)).transform(t.product_vectors),
     "Description", "pca"))
-simple("feature_vectors", lambda t: _vectors(features.assemble(t.features), "CustomerID", "raw_features"))
-simple("standardised_features", lambda t: _vectors(t.scaled, "CustomerID"))
 simple("customer_components", lambda t: features.fit_components(t.scaled).explained(t.spark))
 simple("customer_projection", lambda t: _vectors(
     features.fit_components(t.scaled, 2).transform(t.scaled), "CustomerID", "pca"))
@@ -228,7 +236,6 @@ simple("customer_clusters", lambda t: t.labelled.select("CustomerID", "label"))
 simple("hierarchical_clusters", lambda t: cluster.fit_hierarchical(t.scaled).transform(t.scaled).select(
     "CustomerID", "cluster"))
 simple("customer_silhouettes", lambda t: cluster.silhouettes(t.labelled, cluster="label").drop("features"))
-simple("balanced_classes", lambda t: smote(t.labelled).groupBy("label", "synthetic").agg(F.count("*").alias("n")))
 simple("linear_svm", lambda t: _predictions(t, classify.fit_svm))
 simple("linear_svm_pairwise", lambda t: _predictions(t, classify.fit_pairwise_svm))
 simple("adaboost", lambda t: _predictions(t, classify.fit_adaboost))
@@ -239,7 +246,8 @@ simple("model_comparison", lambda t: classify.compare(*t.learning)[0])
 
 
 def _vectors(df: DataFrame, key: str, column: str = "features") -> DataFrame:
-    return df.select(key, F.transform(vector_to_array(column), lambda v: F.round(v, 4)).alias(column))
+    """One row per vector entry that is not 0."""
+    return df.select(key, F.posexplode(vector_to_array(column)).alias("position", "value")).where("value <> 0")
 
 
 def _at_most(vectors: DataFrame, k: int) -> int:

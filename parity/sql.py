@@ -377,6 +377,15 @@ STATEMENTS: dict[str, str] = {
                          sum(list_sum(list_transform(list_zip(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS total
                   FROM embeddings x CROSS JOIN embeddings y GROUP BY x.vec_id, x.label, y.label)
             GROUP BY vec_id, label)"""),
+    "feature_vectors": out("CustomerID:i position:i value:d", "SELECT * FROM (" + " UNION ALL ".join(f'SELECT "CustomerID", {i} AS position, "{c}" AS value FROM features WHERE "Lenght" IS NOT NULL' for i, c in enumerate(FEATURES)) + ") WHERE value <> 0"),
+    "standardised_features": out("CustomerID:i position:i value:d", "SELECT * FROM (" + " UNION ALL ".join(f'SELECT "CustomerID", {i} AS position, ("{c}" - avg("{c}") OVER ()) / stddev_pop("{c}") OVER () AS value FROM features WHERE "Lenght" IS NOT NULL' for i, c in enumerate(FEATURES)) + ") WHERE value <> 0"),
+    "product_vectors": out("Description:s position:i value:d", f"""
+      SELECT h."Description", k.position, 1.0 AS value FROM hits h
+      JOIN (SELECT keyword, row_number() OVER (ORDER BY n DESC, keyword) - 1 AS position FROM useful) k ON h.keyword = k.keyword
+      UNION ALL SELECT "Description", (SELECT count(*) FROM useful) + list_position([{quoted(_BANDS)}], band) - 1, 1.0 FROM banded"""),
+    "balanced_classes": out("label:i synthetic:b n:i", """
+      SELECT label, false AS synthetic, count(*) AS n FROM embeddings GROUP BY label
+      UNION ALL SELECT label, true, most - n FROM (SELECT label, count(*) AS n, max(count(*)) OVER () AS most FROM embeddings GROUP BY label) WHERE most > n"""),
     # evaluation
     "confusion_table": out("label:i prediction:i n:i", "SELECT * FROM confusion"),
     "confusion_with_totals": out("prediction:s label:s n:i", "SELECT CASE WHEN grouping(prediction) = 1 THEN 'All' ELSE CAST(prediction AS VARCHAR) END AS prediction, CASE WHEN grouping(label) = 1 THEN 'All' ELSE CAST(label AS VARCHAR) END AS label, count(*) AS n FROM placed GROUP BY CUBE (prediction, label)"),

@@ -4,17 +4,17 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.frames import frame, line
-from tillroll.functions import bands, text, time
+from tillroll.functions import bands, rows, text, time
 from tillroll.operators import basket, lines, metrics, product, score
 from tillroll.sources import invoices
 
 
 def test_csv_keeps_latin_letters_text_numbers_and_file_order(spark, tmp_path):
     path = tmp_path / "data.csv"
-    rows = ["InvoiceNo,StockCode,Description,Quantity,InvoiceDate,UnitPrice,CustomerID,Country",
+    written = ["InvoiceNo,StockCode,Description,Quantity,InvoiceDate,UnitPrice,CustomerID,Country",
             'C536365,85123A,"CAFÉ, ""BLUE""",-6,12/1/2010 8:26,2.55,17850,United Kingdom',
             "536366,D,,6,1/13/2011 18:05,0.1,,France"]
-    path.write_bytes("\n".join(rows).encode("iso-8859-1"))
+    path.write_bytes("\n".join(written).encode("iso-8859-1"))
     got = invoices.read_csv(spark, str(path), row_id=True).orderBy("row_id").collect()
     assert [r.InvoiceNo for r in got] == ["C536365", "536366"]
     assert got[0].Description == 'CAFÉ, "BLUE"' and got[0].InvoiceDate == datetime(2010, 12, 1, 8, 26)
@@ -33,7 +33,7 @@ def test_row_id_orders_cancels_and_survives_deduplication(spark, tmp_path):
 
 
 def test_duplicates(spark, monkeypatch):
-    monkeypatch.setattr(lines, "COPY_RUN", 3)
+    monkeypatch.setattr(rows, "RUN", 3)
     df = frame(spark, [line()] * 9 + [line("2", text=None)] * 2 + [line("3")])
     assert lines.duplicate_count(df).first().duplicates == 9
     assert sorted(r.copy_no for r in lines.duplicate_lines(df).where("InvoiceNo = '1'").collect()) == list(range(2, 10))
@@ -94,8 +94,8 @@ def test_bands(spark):
 
 def test_edges_of_order_ranges_are_counted_nowhere(spark):
     df = spark.createDataFrame([(50.0,), (49.9,), (5000.0,)], "basket_price double")
-    rows = basket.order_ranges(df).orderBy("position").collect()
-    assert [r.n for r in rows] == [1, 0, 0, 0, 0, 0, 0] and rows[0].share_pct == 100
+    found = basket.order_ranges(df).orderBy("position").collect()
+    assert [r.n for r in found] == [1, 0, 0, 0, 0, 0, 0] and found[0].share_pct == 100
 
 
 def test_snapshot_makes_the_last_customer_one_day_old(spark):

@@ -71,10 +71,10 @@ def test_silhouettes_equal_pairwise_means_and_evaluator(spark, blobs):
 def test_kmeans_invariants(spark, blobs):
     sweep = cluster.kmeans_sweep(blobs, range(2, 5)).orderBy("k").collect()
     assert [r.k for r in sweep] == [1, 2, 3, 4]
-    assert all(a.wcss >= b.wcss for a, b in zip(sweep, sweep[1:]))
+    assert all(a.wcss >= b.wcss - 1e-9 for a, b in zip(sweep, sweep[1:]))
     assert all(-1 <= r.silhouette <= 1 for r in sweep[1:])
     first, second = cluster.fit_kmeans(blobs, 3, 3), cluster.fit_kmeans(blobs, 3, 3)
-    assert first.summary.trainingCost == second.summary.trainingCost
+    assert first.summary.trainingCost == pytest.approx(second.summary.trainingCost)
     profile = cluster.cluster_profile(first.transform(blobs), ["CustomerID"], by="CustomerID")
     assert sum(r["size"] for r in profile.collect()) == 115
     names = cluster.names_by_spend(profile, by="CustomerID")

@@ -15,11 +15,12 @@ def few_rows(request, monkeypatch):
     monkeypatch.setattr(order_stats, "CELLS", 8)
 
 
-@pytest.mark.parametrize("kind", ["int", "float", "decimal", "hot"])
+@pytest.mark.parametrize("kind", ["int", "float", "decimal", "hot", "wide"])
 def test_quantiles_equal_pandas(spark, few_rows, kind):
     rng = random.Random(kind)
     make = {"int": lambda: rng.randrange(50), "float": lambda: rng.lognormvariate(0, 6),
             "decimal": lambda: Decimal(rng.randrange(10**6)).scaleb(-2),
+            "wide": lambda: rng.randrange(-2**63, 2**63),
             "hot": lambda: 7 if rng.random() < 0.4 else rng.randrange(1, 10**9)}[kind]
     values = [make() for _ in range(203)] + [None]
     sql = {"float": "double", "decimal": "decimal(12,2)"}.get(kind, "bigint")

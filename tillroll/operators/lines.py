@@ -6,11 +6,9 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tillroll.functions.rows import numbered_copies
 from tillroll.schema import order_columns
 
-# Copies of one line are handed out in runs of this length, so one hot line spreads.
-COPY_RUN = 100_000
-
 TRAIN_END = datetime(2011, 10, 1)
 
 
@@ -78,13 +76,7 @@ def duplicate_lines(lines: DataFrame) -> DataFrame:
     so a line that fills a third of the table is not held by one task.
     """
     groups, keys = _line_groups(lines)
-    extra = groups.where("n > 1").select(*keys, F.col("n"))
-    runs = extra.withColumn(
-        "first", F.explode(F.sequence(F.lit(2).cast("bigint"), F.col("n"),
-                                      F.lit(COPY_RUN).cast("bigint"))))
-    last = F.least(F.col("n"), F.col("first") + (COPY_RUN - 1))
-    spread = runs.select(*keys, "first", last.alias("last")).repartition("first", *keys)
-    return spread.select(*keys, F.explode(F.sequence("first", "last")).alias("copy_no"))
+    return numbered_copies(groups.where("n > 1"), 2, F.col("n"), "copy_no").select(*keys, "copy_no")
 
 
 def negative_prices(lines: DataFrame) -> DataFrame:

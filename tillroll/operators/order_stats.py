@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 CELLS = 4096
 RANGES_PER_JOB = 48
+SAFE_GAP = 1 << 62
 FEW_ROWS = 100_000  # ranges that hold no more rows are counted value by value
 
 
@@ -55,7 +56,9 @@ def _count_cells(df: DataFrame, column: str, group: str | None, ranges: list[_Ra
         if group:
             inside = inside & F.col(group).eqNullSafe(F.lit(r.group))
         step = float(r.high - r.low) / CELLS
-        at = x if few else F.floor((x - low).cast("double") / F.lit(step))
+        # a difference that may overflow is taken between doubles; cells stay in order
+        gap = x.cast("double") - low.cast("double") if r.high - r.low > SAFE_GAP else (x - low).cast("double")
+        at = x if few else F.floor(gap / F.lit(step))
         cell = F.struct(F.lit(i).alias("part"), at.alias("cell"))
         place = F.when(inside, cell) if place is None else place.when(inside, cell)
     return (df.select(x.alias("x"), place.alias("p")).where("p is not null")
@@ -120,23 +123,26 @@ def quantiles(df: DataFrame, column: str, probabilities: list[float], group: str
     return result
 
 
-def rank_cuts(df: DataFrame, column: str, tie: str, buckets: int = 4) -> list[tuple]:
-    """Upper ends of rank buckets: the (value, tie) pairs that close bucket 1..buckets-1.
-
-    Ranks run over (value, tie) with ``tie`` unique. Bucket ends follow linear
-    interpolation of the ranks: rank r is in bucket ``ceil((r - 1) * buckets / (n - 1))``,
-    at least 1.
-    """
+def pairs_at(df: DataFrame, column: str, tie: str, wanted: Callable[[int], list[int]]) -> list[tuple]:
+    """The (value, tie) pairs at 0-based ranks over (value, tie); ``tie`` is unique."""
     extent = extents(df, column)
     if not extent:
         return []
-    n = extent[0][0]
-    last_ranks = [k * (n - 1) // buckets for k in range(1, buckets)]
-    values = order_statistics(df, column, lambda *_: last_ranks, known=extent)[0]
+    ranks = wanted(extent[0][0])
+    values = order_statistics(df, column, lambda *_: ranks, known=extent)[0]
     within: dict[Any, set[int]] = {}
-    for rank in last_ranks:
+    for rank in ranks:
         value, below = values[rank]
         within.setdefault(value, set()).add(rank - below)
     tied = df.where(F.col(column).isin(list(within)))
     ties = order_statistics(tied, tie, lambda g, _: sorted(within[g]), group=column)
-    return [(values[r][0], ties[values[r][0]][r - values[r][1]][0]) for r in last_ranks]
+    return [(values[r][0], ties[values[r][0]][r - values[r][1]][0]) for r in ranks]
+
+
+def rank_cuts(df: DataFrame, column: str, tie: str, buckets: int = 4) -> list[tuple]:
+    """Upper ends of rank buckets: the (value, tie) pairs that close bucket 1..buckets-1.
+
+    Bucket ends follow linear interpolation of the ranks: rank r of n is in bucket
+    ``ceil((r - 1) * buckets / (n - 1))``, at least 1.
+    """
+    return pairs_at(df, column, tie, lambda n: [k * (n - 1) // buckets for k in range(1, buckets)])

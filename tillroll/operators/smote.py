@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tillroll.functions.rows import numbered_copies
+from tillroll.operators.cluster import side_by_side
+from tillroll.operators.order_stats import pairs_at
 from tillroll.session import materialize
 
 CELL_ROWS = 2_000    # rows of one cell block, and of one batch of seekers met by it
@@ -148,31 +151,42 @@ def smote(table: DataFrame, k: int = 5, seed: int = 0, key: str = "CustomerID",
     is read several times.
     """
     counts = {r[label]: r.n for r in table.groupBy(label).agg(F.count("*").alias("n")).collect()}
-    result = table.select(label, features, F.lit(False).alias("synthetic"))
     most = max(counts.values(), default=0)
-    for value, n in sorted(counts.items()):
-        missing = most - n
-        if not missing:
-            continue
-        if n < 2:
-            raise ValueError(f"class {value} has a single row and no neighbours")
+    lone = [value for value, n in counts.items() if n == 1 < most]
+    if lone:
+        raise ValueError(f"classes with a single row have no neighbours: {lone}")
+
+    def grow(value) -> DataFrame:
         rows = table.where(F.col(label) == value).select(
-            F.col(key).cast("bigint").alias("id"), vector_to_array(features).alias("x"))
-        width = min(k, n - 1)
-        near = nearest_neighbours(rows, width)
-        # base rows take turns: everyone gets missing // n copies, and the first
-        # missing % n rows in hash order one more
-        extra = rows.select("id").orderBy(F.xxhash64(F.lit(seed), F.col("id")), "id").limit(missing % n)
-        turns = rows.join(extra.withColumn("more", F.lit(1)), "id", "left").select(
-            "id", F.col("x").alias("base"),
-            (F.lit(missing // n) + F.coalesce("more", F.lit(0))).alias("copies"))
-        copies = turns.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
-        pick = F.pmod(F.xxhash64(F.lit(seed), F.col("id"), F.col("copy")), F.lit(width)) + 1
-        position = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("id"), F.col("copy")), F.lit(1 << 30)) / (1 << 30)
-        drawn = copies.withColumns({"place": pick.cast("int"), "u": position})
-        between = F.zip_with("base", "x", lambda a, b: a + (b - a) * F.col("u"))
-        made = drawn.join(near.select("id", "place", "x"), ["id", "place"]).select(
-            F.lit(value).cast(table.schema[label].dataType).alias(label),
-            array_to_vector(between).alias(features), F.lit(True).alias("synthetic"))
+            F.col(key).cast("bigint").alias("id"), vector_to_array(features).alias("x"),
+            F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key).cast("bigint")), 2).alias("h"))
+        rows = materialize(rows, "class")
+        made = _between(rows, counts[value], most - counts[value], min(k, counts[value] - 1), seed)
+        return made.select(F.lit(value).cast(table.schema[label].dataType).alias(label),
+                           array_to_vector("made").alias(features), F.lit(True).alias("synthetic"))
+
+    result = table.select(label, features, F.lit(False).alias("synthetic"))
+    for made in side_by_side(grow, sorted(v for v, n in counts.items() if n < most)):
         result = result.unionByName(made)
     return result
+
+
+def _between(rows: DataFrame, n: int, missing: int, width: int, seed: int) -> DataFrame:
+    """``missing`` new points ``made`` between rows and their neighbours.
+
+    Rows take turns: everyone gets missing // n copies, the first missing % n in hash
+    order one more. The place of the last of these is found by counting, not by sorting.
+    """
+    near = nearest_neighbours(rows.select("id", "x"), width)
+    copies = F.lit(missing // n)
+    if missing % n:
+        h, last = pairs_at(rows, "h", "id", lambda _: [missing % n - 1])[0]
+        first = (F.col("h") < h) | ((F.col("h") == h) & (F.col("id") <= last))
+        copies = copies + first.cast("int")
+    turns = rows.select("id", F.col("x").alias("base"), copies.alias("copies"))
+    drawn = numbered_copies(turns, 1, F.col("copies"), "copy")
+    pick = F.pmod(F.xxhash64(F.lit(seed), F.col("id"), F.col("copy")), F.lit(width)) + 1
+    position = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("id"), F.col("copy")), F.lit(1 << 30)) / (1 << 30)
+    drawn = drawn.withColumns({"place": pick.cast("int"), "u": position})
+    return (drawn.join(near.select("id", "place", "x"), ["id", "place"])
+            .select(F.zip_with("base", "x", lambda a, b: a + (b - a) * F.col("u")).alias("made")))

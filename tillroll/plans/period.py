@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tillroll.operators import (basket, cancel, classify, cluster, evaluation, features, keywords,
@@ -104,8 +105,10 @@ def learning_sets(labelled: DataFrame, smote_before_split: bool = False, seed: i
     ``smote_before_split`` does it the other way round and balances test as well.
     """
     if smote_before_split:
-        balanced = smote(labelled, seed=seed).withColumn("row", F.hash(F.col("features").cast("string"), "synthetic"))
-        return features.split_by_id(balanced, "row", seed=seed)
+        balanced = smote(labelled, seed=seed)
+        row = F.xxhash64(vector_to_array("features"), "synthetic")
+        train, test = features.split_by_id(balanced.withColumn("row", row), "row", seed=seed)
+        return train.drop("row"), test.drop("row")
     train, test = features.split_by_id(labelled, "CustomerID", seed=seed)
     return smote(train, seed=seed), test
 
