@@ -168,7 +168,7 @@ def smote(table: DataFrame, k: int = 5, seed: int = 0, key: str = "CustomerID",
     result = table.select(label, features, F.lit(False).alias("synthetic"))
     for made in side_by_side(grow, sorted(v for v, n in counts.items() if n < most)):
         result = result.unionByName(made)
-    return result
+    return result.hint("rebalance")  # fits read it many times: even partitions, no tiny ones
 
 
 def _between(rows: DataFrame, n: int, missing: int, width: int, seed: int) -> DataFrame:
