@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -14,6 +16,9 @@ from tillroll.operators.cluster import side_by_side
 from tillroll.operators.order_stats import pairs_at
 from tillroll.session import materialize
 
+# Executors need not have this package: the task functions travel with their code.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 CELL_ROWS = 2_000    # rows of one cell block, and of one batch of seekers met by it
 MOST_CELLS = 4_096   # pivots sent to every task: at most this many rows
 
