@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillroll.llm import chat, exact, mixing
+from tillroll.llm import chat, exact, mixing, quality
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": exact.op1_exact_dedup,
+        "op4_quality_rules": quality.op4_quality_rules,
         "op7_mixing": mixing.op7_mixing,
         "op10_chat_format": chat.op10_chat_format,
     }
