@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillroll.llm import bpe, chat, exact, mixing, quality
+from tillroll.llm import bpe, chat, exact, mixing, quality, substring
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": exact.op1_exact_dedup,
+        "op2_substring_dedup": substring.op2_substring_dedup,
         "op3_bpe": bpe.op3_bpe,
         "op4_quality_rules": quality.op4_quality_rules,
         "op7_mixing": mixing.op7_mixing,
