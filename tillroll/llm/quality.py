@@ -20,6 +20,7 @@ decide alone; an empty table gives no rows; repeated rows count each; other colu
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -146,10 +147,10 @@ def _median_start(rows: DataFrame) -> DataFrame:
         f"s{i}{j}": F.lit(RESOLUTION[i] ** 2 if i == j else 0.0) for i, j in PAIRS}))
 
 
-def _closer(rows: DataFrame, state: DataFrame, factor: float, share: float) -> DataFrame:
+def _closer(rows: DataFrame, state: DataFrame, factor: float, share: float, near: Callable) -> DataFrame:
     """One step: moments of the nearest rows of each cell."""
     small = state.select("cell", *[f"m{i}" for i in range(D)], *[f"l{i}{j}" for i, j in PAIRS])
-    joined = rows.join(small, "cell")
+    joined = rows.join(near(small), "cell")
     away = _clipped(F.log(distance([F.col(x) for x in X]) + 1e-12) * BINS)
     # moments about the centre of the last step, which keeps their sums small
     gap = {f"g{i}": F.col(X[i]) - F.col(f"m{i}") for i in range(D)}
@@ -157,9 +158,9 @@ def _closer(rows: DataFrame, state: DataFrame, factor: float, share: float) -> D
         F.count(F.lit(1)).alias("k"), *[F.sum(f"g{i}").alias(f"a{i}") for i in range(D)],
         *[F.sum(F.col(f"g{i}") * F.col(f"g{j}")).alias(f"b{i}{j}") for i, j in PAIRS])
     cell = Window.partitionBy("cell")
-    near = sums.withColumns({"before": F.sum("k").over(cell.orderBy("bin")) - F.col("k"), "all": F.sum("k").over(cell)})
-    near = near.where(F.col("before") < share * F.col("all"))  # whole bins, until the share is reached
-    moments = near.groupBy("cell").agg(
+    inner = sums.withColumns({"before": F.sum("k").over(cell.orderBy("bin")) - F.col("k"), "all": F.sum("k").over(cell)})
+    inner = inner.where(F.col("before") < share * F.col("all"))  # whole bins, until the share is reached
+    moments = inner.groupBy("cell").agg(
         F.sum("k").alias("k"), *[(F.sum(f"a{i}") / F.sum("k")).alias(f"a{i}") for i in range(D)],
         *[(F.sum(f"b{i}{j}") / F.sum("k")).alias(f"b{i}{j}") for i, j in PAIRS])
     old = state.select("cell", "n", F.col("logdet").alias("last"), *[F.col(f"m{i}").alias(f"o{i}") for i in range(D)])
@@ -169,12 +170,15 @@ def _closer(rows: DataFrame, state: DataFrame, factor: float, share: float) -> D
     return _factored(new)
 
 
-def estimates(rows: DataFrame, share: float = SHARE, steps: int = STEPS) -> DataFrame:
-    """Robust centre (m) and triangular factor (l) of each cell, from rows (cell, x0 ...)."""
+def estimates(rows: DataFrame, share: float = SHARE, steps: int = STEPS, near: Callable = lambda df: df) -> DataFrame:
+    """Robust centre (m) and triangular factor (l) of each cell, from rows (cell, x0 ...).
+
+    ``near`` marks the table of cells for broadcast, where their number is known to be small.
+    """
     factor = consistency(share, D)
     state = stage(_median_start(rows), "quality-start")
     for number in range(steps):
-        state = stage(_closer(rows, state, factor, share), "quality-step")
+        state = stage(_closer(rows, state, factor, share, near), "quality-step")
         falling = F.abs(F.col("logdet") - F.col("last")) > 1e-6
         if number and state.where(falling).isEmpty():
             break
@@ -204,9 +208,9 @@ def assess(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
         .alias("cell")).where(F.col("cell").isNotNull()).withColumn("cell", F.to_json("cell")), "quality-groups")
     same = F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source"))
     few = groups.count() <= BROADCAST_GROUPS
-    near = (lambda df: F.broadcast(df)) if few else (lambda df: df)
+    near = F.broadcast if few else (lambda df: df)
     rows = stage(clean.join(near(groups), same).select("cell", *X), "quality-vectors")
-    state = groups.join(estimates(rows, share), "cell")
+    state = groups.join(estimates(rows, share, near=near), "cell")
     params = state.select("g_lang", "g_source", *[f"m{i}" for i in range(D)], *[f"l{i}{j}" for i, j in PAIRS])
     names = fresh(held, *[f"q_{c}" for c in params.columns])
     params = stage(params.toDF(*names), "quality-params")
