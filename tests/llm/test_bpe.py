@@ -22,7 +22,7 @@ def samples():
     made = ["".join(rng.choice(letters) for _ in range(rng.choice([1, 5, 40, 400, 3000]))) for _ in range(150)]
     shared = "The same passage stands in many documents, and it's not moved far. " * 9
     made += [shared, "x" + shared, shared + shared, "don't we'll I'VE <|endoftext|> a<|startoftext|>b " * 5]
-    made += ["", " ", "\n\n", None, "a" * 9000, "0123456789" * 3000, "é" * 5000, "no spaces" + "ab12" * 4000 + " end", "́ ́x"]
+    made += ["", " ", "\n\n", None, "a" * 9000, "0123456789" * 3000, "é" * 5000, "Yes, NO! it's. I'LL, A.B., x:y; ok?! 's. don't! é, 9. H\u0331 T\u0308, İ I\u0307. K\u0338 <|ENDOFTEXT|>. <|endoftext|>, E\u0301!", "Yes, NO! It'S. A.B., ok?! É, 9. İ. ǰJ,", "no spaces" + "ab12" * 4000 + " end", "́ ́x"]
     return made
 
 

@@ -17,6 +17,8 @@ encoded like any other; other columns pass through.
 from __future__ import annotations
 
 import hashlib
+import json
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,8 +31,10 @@ from tillroll.llm.common import column, fresh, utf8
 from tillroll.llm.gear import masked
 
 WINDOW, BITS, LONGEST = 16, 7, 4096
-#: Entries that a task's dictionaries hold at most; beyond it they start anew.
-MOST_CHUNKS, MOST_WORDS = 100_000, 500_000
+#: Entries that a worker's dictionaries hold before longer words and all chunks are let go.
+MOST_CHUNKS, MOST_WORDS = 100_000, 800_000
+#: Words so short stay in a full dictionary, for they return most often.
+SHORT = 8
 #: Longer words are encoded each time.
 WORD_BYTES = 64
 #: Bytes of texts encoded at a time.
@@ -54,28 +58,53 @@ def _tokenizer(path: str):
     return found
 
 
+def _last_letter(word: bytes) -> int:
+    """Where stops and commas after a last ASCII letter begin, else 0: there the pre-tokenizer always splits."""
+    bare = word.rstrip(b".,;:!?")
+    return len(bare) if bare and len(bare) < len(word) and bare[-1:].isalpha() else 0
+
+
+def _lowered(raw: bytes) -> bytes:
+    """ASCII letters lower-cased, as the tokenizer would do, so that more words are shared.
+
+    Not where that could make a difference: before combining marks, with which only some small letters compose,
+    and where it could make a special token's string.
+    """
+    return raw if b"\xcc" in raw or b"\xcd" in raw or b"<|" in raw else raw.lower()
+
+
 class Encoder:
     """Dictionaries of words and chunks of one worker."""
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
+        normalizer = json.loads(self.tokenizer.to_str()).get("normalizer") or {}
+        lowers = any(n["type"] == "Lowercase" for n in normalizer.get("normalizers", [normalizer]) if n)
+        self.prepare = _lowered if lowers else bytes
         self.words: dict[bytes, bytes] = {}
         self.chunks: dict[bytes, tuple] = {}
 
     def _learn(self, wanted: set[bytes]) -> dict[bytes, bytes]:
         """Tokens (int32 bytes) of words not met before; those too long to keep are returned."""
         long_ones: dict[bytes, bytes] = {}
-        new = list(wanted)
+        parted = {w: at for w in wanted if (at := _last_letter(w))}
+        pieces = (wanted - parted.keys()).union(*[(w[:at], w[at:]) for w, at in parted.items()])
+        new = [w for w in pieces if w not in self.words]
         for at in range(0, len(new), 4096):
             part = new[at:at + 4096]
             found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
             for word, one in zip(part, found):
-                (self.words if len(word) <= WORD_BYTES else long_ones)[word] = np.array(one.ids, np.int32).tobytes()
+                (self.words if len(word) <= WORD_BYTES else long_ones)[word] = array("i", one.ids).tobytes()
+        for word, at in parted.items():
+            both = [self.words[w] if w in self.words else long_ones[w] for w in (word[:at], word[at:])]
+            (self.words if len(word) <= WORD_BYTES else long_ones)[word] = both[0] + both[1]
         return long_ones
 
     def encode(self, texts: list[np.ndarray]) -> list[bytes]:
         if len(self.words) > MOST_WORDS:
-            self.words = {}
+            self.words = {w: ids for w, ids in self.words.items() if len(w) <= SHORT}
+            if len(self.words) > MOST_WORDS // 2:
+                self.words = {}
         if len(self.chunks) > MOST_CHUNKS:
             self.chunks = {}
         known, chunks = self.words, self.chunks
@@ -83,8 +112,8 @@ class Encoder:
         wanted: set[bytes] = set()
         made: dict[bytes, tuple] = {}
         for data in texts:
-            raw, plan, carry, start = data.tobytes(), [], b"", 0
-            for end in masked(data, WINDOW, BITS, LONGEST).tolist():
+            raw, plan, carry, start = self.prepare(data.tobytes()), [], b"", 0
+            for end in masked(np.frombuffer(raw, np.uint8), WINDOW, BITS, LONGEST).tolist():
                 chunk = raw[start:end]
                 start = end
                 entry = chunks.get(chunk) or made.get(chunk)
