@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillroll.llm import bpe, chat, exact, mixing, near, quality, substring
+from tillroll.llm import bpe, chat, exact, mixing, near, pii, quality, substring
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality_rules": quality.op4_quality_rules,
         "op7_mixing": mixing.op7_mixing,
         "op8_minhash_near_dedup": near.op8_minhash_near_dedup,
+        "op9_pii": pii.op9_pii,
         "op10_chat_format": chat.op10_chat_format,
     }
 
