@@ -27,7 +27,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tillroll.llm.common import column, fresh, utf8
+from tillroll.llm.common import column, fresh, map_arrow, utf8
 from tillroll.llm.gear import masked
 
 WINDOW, BITS, LONGEST = 16, 7, 4096
@@ -191,7 +191,7 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "ids", tokenizer: str
     narrow = docs.select(*[column(docs, c) for c in carry], F.coalesce(column(docs, text), F.lit("")).alias(body))
     kinds = {f.name: f.dataType.simpleString() for f in narrow.schema}
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in carry] + [f"`{ids}` array<int>"])
-    return narrow.mapInArrow(_encode(tokenizer or default_tokenizer(), body, ids), schema)
+    return map_arrow(narrow, _encode(tokenizer or default_tokenizer(), body, ids), schema)
 
 
 @lru_cache(maxsize=2)
@@ -235,7 +235,7 @@ def decode(encoded: DataFrame, identity: str = "doc_id", ids: str = "ids", token
     """Id and decoded text of each row."""
     narrow = encoded.select(column(encoded, identity).alias("id"), F.coalesce(column(encoded, ids), F.array().cast("array<int>")).alias("ids"))
     kind = narrow.schema["id"].dataType.simpleString()
-    found = narrow.mapInArrow(_decode(tokenizer or default_tokenizer(), False), f"id {kind}, text string")
+    found = map_arrow(narrow, _decode(tokenizer or default_tokenizer(), False), f"id {kind}, text string")
     return found.withColumnRenamed("id", identity)
 
 
@@ -243,7 +243,7 @@ def digests(encoded: DataFrame, identity: str = "doc_id", ids: str = "ids", toke
     """Id, number of tokens and digests of the ids and of the decoded text of each row."""
     narrow = encoded.select(column(encoded, identity).alias("id"), F.coalesce(column(encoded, ids), F.array().cast("array<int>")).alias("ids"))
     kind = narrow.schema["id"].dataType.simpleString()
-    found = narrow.mapInArrow(_decode(tokenizer or default_tokenizer(), True),
+    found = map_arrow(narrow, _decode(tokenizer or default_tokenizer(), True),
                               f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return found.withColumnRenamed("id", identity)
 

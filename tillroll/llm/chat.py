@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tillroll.llm.common import column, utf8
+from tillroll.llm.common import column, map_arrow, utf8
 
 OPEN, LINE, CLOSE = b"<turn>", b"\n", b"</turn>\n"
 BACK, LESS, END = 92, 60, 10
@@ -114,7 +114,7 @@ def format_chat(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
     order = ["conv_id", "turn", "role", F.xxhash64("text")]
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text")
     kind = rows.schema["conv_id"].dataType
-    return dealt.select("conv_id", "role", "text").mapInArrow(_blocks(kind), BLOCKS.format(kind=kind.simpleString()))
+    return map_arrow(dealt.select("conv_id", "role", "text"), _blocks(kind), BLOCKS.format(kind=kind.simpleString()))
 
 
 _UNIT = re.compile(r"<turn>((?:[^\\<\n]|\\.)*)\n((?:[^\\<]|\\.)*+)</turn>\n", re.S)
@@ -178,7 +178,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_back(blocks: DataFrame) -> DataFrame:
     """Digests of each conversation, from its formatted blocks alone."""
     dealt = blocks.repartition("conv_id").sortWithinPartitions("conv_id", "place")
-    return dealt.select("conv_id", "text", "loss").mapInArrow(
+    return map_arrow(dealt.select("conv_id", "text", "loss"), 
         _digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
 import uuid
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+import tillroll
 from tillroll.session import shared_folder
 
 #: What separates words: the space and the five control characters from tab to carriage return.
@@ -21,6 +27,35 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """This package as a zip in the shared folder, once per application; executors need not have it installed."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = Path(tillroll.__file__).parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.writestr(zipfile.ZipInfo(str(file.relative_to(root.parent))), file.read_bytes())
+    content = packed.getvalue()
+    place = f"{shared_folder(spark).rstrip('/')}/tillroll-llm/tillroll-{hashlib.sha256(content).hexdigest()[:16]}-{uuid.uuid4().hex[:8]}.zip"
+    path = context._jvm.org.apache.hadoop.fs.Path(place)
+    stream = path.getFileSystem(context._jsc.hadoopConfiguration()).create(path, True)
+    stream.write(content)
+    stream.close()
+    context.addPyFile(place)
+    _SHIPPED.add(context.applicationId)
+
+
+def map_arrow(df: DataFrame, task: Callable, schema: str) -> DataFrame:
+    """``df.mapInArrow`` with this package at hand."""
+    ship(df.sparkSession)
+    return df.mapInArrow(task, schema)
+
+
 def words(text: Column) -> Column:
     """Words of a text as an array; none for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WHITE + "+"), "")

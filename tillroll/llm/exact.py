@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tillroll.llm.common import LOWER, column, fresh, stage, utf8
+from tillroll.llm.common import LOWER, column, fresh, map_arrow, stage, utf8
 
 CHUNK = 1 << 16
 PRIMES = (2**31 - 1, 2**31 - 19)
@@ -122,9 +122,9 @@ CLASS = ["print_a", "print_b", "n_bytes"]
 def classes(rows: DataFrame, primes=PRIMES, bases=BASES) -> DataFrame:
     """Decisions on rows (row, id, text): row, id, keep_id, group_size, kept, text_sha256."""
     kind = rows.schema["id"].dataType.simpleString()
-    prints = stage(rows.mapInArrow(_prints(primes, bases), (
+    prints = stage(map_arrow(rows, _prints(primes, bases), (
         f"row long, id {kind}, print_a long, print_b long, n_bytes long, text_sha256 string")), "exact-prints")
-    chunks = rows.mapInArrow(_chunks(primes, bases), "print_a long, print_b long, n_bytes long, place long, chunk binary")
+    chunks = map_arrow(rows, _chunks(primes, bases), "print_a long, print_b long, n_bytes long, place long, chunk binary")
     unlike = stage(
         chunks.groupBy(*CLASS, "place").agg(F.min("chunk").alias("least"), F.max("chunk").alias("greatest"))
         .where(F.col("least") != F.col("greatest")).select(*CLASS).distinct(), "exact-unlike")

@@ -29,7 +29,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tillroll.llm.common import LOWER, column, stage, utf8
+from tillroll.llm.common import LOWER, column, map_arrow, ship, stage, utf8
 from tillroll.llm.graph import components
 
 REGISTERS, BASE, RATE, TOP = 320, 1.2, 20.0, 254
@@ -257,7 +257,7 @@ def groups(docs: DataFrame, identity: str, text: str, size: int, percent: int) -
     """Sketched rows (id, mark, n_shingles, node), and the root of each node that is linked with another."""
     rows = docs.select(column(docs, identity).alias("id"), _mark(column(docs, text)).alias("mark"), F.coalesce(column(docs, text), F.lit("")).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    table = stage(rows.mapInArrow(_sketches(size), f"id {kind}, mark long, n_shingles long, node binary, registers binary"), "near-sketches")
+    table = stage(map_arrow(rows, _sketches(size), f"id {kind}, mark long, n_shingles long, node binary, registers binary"), "near-sketches")
     full = table.where(F.col("n_shingles") > 0)
     # one row per class of equal sets; any of its texts stands for it
     classes = stage(full.groupBy("node").agg(F.min(F.struct("id", "mark", "n_shingles")).alias("one"), F.min("registers").alias("registers"))
@@ -273,10 +273,11 @@ def groups(docs: DataFrame, identity: str, text: str, size: int, percent: int) -
     sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     wanted = members.join(sizes, "root").select(F.col("id").alias("of"), F.col("mark").alias("marked"), "node", "root", "blocks")
     found = rows.join(wanted, F.col("id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("marked"))).select("text", "node", "root", "blocks")
-    sets = found.mapInArrow(_sets(size), "node binary, root binary, blocks int, elements binary, registers binary")
+    sets = map_arrow(found, _sets(size), "node binary, root binary, blocks int, elements binary, registers binary")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     pairs = sets.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = pairs.select("root", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "node", "elements", "registers")
+    ship(pairs.sparkSession)
     links = stage(pairs.groupBy("root", "one", "two").applyInPandas(_compare(percent), "a binary, b binary"), "near-links")
     return table, components(links)
 

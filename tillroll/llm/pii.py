@@ -8,7 +8,7 @@ to the repeated and neighbouring tokens; runs of tokens with a marginal of at le
 
 The field is trained on at most ``SAMPLE`` documents, those with the least hash of their id among the documents that hold a
 digit or an at sign: base spans are the labels, and each is also shown in other writing (phone number without its plus sign,
-address with "(at)"), which base patterns miss. Node weights are fitted by multinomial logistic
+address with "(at)"), which base patterns miss; ``_ordinary`` numbers are examples of O. Node weights are fitted by multinomial logistic
 regression, pair potentials by smoothed counts of label pairs. Patterns, features and message passing go over all documents and whole texts.
 
 Defined cases: null counts as empty, without spans; matches that fail their check (parts over 255, Luhn, digits) are dropped and not
@@ -18,7 +18,7 @@ labelled token in the sample no spans are added; other columns are not read.
 
 from __future__ import annotations
 
-import hashlib
+import random
 import re
 from collections.abc import Iterator
 
@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tillroll.llm.common import column
+from tillroll.llm.common import column, map_arrow
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *KINDS)
@@ -145,7 +145,7 @@ def features(text: str, spans: list[tuple[int, int]]) -> tuple[list[list[int]],
         at += len(CUES)
         digits = _digits(x)
         own.append(at + _level(len(x)))
-        own.append(at + 8 + _level(len(digits)))
+        own.append(at + 8 + (0 if any(c.isalpha() for c in x) else _level(len(digits))))  # in words, how many digits says little
         at += 16
         own += [at + k for k, holds in enumerate((
             any(c.isalpha() for c in x), "@" in x, 13 <= len(digits) <= 19 and luhn(digits), x.count(".") == 3 and all(
@@ -186,7 +186,7 @@ class Field:
         self.node, self.chain, self.skip = node, chain, skip
 
 
-def fit(samples: list[tuple[list[int], int]], chain: np.ndarray, skip: np.ndarray, steps: int = 300, rate: float = 0.5, decay: float = 1e-3) -> Field:
+def fit(samples: list[tuple[list[int], int]], chain: np.ndarray, skip: np.ndarray, steps: int = 1_000, rate: float = 1.0, decay: float = 1e-4) -> Field:
     """Multinomial logistic regression of the nodes, log ratios of label pairs to independence for the edges."""
     k = len(LABELS)
     node = np.zeros((N_FEATURES, k))
@@ -208,10 +208,11 @@ def fit(samples: list[tuple[list[int], int]], chain: np.ndarray, skip: np.ndarra
             node += rate * momentum
 
     def potential(counts: np.ndarray) -> np.ndarray:
-        counts = counts + counts.T + 0.5
-        joint = counts / counts.sum()
-        own = joint.sum(1)
-        return np.clip(np.log(joint / np.outer(own, own)), -3, 3)
+        counts = counts + counts.T
+        own = counts.sum(1) + 1
+        own = own / own.sum()
+        joint = counts + 20 * np.outer(own, own)  # as if twenty pairs of independent labels had been seen too
+        return np.clip(np.log(joint / joint.sum() / np.outer(own, own)), -3, 3)
 
     return Field(node, potential(chain), potential(skip))
 
@@ -301,6 +302,19 @@ def _variants(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[str
         yield left + said + text[b:b + 80], kind, len(left), len(left) + len(said)
 
 
+def _ordinary(n: int = 400) -> Iterator[str]:
+    """Texts with numbers that are nobody's: dates, times, versions, amounts, years, quantities."""
+    rng = random.Random(17)
+    r = rng.randint
+    for _ in range(n):
+        yield rng.choice((
+            f"in {r(1800, 2100)} of", f"at {r(0, 23)}:{r(10, 59)} on", f"on {r(1900, 2100)}-{r(10, 12)}-{r(10, 28)} the",
+            f"{r(1, 12)}/{r(1, 28)}/{r(1990, 2030)}", f"version {r(0, 20)}.{r(0, 30)}.{r(0, 9)} of", f"v{r(0, 9)}.{r(0, 9)}", f"some {r(0, 99)}.{r(0, 99)} of",
+            f"{r(1, 999)},{r(100, 999)} of", f"the {r(0, 9999)} and", f"{r(1, 9)}th", f"{r(0, 100)}%", f"no. {r(1, 99999)}",
+            f"pages {r(1, 99)}-{r(100, 300)}", f"part{r(1, 9)} b{r(1, 99)}", f"{r(256, 999)}.{r(0, 999)}.{r(0, 999)}.{r(0, 999)}",
+            f"{r(10**12, 10**19 - 1)}0 items", f"${r(1, 999)}.{r(10, 99)}", f"{r(1, 12)} {r(1, 31)} {r(1, 99)}", f"({r(1, 9)}) see"))
+
+
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Features and labels of the candidates of sampled texts, and counts of label pairs (features -1 and -2)."""
     for batch in batches:
@@ -333,10 +347,12 @@ def train(docs: DataFrame, identity: str = "doc_id", text: str = "text", sample:
     last = rows.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     if last is None:
         return fit([], np.zeros((5, 5)), np.zeros((5, 5)))
+    ordinary = [(text, candidates(text)) for text in _ordinary()]
     # one more bound, for ids that are null or repeated and so share a hash
     chosen = rows.where(F.col("h") <= last).select("text").limit(2 * sample)
-    counted = chosen.mapInArrow(_examples, "own array<int>, label int").groupBy("own", "label").count()
-    samples, tables = [], (np.zeros((5, 5)), np.zeros((5, 5)))
+    counted = map_arrow(chosen, _examples, "own array<int>, label int").groupBy("own", "label").count()
+    samples = [(own, label) for text, spans in ordinary for own, label in zip(features(text, spans)[0], _labels(spans, base_spans(text)))]
+    tables = (np.zeros((5, 5)), np.zeros((5, 5)))
     for r in counted.orderBy("label", "own").toLocalIterator():
         if r.own[0] < 0:
             tables[-r.own[0] - 1][r.own[1], r.own[2]] += r["count"]
@@ -368,7 +384,7 @@ def find(docs: DataFrame, identity: str = "doc_id", text: str = "text", field: F
     field = train(docs, identity, text) if field is None else field
     rows = docs.select(column(docs, identity).alias("id"), F.coalesce(column(docs, text), F.lit("")).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    found = rows.mapInArrow(_find(field), f"id {kind}, spans array<struct<kind:string,start:long,end:long,base:boolean>>")
+    found = map_arrow(rows, _find(field), f"id {kind}, spans array<struct<kind:string,start:long,end:long,base:boolean>>")
     return found.withColumnRenamed("id", identity)
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from tillroll.llm.common import column, fresh, stage, utf8
+from tillroll.llm.common import column, fresh, map_arrow, ship, stage, utf8
 from tillroll.llm.gear import peaks
 
 WINDOW, AROUND, LONGEST = 16, 20, 4096
@@ -91,10 +91,10 @@ def repeats(docs: DataFrame, identity: str = "doc_id", text: str = "text") -> Da
     kind = rows.schema["id"].dataType.simpleString()
     short, every = ["id", "twin", "place", "high", "low"], ["id", "twin", "place", "start", "size", "n_words", "high", "low"]
     places = f"id {kind}, {PLACE}, high long, low long"
-    brief = rows.mapInArrow(_chunks(short), f"id {kind}, twin long, place int, high long, low long")
+    brief = map_arrow(rows, _chunks(short), f"id {kind}, twin long, place int, high long, low long")
     known = brief.groupBy("high", "low").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "twin", "place")).alias("first"))
     known = stage(known.where(F.col("n") > 1).drop("n"), "substring-known")
-    found = rows.mapInArrow(_chunks(every), places).join(known, ["high", "low"])
+    found = map_arrow(rows, _chunks(every), places).join(known, ["high", "low"])
     own = F.struct("id", "twin", "place")
     return found.where(own > F.col("first")).select(
         "id", "twin", "place", "start", "size", "n_words", F.col("first.id").alias("first_id"))
@@ -125,6 +125,7 @@ def remove(docs: DataFrame, identity: str = "doc_id", text: str = "text", least_
     found = passages(docs, identity, text, least_words).groupBy(f"`{identity}`", "twin").agg(
         F.array_sort(F.collect_list(F.struct("start", "end"))).alias(spans))  # as many as a text has passages
     found = found.toDF(who, other, spans)
+    ship(docs.sparkSession)
     own = docs.withColumn(twin, _twin(column(docs, text)))
     same = column(own, identity).eqNullSafe(F.col(who)) & (F.col(twin) == F.col(other))
     old = column(own, text)
