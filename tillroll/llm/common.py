@@ -95,3 +95,38 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 #: ASCII capitals to small letters, all other bytes as they are.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+
+MULTIPLIER = np.uint64(0x9E3779B97F4A7C15 | 1)
+_INVERSE = np.uint64(pow(int(MULTIPLIER), -1, 1 << 64))
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the multiplier and of its inverse modulo 2**64."""
+    if len(_powers[0]) < n:
+        size = max(n, 1 << 16)
+        for i, p in enumerate((MULTIPLIER, _INVERSE)):
+            steps = np.full(size, p, np.uint64)
+            steps[0] = 1
+            _powers[i] = np.cumprod(steps)
+    return _powers[0][:n], _powers[1][:n]
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """All bits of 64-bit numbers stirred."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def spans_of(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs that are inside."""
+    edge = np.diff(np.concatenate(([0], inside.view(np.int8), [0])))
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans: polynomial sums from prefix sums, shifted to the span's own start, then stirred."""
+    up, down = _power_tables(len(data) + 1)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:len(data)])))
+    return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))

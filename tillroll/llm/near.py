@@ -29,7 +29,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tillroll.llm.common import LOWER, column, map_arrow, ship, stage, utf8
+from tillroll.llm.common import LOWER, MULTIPLIER, column, map_arrow, mixed, ship, span_hashes, spans_of, stage, utf8
 from tillroll.llm.graph import components
 
 REGISTERS, BASE, RATE, TOP = 320, 1.2, 20.0, 254
@@ -39,46 +39,19 @@ MARGIN = 0.13
 #: A block has about so many members and shingles.
 BLOCK, BLOCK_SHINGLES = 512, 1_000_000
 
-_P = np.uint64(0x9E3779B97F4A7C15 | 1)
-_P_INVERSE = np.uint64(pow(int(_P), -1, 1 << 64))
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the multiplier and of its inverse modulo 2**64."""
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 16)
-        for i, p in enumerate((_P, _P_INVERSE)):
-            steps = np.full(size, p, np.uint64)
-            steps[0] = 1
-            _powers[i] = np.cumprod(steps)
-    return _powers[0][:n], _powers[1][:n]
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """All bits of 64-bit numbers stirred."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def shingles(data: np.ndarray, size: int) -> np.ndarray:
     """Sorted distinct hashes of the runs of ``size`` words of a text's bytes, A-Z lower-cased."""
     if not len(data):
         return np.zeros(0, np.uint64)
     data = LOWER[data]
-    word = ~((data == 32) | ((data >= 9) & (data <= 13)))
-    edge = np.diff(np.concatenate(([0], word.view(np.int8), [0])))
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    starts, ends = spans_of(~((data == 32) | ((data >= 9) & (data <= 13))))
     if not len(starts):
         return np.zeros(0, np.uint64)
-    up, down = _power_tables(len(data) + 1)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:len(data)])))
-    hashes = mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    hashes = span_hashes(data, starts, ends)
     n = min(size, len(hashes))
     total = np.full(len(hashes) - n + 1, n, np.uint64)
     for k in range(n):
-        total = mixed(total * _P + hashes[k:len(hashes) - n + 1 + k])
+        total = mixed(total * MULTIPLIER + hashes[k:len(hashes) - n + 1 + k])
     return np.unique(total)
 
 
