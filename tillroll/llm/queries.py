@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillroll.llm import bpe, chat, exact, license, mixing, near, pii, quality, substring
+from tillroll.llm import bpe, chat, exact, license, mixing, near, pii, quality, secrets, substring
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_bpe": bpe.op3_bpe,
         "op4_quality_rules": quality.op4_quality_rules,
         "op5_license_scan": license.op5_license_scan,
+        "op6_secret_scan": secrets.op6_secret_scan,
         "op7_mixing": mixing.op7_mixing,
         "op8_minhash_near_dedup": near.op8_minhash_near_dedup,
         "op9_pii": pii.op9_pii,
