@@ -1,16 +1,48 @@
-"""From raw documents to token ids, in five stages."""
+"""From raw documents to token ids, in five stages.
+
+Each stage takes all rows of the one before, written as Parquet in between. Quality rules reject documents, exact and near
+duplicates leave one document of each group, mixing repeats or leaves out rows until each source meets its target, and BPE
+encoding gives the token ids. Rows that are equal in id and text count as one document for near duplicates; empty tables
+pass through all stages.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tillroll.llm import exact, mixing
+from tillroll.llm import bpe, exact, mixing, near, quality
 from tillroll.llm.common import stage
 
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs)
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact.deduplicate(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near.deduplicate(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = bpe.encode(docs, ids="token_ids", carry=["doc_id", "lang", "source"])
+    return found.withColumn("n_tokens", F.size("token_ids").cast("long"))
+
+
 STAGES = [
-    ("exact dedup", lambda spark, docs, sf_dir: exact.deduplicate(docs)),
-    ("mixing", lambda spark, docs, sf_dir: mixing.mix(docs)),
+    ("quality rules", quality_rules),
+    ("exact dedup", exact_dedup),
+    ("near dedup", near_dedup),
+    ("mixing", mix_sources),
+    ("bpe", encode),
 ]
+#: The estimates of the quality rules and the encoding have no SQL.
 ORACLE_SQL = None
 
 

@@ -94,7 +94,7 @@ def thresholds(rows: DataFrame, plan: DataFrame) -> DataFrame:
             "source", "source_size", "target", "copies", F.coalesce("end.bucket", "prefix").alias("prefix"),
             F.coalesce(before, "below").alias("below"), "budget",
             # no bucket passes the budget: all rows of the source stand below the threshold
-            F.coalesce("threshold", F.when(F.col("of").isNull(), F.lit(1 << BITS)).otherwise(one)).alias("threshold")), "mix-level")
+            F.coalesce("threshold", F.when(F.col("end").isNull(), F.lit(1 << BITS)).otherwise(one)).alias("threshold")), "mix-level")
         if shift == 0 or state.where(F.col("threshold").isNull()).isEmpty():
             return state.select("source", "source_size", "target", "copies", "threshold")
 
