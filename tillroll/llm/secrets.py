@@ -52,7 +52,7 @@ def candidates(docs: DataFrame, identity: str = "doc_id", text: str = "text", pa
     found = F.filter(F.array_distinct(F.regexp_extract_all("own", F.lit(RUN), F.lit(1))), lambda c: c.rlike("[0-9]") & c.rlike("[A-Za-z]"))
     rows = rows.withColumn("candidate", F.explode(found))
     inside = F.split_part("own", F.col("candidate"), F.lit(1))  # what stands before it in its own word
-    return rows.select("id", F.col("word").cast("long").alias("word"), "candidate", F.concat_ws(" ", "left", inside).alias("before"), "after", "path")
+    return rows.select("id", F.col("word").cast("long").alias("word"), "candidate", F.ltrim(F.concat_ws(" ", "left", inside)).alias("before"), "after", "path")
 
 
 def _sampled(docs: DataFrame, identity: str, text: str, sample: int) -> DataFrame:
