@@ -12,7 +12,7 @@ import time
 
 from parity.queries import registered
 from parity.tables import forget
-from tillroll.session import local_session
+from tillroll.session import local_session, use_shared_folder
 
 HEADLINES = [
     "column_profile", "duplicate_count", "orders_per_country", "returns_without_counterpart", "netted_lines",
@@ -25,6 +25,7 @@ def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = local_session(cpus, shuffle_partitions=int(cpus) if cpus.isdigit() else 8, app="bench")
+    use_shared_folder(spark, os.environ.get("BENCH_STAGES", "/tmp/tillroll-bench"))
     queries = registered()
     queries["table_size"](spark, folder).collect()  # starts the JVM, reads footers
     seconds = {}

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from parity.tables import Tables, plain, tables
 from tillroll.functions.bands import CLOSENESS, LOWEST_CLOSENESS
@@ -15,13 +15,16 @@ from tillroll.operators import (basket, cancel, classify, cluster, evaluation, f
 from tillroll.operators.smote import smote
 from tillroll.plans import period, segments
 from tillroll.schema import FEATURES, LINE_COLUMNS
-from tillroll.session import shared_folder
+from tillroll.session import place
+from tillroll.sources import invoices
 
 Query = Callable[[SparkSession, str], DataFrame]
 CATEGORIES = [f"categ_{i}" for i in range(5)]
 SCORED = ["CustomerID", "Recency", "Frequency", "MonetaryValue", "Lenght", "R", "F", "M", "L",
           "Proximidade_Marca_Score", "RFML_Segment_Concat", "RFML_Score", "RFML_Level", "Proximidade_Marca"]
 
+SCORED_NUMBERS = ["Recency", "Frequency", "MonetaryValue", "Lenght", "R", "F", "M", "L", "Proximidade_Marca_Score", "RFML_Score"]
+
 BY_NAME: dict[str, Callable[[Tables], DataFrame]] = {}
 
 
@@ -222,7 +225,7 @@ def balanced_classes(t: Tables) -> DataFrame:
 
 
 # models: no SQL says what a fit must give, so these have no statement
-simple("product_cluster_sweep", lambda t: cluster.kmeans_sweep(t.product_vectors))
+simple("product_cluster_sweep", lambda t: cluster.kmeans_sweep(t.product_vectors, restarts=30))
 simple("product_components", lambda t: features.fit_components(t.product_vectors).explained(t.spark))
 simple("product_projection", lambda t: _vectors(
     features.fit_components(t.product_vectors, _at_most(t.product_vectors, 50)).transform(t.product_vectors),
@@ -278,10 +281,118 @@ def random_split(t: Tables) -> DataFrame:
 def later_period(t: Tables) -> DataFrame:
     """Models fitted on the first period, stored, loaded and applied to the later one."""
     fitted = period.fit_period(t.train, models={"svm": classify.fit_svm})
-    path = f"{shared_folder(t.spark)}/tillroll/models-{uuid.uuid4().hex}"
+    path = place(t.spark, "models")
     fitted.save(path)
-    products, segmenter, svm = period.load_models(t.spark, path, "svm")
-    return period.score_period(t.later, products, segmenter, svm, on_ties="drop")
+    return period.score_period(t.later, period.load(t.spark, path), "svm", on_ties="drop")
+
+
+# the CSV source: the lines written as text and read back
+@query
+def invoice_lines_csv(t: Tables) -> DataFrame:
+    path = place(t.spark, "csv")
+    dated = t.raw.withColumn("InvoiceDate", F.date_format("InvoiceDate", "M/d/yyyy H:mm"))
+    dated.select(*reversed(LINE_COLUMNS)).write.option("header", True).option("escape", '"').csv(path)
+    return invoices.read_csv(t.spark, path, encoding="UTF-8")
+
+
+# the later window, step by step
+LATER = ["lines_per_basket", "cancelled_order_rate", "netted_lines", "baskets", "order_value_ranges", "customer_metrics",
+         "rfm_without_outliers", "length_without_outliers", "metric_description", "mean_product_prices", "price_band_counts",
+         "keyword_inventory", "customer_reconciliation"]
+for _name in LATER:
+    simple(f"later_{_name}", lambda t, build=BY_NAME[_name]: build(t.second))
+
+# more distributions
+simple("scored_description", lambda t: outlier.describe(t.scored, SCORED_NUMBERS))
+simple("recency_histogram", lambda t: outlier.histogram(t.metrics, "Recency"))
+simple("frequency_histogram", lambda t: outlier.histogram(t.metrics, "Frequency"))
+simple("length_histogram", lambda t: outlier.histogram(t.metrics, "Lenght"))
+simple("monetary_box_by_level_and_closeness", lambda t: outlier.box_stats(t.scored.withColumn(
+    "level_closeness", F.concat_ws("|", "RFML_Level", "Proximidade_Marca")), "MonetaryValue", "level_closeness"))
+simple("cluster_profile_report", lambda t: cluster.profile_report(cluster.cluster_profile(t.features, ["sum", *FEATURES])))
+
+
+# what must hold for any fit, so that SQL can state it
+@query
+def hierarchical_counts(t: Tables) -> DataFrame:
+    """For each k: clusters found and rows placed."""
+    parts = [cluster.fit_hierarchical(t.scaled, k).transform(t.scaled).agg(
+        F.lit(k).alias("k"), F.count_distinct("cluster").alias("clusters"), F.count("*").alias("n")) for k in (2, 3, 5, 8)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query
+def customer_cluster_facts(t: Tables) -> DataFrame:
+    return t.labelled.agg(F.count("*").alias("n"), F.count_distinct("label").alias("clusters"),
+                          F.count_distinct("CustomerID").alias("customers"))
+
+
+@query
+def random_split_facts(t: Tables) -> DataFrame:
+    """A split leaves no customer out and none twice, and has about the share asked for."""
+    parts = BY_NAME["random_split"](t).groupBy("CustomerID").agg(F.count("*").alias("n"), F.max("part").alias("part"))
+    share = F.avg((F.col("part") == "train").cast("double"))
+    return parts.agg(F.sum("n").alias("n"), F.count("*").alias("customers"), share.between(0.5, 0.95).alias("near_share"))
+
+
+@query
+def component_facts(t: Tables) -> DataFrame:
+    """Shares of the variance add up to 1 and do not rise."""
+    found = BY_NAME["customer_components"](t)
+    share, place = [c for c in found.columns if found.schema[c].dataType.simpleString() == "double"][0], found.columns[0]
+    before = F.lag(share).over(Window.orderBy(place))
+    return found.select(share, (F.col(share) > before + 1e-9).alias("rises")).agg(
+        F.count("*").alias("components"), F.round(F.sum(share), 6).alias("total"), F.coalesce(F.max("rises"), F.lit(False)).alias("any_rise"))
+
+
+@query
+def projection_facts(t: Tables) -> DataFrame:
+    return BY_NAME["customer_projection"](t).agg(F.count_distinct("CustomerID").alias("customers"), (F.max("position") + 1).alias("dimensions"))
+
+
+@query
+def sweep_facts(t: Tables) -> DataFrame:
+    """Costs of k-means on the customers fall with k."""
+    found = cluster.kmeans_sweep(t.scaled, range(2, 10), 10)
+    before = F.lag("wcss").over(Window.orderBy("k"))
+    return found.select("k", F.coalesce(F.col("wcss") < before, F.lit(True)).alias("cheaper"))
+
+
+@query
+def classifier_facts(t: Tables) -> DataFrame:
+    """Every classifier gives each test row a known label and is right in more than half of the cases."""
+    train, test = t.learning
+    fits = classify.MODELS | {"svm_pairwise": classify.fit_pairwise_svm, "decision_tree_gini": lambda df: classify.fit_tree(df, "gini")}
+    rows = [fit(train).transform(test).agg(
+        F.lit(name).alias("model"), (F.count("*") == F.count("prediction")).alias("all_labelled"),
+        F.min(F.col("prediction").isin(0.0, 1.0, 2.0)).alias("known_labels"),
+        (F.avg((F.col("label") == F.col("prediction")).cast("double")) > 0.5).alias("useful")) for name, fit in fits.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
+@query
+def product_cluster_facts(t: Tables) -> DataFrame:
+    return BY_NAME["product_clusters"](t).agg(F.count_distinct("Description").alias("products"), F.count_distinct("cluster").alias("clusters"))
+
+
+@query
+def customer_silhouette_facts(t: Tables) -> DataFrame:
+    """The mean of the rows' silhouettes is the one Spark computes for the whole."""
+    rows = cluster.silhouettes(t.labelled, cluster="label").agg(F.avg("silhouette").alias("mean"), F.count("*").alias("n"))
+    whole = cluster.mean_silhouette(t.labelled, cluster="label")
+    return rows.select("n", (F.abs(F.col("mean") - whole) < 1e-6).alias("same_mean"))
+
+
+@query
+def later_period_facts(t: Tables) -> DataFrame:
+    """All customers of the later window that have features are placed, under names of segments."""
+    found = BY_NAME["later_period"](t)
+    return found.agg((F.count("*") == F.count_distinct("CustomerID")).alias("once"), (F.count("*") > 0).alias("some"),
+                     F.min(F.col("segment").isin(*cluster.SEGMENT_NAMES)).alias("named"))
+
+
+simple("product_silhouettes", lambda t: cluster.silhouettes(
+    t.product_vectors.join(t.assigned, "Description"), cluster="cluster").select("Description", "cluster", "silhouette"))
 
 
 def registered() -> dict[str, Query]:

@@ -22,6 +22,11 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
+    @cached_property
+    def second(self) -> "LaterTables":
+        """The same stages of the later window."""
+        return LaterTables(self.spark, self.folder, self)
+
     def source(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
@@ -140,6 +145,22 @@ class Tables:
         return materialize(self.points.select("vec_id", "label", labels[index].alias("prediction")), "placed")
 
 
+class LaterTables(Tables):
+    """All stages of the later window, from the same cleaned lines."""
+
+    def __init__(self, spark: SparkSession, folder: str, first: Tables):
+        super().__init__(spark, folder)
+        self.first = first
+
+    @property
+    def train(self) -> DataFrame:
+        return self.first.later
+
+    @cached_property
+    def scored(self) -> DataFrame:
+        return materialize(segments.segment_customers(self.metrics, on_ties="drop"), "scored")
+
+
 _STORE: dict[tuple[str, str], Tables] = {}
 
 

@@ -119,3 +119,8 @@ def test_first_return_without_counterpart(spark):
     assert cancel.first_without_counterpart(df).first().InvoiceNo == "C0"
     assert cancel.first_without_counterpart(df, skip_discounts=True).first().InvoiceNo == "C2"
     assert cancel.without_counterpart(df.where(F.col("InvoiceNo") != "C0")).count() == 2
+
+
+def test_equal_lines_are_refused(spark):
+    with pytest.raises(Exception, match="equal lines"):
+        cancel.net_cancels(frame(spark, [line("1"), line("1"), line("2")])).collect()

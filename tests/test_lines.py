@@ -122,3 +122,43 @@ def test_roots(spark):
 def test_band_counts_show_empty_bands(spark):
     banded = product.with_price_band(spark.createDataFrame([("A", 1.5)], "Description string, mean_price double"))
     assert [r.products for r in product.band_counts(banded).collect()] == [0, 1, 0, 0, 0, 0]
+
+
+HEADER = "StockCode,InvoiceNo,Quantity,Description,UnitPrice,InvoiceDate,Country,CustomerID\n"
+
+
+def test_csv_columns_go_by_name_and_integers_may_have_a_zero_fraction(spark, tmp_path):
+    path = tmp_path / "data.csv"
+    path.write_text(HEADER + "A1,536365,6.0,MUG,2.55,12/1/2010 8:26,UK,17850.0\nA2,536366,1,CUP,1,12/1/2010 8:28,UK,\n")
+    got = {r.InvoiceNo: r for r in invoices.read_csv(spark, str(path)).collect()}
+    assert (got["536365"].StockCode, got["536365"].Quantity, got["536365"].CustomerID) == ("A1", 6, 17850)
+    assert got["536366"].CustomerID is None
+    assert invoices.csv_rejects(spark, str(path)).count() == 0
+    with pytest.raises(ValueError):
+        (tmp_path / "short.csv").write_text("InvoiceNo,StockCode\n1,2\n")
+        invoices.read_csv(spark, str(tmp_path / "short.csv"))
+
+
+def test_csv_values_that_do_not_parse_are_errors_or_rejects(spark, tmp_path):
+    path = tmp_path / "data.csv"
+    path.write_text(HEADER + "A1,1,x1,MUG,2.55,12/1/2010 8:26,UK,5\nA2,2,1,CUP,1,12/1/2010 8:28,UK,5\n"
+                    "A3,3,1,CUP,1,2010-12-01,UK,5.5\n")
+    with pytest.raises(Exception, match="do not parse"):
+        invoices.read_csv(spark, str(path)).collect()
+    with pytest.raises(Exception, match="do not parse"):
+        invoices.read_csv(spark, str(path)).count()  # also when no column is needed
+    assert [r.InvoiceNo for r in invoices.read_csv(spark, str(path), lenient=True).collect()] == ["2"]
+    rejects = {r.InvoiceNo: r.rejected for r in invoices.csv_rejects(spark, str(path)).collect()}
+    assert rejects == {"1": ["Quantity"], "3": ["InvoiceDate", "CustomerID"]}
+
+
+def test_parquet_times_do_not_depend_on_the_session_zone(spark, tmp_path):
+    path = str(tmp_path / "x")
+    frame(spark, [line()]).withColumn("InvoiceDate", F.expr("TIMESTAMP'2011-01-01 12:00:00 UTC'")).write.parquet(path)
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for z in ("UTC", "America/Sao_Paulo", "Asia/Tokyo"):
+            spark.conf.set("spark.sql.session.timeZone", z)
+            assert invoices.read_parquet(spark, path).select(F.col("InvoiceDate").cast("string").alias("t")).first().t == "2011-01-01 12:00:00"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)

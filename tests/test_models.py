@@ -136,3 +136,28 @@ def test_keyword_inventory_takes_the_shortest_word(spark):
     df = spark.createDataFrame([("Red MUGS, mug",), ("mugs+tea",), ("mugs red",), (None,)], "Description string")
     got = {r.root: (r.words, r.keyword, r.n) for r in keywords.keyword_inventory(df).collect()}
     assert got["mug"] == (["mug", "mugs"], "mug", 3) and got["mugs+tea"][2] == 1
+
+
+@pytest.mark.parametrize("k", range(2, 11))
+def test_hierarchical_gives_k_clusters_on_standardised_data(spark, k):
+    rng = random.Random(k)
+    x = np.array([[rng.gauss(0, 1) for _ in range(4)] for _ in range(200)])
+    x = (x - x.mean(0)) / x.std(0)
+    table = spark.createDataFrame([(i, Vectors.dense(r)) for i, r in enumerate(x.tolist())], ["CustomerID", "features"])
+    found = cluster.fit_hierarchical(table, k).transform(table)
+    assert found.columns == ["CustomerID", "features", "cluster"]
+    assert found.select("cluster").distinct().count() == k
+
+
+def test_hierarchical_finds_blobs_and_refuses_too_few_rows(spark, blobs):
+    found = cluster.fit_hierarchical(blobs, 3).transform(blobs)
+    assert found.groupBy("label").agg(F.count_distinct("cluster").alias("n")).where("n > 1").count() == 0
+    with pytest.raises(ValueError):
+        cluster.fit_hierarchical(blobs.limit(2), 5)
+
+
+def test_a_silhouette_that_is_not_reached_is_an_error(spark, blobs):
+    _, score = cluster.fit_until_separated(blobs, 3, restarts=2, least=0.5)
+    assert score >= 0.5
+    with pytest.raises(ValueError):
+        cluster.fit_until_separated(blobs, 3, restarts=1, least=1.1, max_tries=2)

@@ -8,11 +8,10 @@ import pytest
 from tillroll.operators import order_stats, outlier, score
 
 
-@pytest.fixture(params=[order_stats.FEW_ROWS, 10])
+@pytest.fixture(params=[order_stats.CELLS, 8])
 def few_rows(request, monkeypatch):
-    """Both ways of counting: value by value and by cells."""
-    monkeypatch.setattr(order_stats, "FEW_ROWS", request.param)
-    monkeypatch.setattr(order_stats, "CELLS", 8)
+    """One round or many."""
+    monkeypatch.setattr(order_stats, "CELLS", request.param)
 
 
 @pytest.mark.parametrize("kind", ["int", "float", "decimal", "hot", "wide"])
@@ -30,6 +29,48 @@ def test_quantiles_equal_pandas(spark, few_rows, kind):
     assert np.allclose(order_stats.quantiles(df, "x", probabilities)[0], want, rtol=1e-12)
 
 
+@pytest.mark.parametrize("values", [
+    [float("inf"), *range(50)], [float("-inf"), float("inf"), 0.0, 1.0, 2.0], [1.7e308, -1.7e308, 0.0, 5.0, 1e-300, -1e-300],
+    [5e-324 * i for i in range(300)], [10.0**e for e in range(-320, 308, 3)], [-(10.0**e) for e in range(-320, 308, 3)],
+    [1.0 + 2.0**-52 * i for i in range(40)], [float("nan"), 1.0, 2.0], [float("inf")] * 5])
+def test_any_doubles_end(spark, values):
+    """Infinities, the whole range, denormals, neighbours: ranks are exact and the rounds few."""
+    values = [float(v) for v in values]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    kept = sorted(v for v in values if v == v)
+    rounds = []
+    count = order_stats._count_cells
+    order_stats._count_cells = lambda *a: rounds.append(1) or count(*a)
+    try:
+        got = order_stats.order_statistics(df, "x", lambda _, n: list(range(n)) if n < 20 else [0, 1, n // 4, n // 2, n - 2, n - 1])[0]
+    finally:
+        order_stats._count_cells = count
+    assert {k: v for k, (v, _) in got.items()} == {k: kept[k] for k in got}
+    assert all(below == sum(v < value for v in kept) for value, below in got.values())
+    assert len(rounds) <= 7
+
+
+def test_more_rows_than_one_switch_used_to_take(spark):
+    df = spark.range(150_000).selectExpr("if(id = 7, double('infinity'), double(id % 1000)) as x").persist()
+    assert order_stats.quantiles(df, "x", [0.25, 0.5, 1])[0][:2] == pytest.approx([249.75, 500], abs=1)
+    assert order_stats.quantiles(df, "x", [1])[0] == [float("inf")]
+    df.unpersist()
+
+
+def test_passes_of_one_window(spark, monkeypatch):
+    """Outliers and scores of a window read its customers twelve times at most, but for the chained filters."""
+    rng = random.Random(3)
+    rows = [(i, rng.randrange(400), rng.randrange(1, 17), Decimal(rng.randrange(10**6)).scaleb(-2), rng.randrange(300)) for i in range(900)]
+    df = spark.createDataFrame(rows, "CustomerID bigint, Recency bigint, Frequency bigint, MonetaryValue decimal(12,2), Lenght bigint").persist()
+    passes = []
+    for name in ("_count_cells", "_extents"):
+        plain = getattr(order_stats, name)
+        monkeypatch.setattr(order_stats, name, lambda *a, f=plain: passes.append(1) or f(*a))
+    score.fit_rules(df)
+    assert len(passes) <= 12
+    df.unpersist()
+
+
 def test_quantiles_per_group(spark, few_rows):
     rows = [(g, random.Random(g + str(i)).random() * 10 ** (i % 9)) for g in "abc" for i in range(57)]
     df = spark.createDataFrame(rows, "g string, x double")
@@ -94,3 +135,5 @@ def test_histogram_keeps_the_largest_value_in_the_last_bin(spark):
     df = spark.createDataFrame([(float(v),) for v in range(11)], "v double")
     got = {r.bin: r.n for r in outlier.histogram(df, "v", 5).collect()}
     assert got == {0: 2, 1: 2, 2: 2, 3: 2, 4: 3}
+    gap = spark.createDataFrame([(0.0,), (10.0,)], "v double")
+    assert {r.bin: r.n for r in outlier.histogram(gap, "v", 5).collect()} == {0: 1, 1: 0, 2: 0, 3: 0, 4: 1}

@@ -7,6 +7,11 @@ from pyspark.sql import Column, functions as F
 MICROS_PER_DAY = 86_400_000_000
 
 
+def whole(number: Column, unit: int) -> Column:
+    """How many whole units, rounded down; exact for any BIGINT, unlike a division of doubles."""
+    return F.call_function("div", number - F.pmod(number, F.lit(unit)), F.lit(unit))
+
+
 def to_micros(ts: Column) -> Column:
     """Microseconds since 1970-01-01 as BIGINT."""
     days = F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")).cast("bigint")
@@ -19,7 +24,7 @@ def to_micros(ts: Column) -> Column:
 
 def from_micros(micros: Column) -> Column:
     """Inverse of :func:`to_micros`."""
-    day = F.floor(micros / F.lit(MICROS_PER_DAY))
+    day = whole(micros, MICROS_PER_DAY)
     rest = micros - day * F.lit(MICROS_PER_DAY)
     seconds = (rest.cast("decimal(18,0)") / F.lit(1_000_000)).cast("decimal(18,6)")
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
@@ -38,7 +43,7 @@ def mean_micros(ts: Column) -> Column:
 
 def elapsed_days(later: Column, earlier: Column) -> Column:
     """Whole 24-hour spans between two timestamps."""
-    return F.floor((to_micros(later) - to_micros(earlier)) / F.lit(MICROS_PER_DAY)).cast("bigint")
+    return whole(to_micros(later) - to_micros(earlier), MICROS_PER_DAY)
 
 
 def calendar_days(later: Column, earlier: Column) -> Column:

@@ -25,7 +25,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tillroll.functions.time import to_micros
+from tillroll.functions.time import to_micros, whole
 from tillroll.schema import line_key
 from tillroll.session import materialize
 
@@ -82,7 +82,7 @@ def _before(entries: DataFrame, probes: DataFrame, keys: list[str], chunk_hours:
     keys and an earlier ``at``. ``entries``: keys, at, n, last; ``probes``: keys, at, need, ..."""
     micros = to_micros(F.col("at"))
     both = (entries.unionByName(probes, allowMissingColumns=True)
-            .withColumn("chunk", F.coalesce(F.floor(micros / (chunk_hours * MICROS_PER_HOUR)), F.lit(0))))
+            .withColumn("chunk", F.coalesce(whole(micros, chunk_hours * MICROS_PER_HOUR), F.lit(0))))
     per_chunk = both.groupBy(*keys, "chunk").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
     earlier_chunks = Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     carried = per_chunk.select(*keys, "chunk", F.sum("n").over(earlier_chunks).alias("n_carried"),
@@ -148,7 +148,8 @@ def net_cancels(lines: DataFrame, matches: DataFrame | None = None) -> DataFrame
 
     Settled cancels mark two lines each, themselves as gone and their order as cancelled
     in part. The marks are attached by grouping over the whole line instead of a join:
-    that takes one shuffle of the lines and leaves nothing to skew.
+    that takes one shuffle of the lines and leaves nothing to skew. Equal lines would fall together, so
+    they are refused with an error.
     """
     matches = match_cancels(lines) if matches is None else matches
     columns = lines.columns
@@ -164,9 +165,10 @@ def net_cancels(lines: DataFrame, matches: DataFrame | None = None) -> DataFrame
     marks = marks.groupBy("line").agg(F.max_by("units", "by").alias("QuantityCanceled"),
                                       F.max("gone").alias("gone")).select("line.*", "QuantityCanceled", "gone")
     unmarked = F.lit(None).cast("int")
-    return (lines.select(*columns, unmarked.alias("QuantityCanceled"), unmarked.alias("gone"))
-            .unionByName(marks).groupBy(*columns)
-            .agg(F.coalesce(F.max("QuantityCanceled"), F.lit(0)).alias("QuantityCanceled"),
+    equal = F.raise_error(F.lit("equal lines: remove duplicates before netting")).cast("int")
+    return (lines.select(*columns, unmarked.alias("QuantityCanceled"), unmarked.alias("gone"), F.lit(1).alias("own"))
+            .unionByName(marks.withColumn("own", F.lit(0))).groupBy(*columns)
+            .agg(F.when(F.sum("own") > 1, equal).otherwise(F.coalesce(F.max("QuantityCanceled"), F.lit(0))).alias("QuantityCanceled"),
                  F.max("gone").alias("gone"))
             .where("gone is null").drop("gone"))
 

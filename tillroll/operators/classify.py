@@ -8,6 +8,7 @@ from collections.abc import Callable
 from dataclasses import asdict, dataclass, replace
 from itertools import combinations
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, LinearSVC, OneVsRest,
                                        RandomForestClassifier)
 from pyspark.ml.functions import vector_to_array
@@ -44,6 +45,21 @@ class PairwiseSvm:
             votes[b] = votes[b] + F.when(side > 0, 1).otherwise(0)
         return table.withColumn("prediction", _first_best(votes))
 
+    def save(self, spark, path: str) -> None:
+        _save_text(spark, path, {"planes": self.planes})
+
+    @staticmethod
+    def load(spark, path: str) -> "PairwiseSvm":
+        return PairwiseSvm([(a, b, w, c) for a, b, w, c in _load_text(spark, path)["planes"]])
+
+
+def _save_text(spark, path: str, state: dict) -> None:
+    spark.createDataFrame([(json.dumps(state),)], "model string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def _load_text(spark, path: str) -> dict:
+    return json.loads(spark.read.option("wholetext", True).text(path).first().value)
+
 
 def _first_best(totals: dict[int, Column]) -> Column:
     best = F.greatest(*totals.values()) if len(totals) > 1 else next(iter(totals.values()))
@@ -92,12 +108,11 @@ class BoostedStumps:
         return table.withColumn("prediction", _first_best(totals))
 
     def save(self, spark, path: str) -> None:
-        text = json.dumps({"classes": self.classes, "stumps": [asdict(s) for s in self.stumps]})
-        spark.createDataFrame([(text,)], "model string").write.mode("overwrite").text(path)
+        _save_text(spark, path, {"classes": self.classes, "stumps": [asdict(s) for s in self.stumps]})
 
     @staticmethod
     def load(spark, path: str) -> "BoostedStumps":
-        state = json.loads(spark.read.text(path).first().value)
+        state = _load_text(spark, path)
         return BoostedStumps(state["classes"], [Stump(**s) for s in state["stumps"]])
 
 
@@ -119,13 +134,14 @@ def _best_stump(cells: list, edges: list[list[float]], classes: list[int]) -> tu
     return best, least / sum(total.values())
 
 
-def fit_adaboost(train: DataFrame, rounds: int = 50, bins: int = 32) -> BoostedStumps:
+def fit_adaboost(train: DataFrame, rounds: int = 50, bins: int | None = None) -> BoostedStumps:
     """Multi-class boosting (SAMME) of depth-1 trees.
 
     Features are binned once at approximate quantiles, as Spark's own trees do. A round is
     one aggregate, the weight per feature, bin and class. Row weights are an expression
     over the stumps so far, so the lineage does not grow with the rounds.
     """
+    bins = bins or BINS
     classes = sorted(int(r.label) for r in train.select("label").distinct().collect())
     table = train.select(F.col("label").cast("int").alias("label"), vector_to_array("features").alias("x"))
     size = table.select(F.size("x").alias("n")).first().n
@@ -155,12 +171,35 @@ def fit_adaboost(train: DataFrame, rounds: int = 50, bins: int = 32) -> BoostedS
     return BoostedStumps(classes, stumps)
 
 
-def fit_tree(train: DataFrame, impurity: str = "entropy", seed: int = 101, depth: int = 30) -> object:
-    return DecisionTreeClassifier(impurity=impurity, seed=seed, maxDepth=depth, labelCol="label").fit(train)
+BINS = 32
+
+
+def fit_tree(train: DataFrame, impurity: str = "entropy", seed: int = 101, depth: int = 30, bins: int = BINS) -> object:
+    """Without a limit of depth in the original method; 30 is the most Spark allows. Splits are tried at ``bins`` values."""
+    return DecisionTreeClassifier(impurity=impurity, seed=seed, maxDepth=depth, maxBins=bins, labelCol="label").fit(train)
+
+
+def fit_forest(train: DataFrame, trees: int = 50, seed: int = 0, depth: int = 30, bins: int = BINS) -> object:
+    """As :func:`fit_tree`: 30 is the most depth Spark allows."""
+    return RandomForestClassifier(numTrees=trees, seed=seed, maxDepth=depth, maxBins=bins, labelCol="label").fit(train)
+
+
+HOME_MADE = {"PairwiseSvm": PairwiseSvm, "BoostedStumps": BoostedStumps}
+
+
+def save_model(spark, model: object, path: str) -> None:
+    """Any fitted classifier; a type name beside it tells how to load it."""
+    kind = type(model).__name__ if type(model).__name__ in HOME_MADE else "pipeline"
+    _save_text(spark, f"{path}/kind", {"kind": kind})
+    if kind == "pipeline":
+        PipelineModel([model]).write().overwrite().save(f"{path}/model")
+    else:
+        model.save(spark, f"{path}/model")
 
 
-def fit_forest(train: DataFrame, trees: int = 50, seed: int = 0, depth: int = 15) -> object:
-    return RandomForestClassifier(numTrees=trees, seed=seed, maxDepth=depth, labelCol="label").fit(train)
+def load_model(spark, path: str) -> object:
+    kind = _load_text(spark, f"{path}/kind")["kind"]
+    return PipelineModel.load(f"{path}/model") if kind == "pipeline" else HOME_MADE[kind].load(spark, f"{path}/model")
 
 
 MODELS: dict[str, Fitter] = {

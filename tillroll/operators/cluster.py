@@ -6,9 +6,11 @@ from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import inheritable_thread_target
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import BisectingKMeans, KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -53,7 +55,10 @@ def mean_silhouette(clustered: DataFrame, column: str = "features", cluster: str
 def fit_until_separated(table: DataFrame, k: int, restarts: int = 30, least: float | None = None,
                         max_tries: int = 5, seed: int = 1, column: str = "features",
                         ) -> tuple[KMeansModel, float]:
-    """Model with the best silhouette of at most ``max_tries`` fits; stops early at ``least``."""
+    """Model and mean silhouette of one fit, or of the first of at most ``max_tries`` that reaches ``least``.
+
+    Raises if none does.
+    """
     best, score = None, -2.0
     for attempt in range(max_tries if least is not None else 1):
         model = fit_kmeans(table, k, restarts, seed + attempt * restarts, column)
@@ -61,8 +66,8 @@ def fit_until_separated(table: DataFrame, k: int, restarts: int = 30, least: flo
         if value > score:
             best, score = model, value
         if least is None or score >= least:
-            break
-    return best, score
+            return best, score
+    raise ValueError(f"silhouette {score:.4f} after {max_tries} tries, {least} was asked for")
 
 
 def _sweep(table: DataFrame, ks, fit, column: str, with_one: bool) -> DataFrame:
@@ -70,8 +75,8 @@ def _sweep(table: DataFrame, ks, fit, column: str, with_one: bool) -> DataFrame:
     table.count()
 
     def measure(k: int) -> tuple:
-        model = fit(k)
-        return (k, float(model.summary.trainingCost),
+        model, cost = fit(k)
+        return (k, float(cost),
                 float(mean_silhouette(model.transform(table), column)))
 
     rows = [(1, single_cluster_cost(table, column), None)] if with_one else []
@@ -80,20 +85,44 @@ def _sweep(table: DataFrame, ks, fit, column: str, with_one: bool) -> DataFrame:
     return table.sparkSession.createDataFrame(rows, "k int, wcss double, silhouette double")
 
 
-def kmeans_sweep(table: DataFrame, ks=range(2, 10), restarts: int = 3, seed: int = 1,
+def kmeans_sweep(table: DataFrame, ks=range(2, 10), restarts: int = 10, seed: int = 1,
                  column: str = "features") -> DataFrame:
     """(k, wcss, silhouette), k = 1 with its cost only."""
-    return _sweep(table, ks, lambda k: fit_kmeans(table, k, restarts, seed, column), column, True)
+    return _sweep(table, ks, lambda k: _kmeans_with_cost(table, k, restarts, seed, column), column, True)
 
 
 def hierarchical_sweep(table: DataFrame, ks=range(2, 11), seed: int = 1,
                        column: str = "features") -> DataFrame:
     """The same for top-down hierarchical clustering."""
-    return _sweep(table, ks, lambda k: fit_hierarchical(table, k, seed, column), column, False)
+    return _sweep(table, ks, lambda k: _hierarchical_with_cost(table, k, seed, column), column, False)
+
+
+def fit_hierarchical(table: DataFrame, k: int = 3, seed: int = 1, column: str = "features") -> PipelineModel:
+    """Top-down hierarchical clusters, exactly ``k`` of them, as a pipeline that can be stored.
+
+    A split moves two centres apart in proportion to the norm of the mean, which is 0 for standardised data. So the
+    vectors get one more entry, a constant: distances stay as they are and the mean is away from the origin.
+    """
+    fitted = Pipeline(stages=[
+        SQLTransformer(statement="SELECT *, CAST(1 AS DOUBLE) AS beside_origin FROM __THIS__"),
+        VectorAssembler(inputCols=[column, "beside_origin"], outputCol="off_origin"),
+        BisectingKMeans(k=k, seed=seed, featuresCol="off_origin", predictionCol="cluster"),
+        SQLTransformer(statement=f"SELECT {', '.join(f'`{c}`' for c in table.columns)}, cluster FROM __THIS__"),
+    ]).fit(table)
+    found = len(fitted.stages[2].clusterCenters())
+    if found != k:
+        raise ValueError(f"{found} clusters instead of {k}: too few distinct rows")
+    return fitted
+
+
+def _hierarchical_with_cost(table: DataFrame, k: int, seed: int, column: str) -> tuple:
+    model = fit_hierarchical(table, k, seed, column)
+    return model, model.stages[2].summary.trainingCost
 
 
-def fit_hierarchical(table: DataFrame, k: int = 3, seed: int = 1, column: str = "features"):
-    return BisectingKMeans(k=k, seed=seed, featuresCol=column, predictionCol="cluster").fit(table)
+def _kmeans_with_cost(table: DataFrame, k: int, restarts: int, seed: int, column: str) -> tuple:
+    model = fit_kmeans(table, k, restarts, seed, column)
+    return model, model.summary.trainingCost
 
 
 def squared_distance(point: Column, center: list[float]) -> Column:
@@ -118,13 +147,12 @@ def silhouettes(clustered: DataFrame, column: str = "features", cluster: str = "
         else F.col(column).cast("array<double>")
     table = clustered.withColumn("_x", point).withColumn(
         "_norm", F.aggregate("_x", F.lit(0.0), lambda s, v: s + v * v))
-    size = table.select(F.size("_x").alias("n")).first().n
-    stats = table.groupBy(cluster).agg(
-        F.count("*").alias("n"), F.sum("_norm").alias("q"),
-        F.array(*[F.sum(F.col("_x")[i]) for i in range(size)]).alias("s")).collect()
+    # one vector sum per cluster, whatever the number of dimensions
+    stats = (table.groupBy(cluster).agg(F.count("*").alias("n"), F.sum("_norm").alias("q"), Summarizer.sum(array_to_vector("_x")).alias("s"))
+             .withColumn("s", vector_to_array("s")).collect())
 
     def mean_distance(r) -> Column:
-        mean = F.array(*[F.lit(v / r.n) for v in r.s])
+        mean = F.lit([v / r.n for v in r.s])
         dot = F.aggregate(F.zip_with("_x", mean, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
         return F.col("_norm") - 2 * dot + F.lit(r.q / r.n)
 

@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 
-def confusion(predicted: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
+def confusion(predicted: DataFrame, label: str = "label", prediction: str = "prediction",
+              weight: str | None = None) -> DataFrame:
+    """Rows per label and prediction, or the sum of their weights."""
     return (predicted.groupBy(F.col(label).cast("int").alias("label"),
                               F.col(prediction).cast("int").alias("prediction"))
-            .agg(F.count("*").alias("n")))
+            .agg((F.sum(weight) if weight else F.count("*")).alias("n")))
+
+
+def balancing_weights(df: DataFrame, label: str = "label", name: str = "weight") -> DataFrame:
+    """Weights with which all classes count alike: the size of the largest class over that of the row's."""
+    sizes = df.groupBy(label).agg(F.count("*").alias("size"))
+    most = F.max("size").over(Window.partitionBy())
+    return df.join(sizes.select(label, (most / F.col("size")).alias(name)), label)
 
 
 def class_report(table: DataFrame) -> DataFrame:
@@ -18,7 +27,7 @@ def class_report(table: DataFrame) -> DataFrame:
     gives all sums.
     """
     hit = F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0)
-    none = F.lit(0).cast("bigint")
+    none = F.lit(0).cast(table.schema["n"].dataType)
     sides = F.array(
         F.struct(F.col("label").alias("class"), hit.alias("hits"), F.col("n").alias("labelled"),
                  none.alias("predicted")),

@@ -134,8 +134,3 @@ def key_repeats(df: DataFrame, key: str) -> DataFrame:
 
 def rename(df: DataFrame, names: dict[str, str], drop: list[str] = ()) -> DataFrame:
     return df.drop(*drop).withColumnsRenamed(names)
-
-
-def filled(column: str) -> Column:
-    """Null as 0."""
-    return F.coalesce(F.col(column), F.lit(0)).alias(column)

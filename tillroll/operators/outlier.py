@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tillroll.operators.order_stats import extents, quantiles
+from tillroll.operators.order_stats import extents, quantiles, quantiles_of
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -40,9 +40,10 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
                                 F.stddev_samp(F.col(c).cast("double")).alias("std"),
                                 F.min(c).cast("double").alias("min"),
                                 F.max(c).cast("double").alias("max")).alias(c) for c in columns])
+    found = quantiles_of(df, columns, [0.25, 0.5, 0.75])
     parts = []
     for c in columns:
-        quarters = quantiles(df, c, [0.25, 0.5, 0.75]).get(0, [None] * 3)
+        quarters = found.get(c, [None] * 3)
         parts.append(F.struct(F.lit(c).alias("column_name"), F.col(c).alias("m"),
                               *[F.lit(q).cast("double").alias(n) for q, n in zip(quarters, ("q1", "q2", "q3"))]))
     return (moments.select(F.inline(F.array(*parts)))
@@ -72,7 +73,7 @@ def box_stats(df: DataFrame, column: str, group: str | None = None, reach: float
 
 
 def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
-    """Equal-width bins from min to max, the last one closed; only bins with rows."""
+    """Equal-width bins from min to max, the last one closed; bins without rows have 0. Values must be finite."""
     found = extents(df, column)
     if not found:
         return df.select(F.lit(0).alias("bin"), F.lit(0).cast("bigint").alias("n")).limit(0)
@@ -80,6 +81,8 @@ def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
     low, width = float(low), (float(high) - float(low)) / bins
     place = (F.floor((F.col(column).cast("double") - F.lit(low)) / F.lit(width)) if width
              else F.lit(0).cast("bigint"))
-    return (df.where(F.col(column).isNotNull())
-            .select(F.least(place, F.lit(bins - 1)).cast("int").alias("bin"))
-            .groupBy("bin").agg(F.count("*").alias("n")))
+    counts = (df.where(F.col(column).isNotNull())
+              .select(F.least(place, F.lit(bins - 1)).cast("int").alias("bin"))
+              .groupBy("bin").agg(F.count("*").alias("n")))
+    every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    return every.join(counts, "bin", "left").select("bin", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))

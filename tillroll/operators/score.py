@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tillroll.functions.bands import closeness, level
-from tillroll.operators.order_stats import quantiles, rank_cuts
+from tillroll.operators.order_stats import bucket_ends, pairs_at_of, quantiles_of, rank_cuts
 
 ASCENDING = [1, 2, 3, 4]
 DESCENDING = [4, 3, 2, 1]
@@ -15,7 +16,10 @@ DESCENDING = [4, 3, 2, 1]
 
 def value_edges(df: DataFrame, column: str, buckets: int = 4, on_ties: str = "raise") -> list[float]:
     """Quantile edges, smallest and largest value included."""
-    edges = quantiles(df, column, [k / buckets for k in range(buckets + 1)])[0]
+    return _distinct_edges(column, quantiles_of(df, [column], [k / buckets for k in range(buckets + 1)])[column], on_ties)
+
+
+def _distinct_edges(column: str, edges: list[float], on_ties: str) -> list[float]:
     if len(set(edges)) < len(edges):
         if on_ties == "raise":
             raise ValueError(f"quantile edges of {column} are not unique: {edges}")
@@ -65,12 +69,25 @@ class ScoreRules:
     length: list[tuple]
 
 
+def rules_to_plain(rules: ScoreRules) -> dict:
+    """As JSON takes it; decimals and large integers as text."""
+    pairs = lambda cuts: [[str(v), type(v).__name__, t] for v, t in cuts]
+    return {"recency": rules.recency, "monetary": rules.monetary, "frequency": pairs(rules.frequency), "length": pairs(rules.length)}
+
+
+def rules_from_plain(state: dict) -> ScoreRules:
+    kinds = {"int": int, "float": float, "Decimal": Decimal}
+    pairs = lambda cuts: [(kinds[kind](v), t) for v, kind, t in cuts]
+    return ScoreRules(state["recency"], state["monetary"], pairs(state["frequency"]), pairs(state["length"]))
+
+
 def fit_rules(combined: DataFrame, on_ties: str = "raise") -> ScoreRules:
-    """``combined`` is read several times."""
-    return ScoreRules(value_edges(combined, "Recency", on_ties=on_ties),
-                      value_edges(combined, "MonetaryValue", on_ties=on_ties),
-                      rank_cuts(combined, "Frequency", "CustomerID"),
-                      rank_cuts(combined, "Lenght", "CustomerID"))
+    """``combined`` is read several times: a few rounds for both pairs of columns each."""
+    quarters = [k / 4 for k in range(5)]
+    edges = quantiles_of(combined, ["Recency", "MonetaryValue"], quarters)
+    cuts = pairs_at_of(combined, "CustomerID", {"Frequency": bucket_ends(4), "Lenght": bucket_ends(4)})
+    return ScoreRules(_distinct_edges("Recency", edges["Recency"], on_ties),
+                      _distinct_edges("MonetaryValue", edges["MonetaryValue"], on_ties), cuts["Frequency"], cuts["Lenght"])
 
 
 def score_customers(combined: DataFrame, rules: ScoreRules) -> DataFrame:
@@ -122,7 +139,6 @@ def crosstab_with_totals(df: DataFrame, row: str, column: str) -> DataFrame:
 
 
 def frequencies(df: DataFrame, column: str) -> DataFrame:
-    """Absolute and relative frequency of each value; the total is a scalar subquery."""
+    """Absolute and relative frequency of each value; the total is taken over the grouped rows."""
     counts = df.groupBy(column).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total")).scalar()
-    return counts.withColumn("share", F.col("n") / total)
+    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))

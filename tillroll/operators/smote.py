@@ -19,8 +19,8 @@ from tillroll.session import materialize
 # Executors need not have this package: the task functions travel with their code.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-CELL_ROWS = 2_000    # rows of one cell block, and of one batch of seekers met by it
-MOST_CELLS = 4_096   # pivots sent to every task: at most this many rows
+BLOCK_ROWS = 2_000   # rows of a block; two blocks meet in one group
+MOST_ROWS = 50_000   # rows of a class that classifiers are fitted on
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -32,17 +32,8 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(float)
 
 
-def _nearest_pivot(pivots: np.ndarray):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                distance = _distances(_matrix(pdf.x), pivots)
-                yield pdf.assign(cell=distance.argmin(1).astype("int32"), reach=distance.min(1))
-    return run
-
-
 def _block_neighbours(k: int):
-    """Nearest members for each seeker of one (cell, block, batch) group."""
+    """Nearest members for each seeker of one (block, batch) group."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         members, seekers = pdf[pdf.member], pdf[~pdf.member]
         if not len(members) or not len(seekers):
@@ -63,32 +54,7 @@ def _block_neighbours(k: int):
     return run
 
 
-def _search(seekers: DataFrame, members: DataFrame, k: int) -> DataFrame:
-    """k nearest members per seeker among the cells the seeker visits.
-
-    ``seekers``: id, x, visit (cell). ``members``: id, x, cell, block. Seekers of a cell
-    come in batches and members in blocks, so a hot cell is spread over many groups of
-    bounded size; each group sends on at most k rows per seeker.
-    """
-    load = seekers.groupBy("visit").agg(F.count("*").alias("n"))
-    load = load.withColumn("batches", F.ceil(F.col("n") / CELL_ROWS).cast("int")).drop("n")
-    blocks = members.groupBy("cell").agg(F.max("block").alias("last_block"))
-    plan = load.join(blocks, load.visit == blocks.cell).select("cell", "batches", "last_block")
-    asking = (seekers.join(plan, seekers.visit == plan.cell)
-              .select("id", "x", "cell", F.explode(F.sequence(F.lit(0), "last_block")).alias("block"),
-                      F.pmod(F.xxhash64("id"), F.col("batches")).cast("int").alias("batch"),
-                      F.lit(False).alias("member")))
-    present = (members.join(plan, "cell")
-               .select("id", "x", "cell", "block",
-                       F.explode(F.sequence(F.lit(0), F.col("batches") - 1)).alias("batch"),
-                       F.lit(True).alias("member")))
-    found = (asking.unionByName(present).groupBy("cell", "block", "batch")
-             .applyInPandas(_block_neighbours(k), "id long, neighbour long, x array<double>, distance double"))
-    order = Window.partitionBy("id").orderBy("distance", "neighbour")
-    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
-
-
-def nearest_neighbours(points: DataFrame, k: int, cell_rows: int = CELL_ROWS) -> DataFrame:
+def nearest_neighbours(points: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Exact k nearest other points: (id, neighbour, x, distance, place).
 
     ``points``: unique ``id`` BIGINT and ``x`` ARRAY<DOUBLE>, stored. Of equal points only
@@ -96,55 +62,44 @@ def nearest_neighbours(points: DataFrame, k: int, cell_rows: int = CELL_ROWS) ->
     """
     copy = F.row_number().over(Window.partitionBy("x").orderBy("id"))
     kept = materialize(points.select("id", "x").withColumn("copy", copy).where(F.col("copy") <= k + 1), "kept")
-    near = _search_cells(kept, k, cell_rows)
+    near = _search(kept.select("id", "x"), k, block_rows)
     crowd = points.select("id", "x").join(kept.select("id"), "id", "left_anti")
     beside = kept.where(F.col("copy") <= k).select(F.col("id").alias("neighbour"), "x", F.col("copy").alias("place"))
     return near.unionByName(crowd.join(beside, "x").select(
         "id", "neighbour", "x", F.lit(0.0).alias("distance"), "place"))
 
 
-def _search_cells(points: DataFrame, k: int, cell_rows: int) -> DataFrame:
-    """Points are put in cells around pivots. A search in the own cell bounds the distance
-    of the k-th neighbour; by the triangle inequality only cells nearer than that can hold
-    better ones, and these are searched too. No pair of points is shuffled."""
-    n = points.count()
-    count = max(1, min(MOST_CELLS, -(-n // cell_rows)))
-    chosen = points.orderBy(F.xxhash64("id")).limit(count).select("x").collect()
-    if not chosen:
-        return points.select("id", F.col("id").alias("neighbour"), "x", F.lit(0.0).alias("distance"),
-                             F.lit(1).alias("place"))
-    pivots = np.array([r.x for r in chosen], dtype=float)
-    placed = materialize(points.select("id", "x").mapInPandas(
-        _nearest_pivot(pivots), "id long, x array<double>, cell int, reach double"), "cells")
-    sizes = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("reach").alias("radius")).collect()
-    blocks = F.create_map(*[F.lit(v) for r in sizes for v in (r.cell, -(-r.n // cell_rows))])
-    members = placed.select("id", "x", "cell",
-                            F.pmod(F.xxhash64("id"), blocks[F.col("cell")]).cast("int").alias("block"))
-
-    own = materialize(_search(placed.select("id", "x", F.col("cell").alias("visit")), members, k), "own")
-    bound = own.groupBy("id").agg(F.max(F.when(F.col("place") == k, F.col("distance"))).alias("bound"))
-    radius = {r.cell: r.radius for r in sizes}
-    visited = np.array(sorted(radius), dtype="int32")
-    radii, centres = np.array([radius[c] for c in visited]), pivots[visited]
-
-    def other_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            distance = _distances(_matrix(pdf.x), centres)
-            limit = pdf.bound.fillna(np.inf).to_numpy()[:, None]
-            slack = 1e-6 * (1 + distance)
-            open_cell = distance - radii[None, :] <= limit + slack
-            open_cell &= pdf.cell.to_numpy()[:, None] != visited[None, :]
-            rows, picks = np.nonzero(open_cell)
-            yield pd.DataFrame({"id": pdf.id.to_numpy()[rows], "x": pdf.x.to_numpy()[rows],
-                                "visit": visited[picks]})
-
-    elsewhere = materialize(placed.select("id", "x", "cell").join(bound, "id", "left").mapInPandas(
-        other_cells, "id long, x array<double>, visit int"), "visits")
+def _search(points: DataFrame, k: int, block_rows: int) -> DataFrame:
+    """Each block of points against each block, one group of bounded size for each pair of blocks.
+
+    A group sends on at most k rows per point. The work grows with the square of the number of blocks, so
+    callers bound the points (see :func:`bounded`); nothing is stored but the result.
+    """
+    blocks = max(1, -(-points.count() // block_rows))
+    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    asking = points.select("id", "x", block.alias("batch"), every.alias("block"), F.lit(False).alias("member"))
+    present = points.select("id", "x", every.alias("batch"), block.alias("block"), F.lit(True).alias("member"))
+    found = (asking.unionByName(present).groupBy("block", "batch")
+             .applyInPandas(_block_neighbours(k), "id long, neighbour long, x array<double>, distance double"))
     order = Window.partitionBy("id").orderBy("distance", "neighbour")
-    return (own.unionByName(_search(elsewhere, members, k))
-            .withColumn("place", F.row_number().over(order)).where(F.col("place") <= k))
+    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+
+
+def bounded(table: DataFrame, most: int = MOST_ROWS, key: str = "CustomerID", label: str = "label", seed: int = 0) -> DataFrame:
+    """At most ``most`` rows of each class, those with the least hashes: the rows that classifiers are fitted on.
+
+    ``table`` is stored and read several times. Classes that are small enough stay whole.
+    """
+    h = F.xxhash64(F.lit(seed), F.col(key).cast("bigint"))
+    counts = {r[label]: r.n for r in table.groupBy(label).agg(F.count("*").alias("n")).collect()}
+    kept = F.lit(True)
+    for value in sorted(v for v, n in counts.items() if n > most):
+        own = table.where(F.col(label) == value).select(h.alias("h"), F.col(key).cast("bigint").alias("id"))
+        last, at = pairs_at(own, "h", "id", lambda _: [most - 1])[0]
+        first = (h < last) | ((h == last) & (F.col(key).cast("bigint") <= at))
+        kept = F.when(F.col(label) == value, first).otherwise(kept)
+    return table.where(kept)
 
 
 def smote(table: DataFrame, k: int = 5, seed: int = 0, key: str = "CustomerID",

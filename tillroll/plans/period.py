@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tillroll.operators import (basket, cancel, classify, cluster, evaluation, features, keywords,
                                 metrics, product, score)
-from tillroll.operators.smote import smote
+from tillroll.operators.smote import MOST_ROWS, bounded, smote
 from tillroll.plans.segments import combine_metrics
 from tillroll.schema import CATEGORIES
 from tillroll.session import materialize
@@ -38,15 +38,17 @@ def open_window(lines: DataFrame, rules: score.ScoreRules | None = None, on_ties
                   stored.select("Description"))
 
 
-def fit_products(window: Window, k: int = CATEGORIES, restarts: int = 30, seed: int = 1,
-                 stop_words: DataFrame | None = None) -> PipelineModel:
+def useful_keywords(window: Window, stop_words: DataFrame | None = None) -> DataFrame:
+    return materialize(keywords.useful_keywords(
+        keywords.keyword_inventory(window.descriptions, stop_words=stop_words)), "keywords")
+
+
+def fit_products(window: Window, useful: DataFrame, k: int = CATEGORIES, restarts: int = 30, seed: int = 1) -> PipelineModel:
     """Encoder and clusters of the products of a window.
 
     The keyword list becomes the encoder's vocabulary, which every fit needs as a whole;
     it grows with the language, not with the lines.
     """
-    useful = materialize(keywords.useful_keywords(
-        keywords.keyword_inventory(window.descriptions, stop_words=stop_words)), "keywords")
     words = [r.keyword for r in useful.orderBy(F.desc("n"), "keyword").collect()]
     encoder = product.product_encoder(words)
     hits = keywords.keyword_hits(window.banded, useful)
@@ -55,11 +57,9 @@ def fit_products(window: Window, k: int = CATEGORIES, restarts: int = 30, seed:
     return PipelineModel([encoder, model])
 
 
-def assign_products(window: Window, model: PipelineModel) -> DataFrame:
-    """(Description, cluster) of the window's products under a fitted model."""
-    words = [w for w in model.stages[0].vocabulary if not w.startswith("price ")]
-    known = window.banded.sparkSession.createDataFrame([(w,) for w in words], "keyword string")
-    hits = keywords.keyword_hits(window.banded, known)
+def assign_products(window: Window, model: PipelineModel, useful: DataFrame) -> DataFrame:
+    """(Description, cluster) of the window's products under a fitted model and its table of keywords."""
+    hits = keywords.keyword_hits(window.banded, useful)
     return model.transform(product.product_marks(window.banded, hits)).select("Description", "cluster")
 
 
@@ -78,32 +78,39 @@ class Fitted:
     classifiers: dict[str, object]
     rules: score.ScoreRules
     names: dict[int, str]
-    comparison: DataFrame
+    comparison: DataFrame | None
+    keywords: DataFrame
 
     def save(self, path: str) -> None:
         self.products.write().overwrite().save(f"{path}/products")
         self.segmenter.write().overwrite().save(f"{path}/segmenter")
+        spark = self.comparison.sparkSession
         for name, model in self.classifiers.items():
-            if isinstance(model, classify.BoostedStumps):
-                model.save(self.comparison.sparkSession, f"{path}/{name}")
-            else:
-                PipelineModel([model]).write().overwrite().save(f"{path}/{name}")
+            classify.save_model(spark, model, f"{path}/{name}")
+        self.keywords.write.mode("overwrite").parquet(f"{path}/keywords")
+        names = [[cluster_id, name] for cluster_id, name in self.names.items()]
+        state = {"rules": score.rules_to_plain(self.rules), "names": names, "classifiers": sorted(self.classifiers)}
+        classify._save_text(spark, f"{path}/state", state)
 
 
-def load_models(spark: SparkSession, path: str, classifier: str) -> tuple[PipelineModel, PipelineModel, object]:
-    """(products, segmenter, classifier) as saved."""
-    placed = (classify.BoostedStumps.load(spark, f"{path}/{classifier}") if classifier == "adaboost"
-              else PipelineModel.load(f"{path}/{classifier}"))
-    return PipelineModel.load(f"{path}/products"), PipelineModel.load(f"{path}/segmenter"), placed
+def load(spark: SparkSession, path: str, only: list[str] | None = None) -> Fitted:
+    """What :meth:`Fitted.save` wrote, with all classifiers or those named; the comparison is not stored."""
+    state = classify._load_text(spark, f"{path}/state")
+    return Fitted(PipelineModel.load(f"{path}/products"), PipelineModel.load(f"{path}/segmenter"),
+                  {name: classify.load_model(spark, f"{path}/{name}") for name in only or state["classifiers"]},
+                  score.rules_from_plain(state["rules"]), dict(map(tuple, state["names"])), None, spark.read.parquet(f"{path}/keywords"))
 
 
-def learning_sets(labelled: DataFrame, smote_before_split: bool = False, seed: int = 0,
+def learning_sets(labelled: DataFrame, smote_before_split: bool = False, seed: int = 0, most_rows: int = MOST_ROWS,
                   ) -> tuple[DataFrame, DataFrame]:
-    """(train, test) with balanced classes in train.
+    """(train, test) with balanced classes in train, from at most ``most_rows`` rows of each class.
+
+    The bound holds for fitting only; every row of a period is scored.
 
     Splitting comes first, so no test row has synthetic neighbours in train.
     ``smote_before_split`` does it the other way round and balances test as well.
     """
+    labelled = materialize(bounded(labelled, most_rows, seed=seed), "bounded")
     if smote_before_split:
         balanced = smote(labelled, seed=seed)
         row = F.xxhash64(vector_to_array("features"), "synthetic")
@@ -115,40 +122,47 @@ def learning_sets(labelled: DataFrame, smote_before_split: bool = False, seed: i
 
 def fit_period(lines: DataFrame, k: int = 3, restarts: int = 10, product_restarts: int = 30,
                models: dict[str, classify.Fitter] = classify.MODELS, seed: int = 1,
-               smote_before_split: bool = False, on_ties: str = "raise") -> Fitted:
-    """Everything the later period needs, from the clean lines of the first one."""
+               smote_before_split: bool = False, on_ties: str = "raise", most_rows: int = MOST_ROWS) -> Fitted:
+    """Everything the later period needs, from the clean lines of the first one.
+
+    Classifiers are fitted on at most ``most_rows`` rows of each class.
+    """
     window = open_window(lines, on_ties=on_ties)
-    products = fit_products(window, restarts=product_restarts, seed=seed)
-    table = window_features(window, assign_products(window, products))
+    useful = useful_keywords(window)
+    products = fit_products(window, useful, restarts=product_restarts, seed=seed)
+    table = window_features(window, assign_products(window, products, useful))
     scaling = features.fit_scaling(table)
     scaled = materialize(scaling.transform(table), "scaled")
     clusters = cluster.fit_kmeans(scaled, k, restarts, seed)
     labelled = materialize(clusters.transform(scaled).withColumn("label", F.col("cluster").cast("double")), "labelled")
     names = cluster.names_by_spend(cluster.cluster_profile(labelled, ["MonetaryValue"], by="MonetaryValue"), by="MonetaryValue")
-    train, test = learning_sets(labelled, smote_before_split)
+    train, test = learning_sets(labelled, smote_before_split, most_rows=most_rows)
     comparison, fitted = classify.compare(materialize(train, "train"), materialize(test, "test"), models)
     segmenter = PipelineModel([*scaling.stages(), clusters])
-    return Fitted(products, segmenter, fitted, window.rules, names, comparison)
+    return Fitted(products, segmenter, fitted, window.rules, names, comparison, useful)
 
 
-def score_period(lines: DataFrame, products: PipelineModel, segmenter: PipelineModel, classifier: object,
-                 refit_products: bool = False, oversample: bool = False,
-                 rules: score.ScoreRules | None = None, on_ties: str = "raise") -> DataFrame:
-    """Customers of a later period with label (stored clusters) and prediction (classifier).
+def score_period(lines: DataFrame, fitted: Fitted, classifier: str, refit_products: bool = False, balanced: bool = False,
+                 same_rules: bool = False, on_ties: str = "raise") -> DataFrame:
+    """Customers of a later period with label (stored clusters), segment (its name) and prediction (classifier).
 
     By default products keep their clusters, quartiles are those of the new window and the
-    rows are the real customers. ``refit_products`` clusters products anew, ``rules``
-    scores with the edges of another window, ``oversample`` balances the rows first.
+    rows are the real customers, all of them. ``refit_products`` clusters products anew, ``same_rules``
+    scores with the edges of the first window, ``balanced`` adds the weights with which all
+    labels count alike, in place of synthetic rows.
     """
-    window = open_window(lines, rules, on_ties)
-    assigned = assign_products(window, fit_products(window) if refit_products else products)
-    table = segmenter.transform(window_features(window, assigned))
-    table = materialize(table.withColumn("label", F.col("cluster").cast("double"))
-                        .select("CustomerID", "label", "features"), "later")
-    predicted = classifier.transform(smote(table) if oversample else table)
-    return predicted.select(*[c for c in ("CustomerID", "label", "synthetic", "prediction") if c in predicted.columns])
+    window = open_window(lines, fitted.rules if same_rules else None, on_ties)
+    useful, products = fitted.keywords, fitted.products
+    if refit_products:
+        useful = useful_keywords(window)
+        products = fit_products(window, useful)
+    table = fitted.segmenter.transform(window_features(window, assign_products(window, products, useful)))
+    table = cluster.with_segment(table, fitted.names).withColumn("label", F.col("cluster").cast("double"))
+    table = materialize(table.select("CustomerID", "label", "segment", "features"), "later")
+    predicted = fitted.classifiers[classifier].transform(evaluation.balancing_weights(table) if balanced else table)
+    return predicted.select(*[c for c in ("CustomerID", "label", "segment", "weight", "prediction") if c in predicted.columns])
 
 
 def period_quality(predicted: DataFrame) -> DataFrame:
-    """Accuracy, weighted and macro scores of a scored period."""
-    return evaluation.scores(evaluation.confusion(predicted))
+    """Accuracy, weighted and macro scores of a scored period, by the weights if it has some."""
+    return evaluation.scores(evaluation.confusion(predicted, weight="weight" if "weight" in predicted.columns else None))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_ROOTS: dict[str, str] = {}
+_FOLDERS: dict[str, str] = {}
+_SCOPES: list[str] = []
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "tillroll",
@@ -29,21 +31,34 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+def use_shared_folder(spark: SparkSession, folder: str) -> None:
+    """Name the folder for stages where ``spark.checkpoint.dir`` is unset; all executors must reach it."""
+    _FOLDERS[spark.sparkContext.applicationId] = folder
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it.
+    """The folder every executor can reach: ``spark.checkpoint.dir``, else the one named by :func:`use_shared_folder`."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or _FOLDERS.get(spark.sparkContext.applicationId)
+    if not root:
+        raise RuntimeError("set spark.checkpoint.dir, or call use_shared_folder, with a folder that all executors share")
+    return root.rstrip("/")
 
-    ``spark.checkpoint.dir`` decides. Where it is unset, a temporary folder is
-    used on a local master only, since no executor of a cluster could read it.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    if context.applicationId not in _LOCAL_ROOTS:
-        _LOCAL_ROOTS[context.applicationId] = tempfile.mkdtemp(prefix="tillroll-")
-    return _LOCAL_ROOTS[context.applicationId]
+
+def place(spark: SparkSession, name: str) -> str:
+    return f"{_SCOPES[-1] if _SCOPES else shared_folder(spark) + '/tillroll'}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def stages(spark: SparkSession) -> Iterator[str]:
+    """Stages made inside are removed at the end; results must have been read or written by then."""
+    folder = f"{shared_folder(spark)}/tillroll/scope-{uuid.uuid4().hex}"
+    _SCOPES.append(folder)
+    try:
+        yield folder
+    finally:
+        _SCOPES.remove(folder)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -53,6 +68,6 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     column pruning and filter pushdown.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/tillroll/{name}-{uuid.uuid4().hex}"
+    path = place(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tillroll.functions.time import parse_timestamp
 from tillroll.schema import INVOICE_LINES, LINE_COLUMNS
@@ -10,30 +10,75 @@ from tillroll.schema import INVOICE_LINES, LINE_COLUMNS
 CSV_DATE = "M/d/yyyy H:mm"
 
 
+def _text_lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    """The file as text, columns found by the names in its header."""
+    lines = spark.read.option("header", True).option("encoding", encoding).option("escape", '"').option("inferSchema", False).csv(path)
+    missing = [c for c in LINE_COLUMNS if c not in lines.columns]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
+    return lines
+
+
+def _parsed(field: T.StructField, date_format: str) -> Column:
+    """The value of a text, null if it does not parse. Whole numbers may be written with a zero fraction, as 5.0."""
+    text = F.trim(F.col(f"`{field.name}`"))
+    if isinstance(field.dataType, T.TimestampNTZType):
+        return parse_timestamp(text, date_format, lenient=True)
+    if isinstance(field.dataType, T.IntegralType):
+        number = text.try_cast("decimal(38,6)")
+        return F.when(number == F.floor(number), number).try_cast(field.dataType)
+    if isinstance(field.dataType, T.StringType):
+        return F.col(f"`{field.name}`")
+    return text.try_cast(field.dataType)
+
+
+def _checked(lines: DataFrame, date_format: str) -> tuple[DataFrame, Column]:
+    """Parsed columns under p_ names, and the names of the columns that did not parse."""
+    parsed = lines.withColumns({f"p_{f.name}": _parsed(f, date_format) for f in INVOICE_LINES})
+    bad = F.array_compact(F.array(*[F.when(F.col(f"`{f.name}`").isNotNull() & F.col(f"p_{f.name}").isNull(), F.lit(f.name))
+                                    for f in INVOICE_LINES]))
+    return parsed, bad
+
+
 def read_csv(spark: SparkSession, path: str, date_format: str = CSV_DATE,
              encoding: str = "ISO-8859-1", row_id: bool = False, lenient: bool = False) -> DataFrame:
-    """Invoice lines from CSV with a header.
+    """Invoice lines from CSV with a header, whatever the order of its columns.
 
+    A value that does not parse is an error. With ``lenient`` its row is left out here and is a row of :func:`csv_rejects`.
     ``row_id`` adds a sortable file position (file, block, row in block), which keeps
     the order of the file without a global sort.
     """
-    raw = T.StructType([T.StructField(f.name, T.StringType() if f.name == "InvoiceDate"
-                                      else f.dataType) for f in INVOICE_LINES])
-    lines = (spark.read.schema(raw).option("header", True).option("encoding", encoding)
-             .option("escape", '"').csv(path))
+    lines, bad = _checked(_text_lines(spark, path, encoding), date_format)
     position = F.struct(F.col("_metadata.file_path").alias("file"),
                         F.col("_metadata.file_block_start").alias("block"),
                         F.monotonically_increasing_id().alias("row"))
-    extra = [position.alias("row_id")] if row_id else []
-    lines = lines.select(*LINE_COLUMNS, *extra)
-    return lines.withColumn("InvoiceDate",
-                            parse_timestamp(F.col("InvoiceDate"), date_format, lenient))
+    lines = lines.select(*[F.col(f"p_{c}").alias(c) for c in LINE_COLUMNS], bad.alias("bad"), *([position.alias("row_id")] if row_id else []))
+    if lenient:
+        return lines.where(F.size("bad") == 0).drop("bad")
+    complaint = F.raise_error(F.concat(F.lit("values that do not parse in "), F.concat_ws(", ", "bad")))
+    first = LINE_COLUMNS[0]
+    checked = F.when(F.size("bad") == 0, F.col(first)).otherwise(complaint.cast("string"))
+    # a filter, unlike a column, is not left out when a query needs few columns
+    return lines.where((F.size("bad") == 0) | checked.isNotNull()).drop("bad")
+
+
+def csv_rejects(spark: SparkSession, path: str, date_format: str = CSV_DATE, encoding: str = "ISO-8859-1") -> DataFrame:
+    """Rows that :func:`read_csv` leaves out when lenient, as text, with the names of what did not parse (``rejected``)."""
+    lines, bad = _checked(_text_lines(spark, path, encoding), date_format)
+    return lines.withColumn("rejected", bad).where(F.size("rejected") > 0).select(*LINE_COLUMNS, "rejected")
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    """Invoice lines from Parquet, cast to the fixed schema."""
+    """Invoice lines from Parquet, cast to the fixed schema. Times with a zone are taken in UTC, whatever the session's zone."""
     table = spark.read.parquet(path)
-    return table.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in INVOICE_LINES])
+
+    def typed(field: T.StructField) -> Column:
+        value = F.col(field.name)
+        if isinstance(table.schema[field.name].dataType, T.TimestampType):
+            value = F.convert_timezone(F.current_timezone(), F.lit("UTC"), value.cast("timestamp_ntz"))
+        return value.cast(field.dataType).alias(field.name)
+
+    return table.select(*[typed(f) for f in INVOICE_LINES])
 
 
 def spread(table: DataFrame) -> DataFrame:
