@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 import tillroll
-from tillroll.session import shared_folder
+from tillroll.session import place, shared_folder
 
 #: What separates words: the space and the five control characters from tab to carriage return.
 WHITE = r"[\x20\x09-\x0D]"
@@ -22,7 +22,7 @@ WHITE = r"[\x20\x09-\x0D]"
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back; survives lost executors."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/tillroll-llm/{name}-{uuid.uuid4().hex}"
+    path = place(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -41,12 +41,12 @@ def ship(spark: SparkSession) -> None:
         for file in sorted(root.rglob("*.py")):
             out.writestr(zipfile.ZipInfo(str(file.relative_to(root.parent))), file.read_bytes())
     content = packed.getvalue()
-    place = f"{shared_folder(spark).rstrip('/')}/tillroll-llm/tillroll-{hashlib.sha256(content).hexdigest()[:16]}-{uuid.uuid4().hex[:8]}.zip"
-    path = context._jvm.org.apache.hadoop.fs.Path(place)
+    target = f"{shared_folder(spark)}/tillroll/package-{hashlib.sha256(content).hexdigest()[:16]}-{uuid.uuid4().hex[:8]}.zip"
+    path = context._jvm.org.apache.hadoop.fs.Path(target)
     stream = path.getFileSystem(context._jsc.hadoopConfiguration()).create(path, True)
     stream.write(content)
     stream.close()
-    context.addPyFile(place)
+    context.addPyFile(target)
     _SHIPPED.add(context.applicationId)
 
 
