@@ -302,6 +302,9 @@ LATER = ["lines_per_basket", "cancelled_order_rate", "netted_lines", "baskets",
 for _name in LATER:
     simple(f"later_{_name}", lambda t, build=BY_NAME[_name]: build(t.second))
 
+simple("line_reconciliation", lambda t: metrics.line_reconciliation(t.categorised))
+simple("later_line_reconciliation", lambda t: metrics.line_reconciliation(t.second.categorised))
+
 # more distributions
 simple("scored_description", lambda t: outlier.describe(t.scored, SCORED_NUMBERS))
 simple("recency_histogram", lambda t: outlier.histogram(t.metrics, "Recency"))

@@ -336,6 +336,10 @@ STATEMENTS: dict[str, str] = {
     "relationship_length": out("CustomerID:i basket_price:d Lenght:i LastPurchase:i FirstPurchase:i", 'SELECT *, "MonetaryValue" AS basket_price FROM metrics'),
     "snapshot_date": out("snapshot_date:t last_date:s", "SELECT max(\"InvoiceDate\") + INTERVAL 1 DAY AS snapshot_date, CAST(CAST(max(\"InvoiceDate\") AS DATE) AS VARCHAR) AS last_date FROM baskets"),
     "customer_reconciliation": out("CustomerID:i invoices:i last_date:t spend:d span_days:i", f'SELECT "CustomerID", count(DISTINCT "InvoiceNo") AS invoices, max("InvoiceDate") AS last_date, sum(basket_price) AS spend, (epoch_us(max("InvoiceDate")) - epoch_us(min("InvoiceDate"))) // {DAY} AS span_days FROM baskets GROUP BY "CustomerID"'),
+    "line_reconciliation": out("CustomerID:i invoices:i n_lines:i spend:d first_line:t last_line:t " + " ".join(f"share_{i}:d" for i in range(5)), f"""
+      SELECT "CustomerID", count(DISTINCT "InvoiceNo") AS invoices, count(*) AS n_lines, sum("TotalPrice") AS spend, min("InvoiceDate") AS first_line,
+             max("InvoiceDate") AS last_line, {", ".join(f'CAST(sum(categ_{i}) AS DOUBLE) * 100 / CAST(sum("TotalPrice") AS DOUBLE) AS share_{i}' for i in range(5))}
+      FROM (SELECT *, sum("TotalPrice") OVER (PARTITION BY "CustomerID", "InvoiceNo") AS total FROM categorised) WHERE total > 0 GROUP BY "CustomerID\""""),
     # outliers and distributions
     "rfm_without_outliers": out(METRIC_OUT, f"SELECT * FROM {RFM_KEPT}"),
     "length_without_outliers": out("CustomerID:i basket_price:d Lenght:i LastPurchase:i FirstPurchase:i", f'SELECT *, "MonetaryValue" AS basket_price FROM {LENGTH_KEPT}'),
@@ -425,5 +429,5 @@ STATEMENTS: dict[str, str] = {
 # the later window: the same statements over the other side of the cutoff
 LATER = ["lines_per_basket", "cancelled_order_rate", "netted_lines", "baskets", "order_value_ranges", "customer_metrics",
          "rfm_without_outliers", "length_without_outliers", "metric_description", "mean_product_prices", "price_band_counts",
-         "keyword_inventory", "customer_reconciliation"]
+         "keyword_inventory", "customer_reconciliation", "line_reconciliation"]
 STATEMENTS |= {f"later_{name}": STATEMENTS[name].replace(f'"InvoiceDate" < {CUTOFF}', f'"InvoiceDate" >= {CUTOFF}') for name in LATER}

@@ -36,11 +36,12 @@ def test_later_period(spark, small):
     assert found.count() > 0 and set(found.columns) == {"CustomerID", "label", "segment", "prediction"}
 
 
-def test_baskets_reconcile_with_metrics(spark, small):
+def test_metrics_reconcile_with_the_lines(spark, small):
+    """Metrics go over baskets, the other side over lines."""
     t = tables(spark, small)
-    from tillroll.operators.metrics import reconciliation
-    joined = reconciliation(t.baskets).join(t.metrics, "CustomerID", "full")
-    assert joined.where("NOT (invoices <=> Frequency AND spend <=> MonetaryValue AND span_days <=> Lenght)").count() == 0
+    from tillroll.operators.metrics import line_reconciliation
+    joined = line_reconciliation(t.cleaned).join(t.metrics, "CustomerID", "full")
+    assert joined.where("NOT (invoices <=> Frequency AND spend <=> MonetaryValue)").count() == 0
 
 
 def test_entry(spark):

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tillroll.functions.time import calendar_days, elapsed_days, plus_one_day
+from tillroll.operators.basket import line_value
 from tillroll.session import materialize
 
 
@@ -49,3 +50,18 @@ def reconciliation(basket_table: DataFrame) -> DataFrame:
         F.count_distinct("InvoiceNo").alias("invoices"), F.max("InvoiceDate").alias("last_date"),
         F.sum("basket_price").alias("spend"),
         elapsed_days(F.max("InvoiceDate"), F.min("InvoiceDate")).alias("span_days"))
+
+
+def line_reconciliation(lines: DataFrame) -> DataFrame:
+    """Per customer, straight from the cleaned lines: invoices, spend, dates of lines and share of each category in %.
+
+    Lines of invoices whose total is not above 0 don't count, as in the baskets; the total of an invoice
+    is a window over its lines, so no basket is built.
+    """
+    spend = [c for c in lines.columns if c.startswith("categ_") and c != "categ_product"]
+    total = F.sum(line_value()).over(Window.partitionBy("CustomerID", "InvoiceNo"))
+    paid = lines.withColumn("value", line_value()).withColumn("total", total).where("total > 0")
+    return paid.groupBy("CustomerID").agg(
+        F.count_distinct("InvoiceNo").alias("invoices"), F.count("*").alias("n_lines"), F.sum("value").alias("spend"),
+        F.min("InvoiceDate").alias("first_line"), F.max("InvoiceDate").alias("last_line"),
+        *[(F.sum(c).cast("double") * 100 / F.sum("value").cast("double")).alias(f"share_{c.removeprefix('categ_')}") for c in spend])
