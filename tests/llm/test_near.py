@@ -109,7 +109,53 @@ def test_sketches_estimate_and_merge():
             assert (near.merge(x, y) == near.sketch(pool)).all()
             more, less = np.array([(x > y).sum()]), np.array([(x < y).sum()])
             errors.append(near.estimate(more, less, len(x) - more - less, np.array([float(n)]), np.array([float(n)]))[0] - overlap / (2 * n - overlap))
-        assert abs(np.mean(errors)) < 0.02 and np.max(np.abs(errors)) < near.MARGIN
+        assert abs(np.mean(errors)) < 0.02 and np.max(np.abs(errors)) < near.margin(0.5)
+
+
+def test_rising_likelihood_is_the_estimate():
+    rng = np.random.default_rng(9)
+    equal = rng.integers(60, 320, 300)
+    more = rng.binomial(320 - equal, 0.5)
+    n_a, n_b = rng.integers(90, 110, 300).astype(float), rng.integers(90, 110, 300).astype(float)
+    best = near.estimate(more, 320 - equal - more, equal, n_a, n_b, np.linspace(0, 1, 1001))
+    for t in (0.5, 0.7, 0.74):
+        clear = np.abs(best - t) > 0.01
+        assert ((best >= t) == near.at_least(more, 320 - equal - more, equal, n_a, n_b, t))[clear].all()
+
+
+@pytest.mark.parametrize("hubs,slab", [(0, 7), (8, 4096)])
+def test_links_connect_what_pairs_connect(monkeypatch, hubs, slab):
+    """Both ways of verification, against all pairs."""
+    monkeypatch.setattr(near, "HUBS", hubs)
+    monkeypatch.setattr(near, "SLAB", slab)
+    rng = np.random.default_rng(4)
+    for size, copies in ((150, 60), (40, 12), (2_000, 10)):
+        base = rng.integers(0, 2**63, size).astype(np.uint64)
+        elements = []
+        for _ in range(copies):
+            own = base.copy()
+            changed = rng.integers(0, size, rng.integers(0, size // 6))
+            own[changed] = rng.integers(0, 2**63, len(changed)).astype(np.uint64)
+            elements.append(np.unique(own))
+        registers = np.stack([near.sketch(e) for e in elements])
+        links = near.verified_links(elements, registers, 85, np.ones(copies, bool))
+        up = list(range(copies))
+
+        def find(i):
+            while up[i] != i:
+                i = up[i]
+            return i
+
+        for a, b in links:
+            same = len(np.intersect1d(elements[a], elements[b]))
+            assert 100 * same >= 85 * (len(elements[a]) + len(elements[b]) - same)
+            assert find(a) != find(b)
+            up[find(a)] = find(b)
+        for a in range(copies):
+            for b in range(a):
+                same = len(np.intersect1d(elements[a], elements[b]))
+                if 100 * same >= 85 * (len(elements[a]) + len(elements[b]) - same):
+                    assert find(a) == find(b)
 
 
 def test_bands_miss_less_than_one_pair_in_a_million():

@@ -34,8 +34,8 @@ from tillroll.llm.graph import components
 
 REGISTERS, BASE, RATE, TOP = 320, 1.2, 20.0, 254
 MISS = 1e-6
-#: How far below the least similarity an estimate may lie for the pair to be verified: over six standard errors.
-MARGIN = 0.13
+#: Standard errors below which less than one estimate in a million lies.
+ERRORS = 4.8
 #: A block has about so many members and shingles.
 BLOCK, BLOCK_SHINGLES = 512, 1_000_000
 
@@ -105,6 +105,22 @@ def estimate(more: np.ndarray, less: np.ndarray, equal: np.ndarray, n_a: np.ndar
     return best
 
 
+def at_least(more: np.ndarray, less: np.ndarray, equal: np.ndarray, n_a, n_b, t: float, step: float = 0.005) -> np.ndarray:
+    """Whether the most likely similarity is ``t`` or more: the likelihood, which has one peak, still rises there."""
+    u, v = n_a / (n_a + n_b), n_b / (n_a + n_b)
+
+    def value(j: float) -> np.ndarray:
+        up, down = _exceeds(u - v * j), _exceeds(v - u * j)
+        return more * np.log(np.maximum(up, 1e-9)) + less * np.log(np.maximum(down, 1e-9)) + equal * np.log(np.maximum(1 - up - down, 1e-9))
+
+    return value(t + step) >= value(t - step)
+
+
+def margin(similarity: float, registers: int = REGISTERS) -> float:
+    """How far below the least similarity an estimate may lie for the pair to be verified: one in a million lies lower."""
+    return ERRORS * (similarity * (1 - similarity) / registers) ** 0.5
+
+
 def band_rows(similarity: float, registers: int = REGISTERS) -> int:
     rows = 1
     while (1 - similarity ** (rows + 1)) ** (registers // (rows + 1)) <= MISS:
@@ -155,62 +171,89 @@ def _sets(size: int):
     return run
 
 
-class _Joined:
-    """Union-find over the members of one task."""
+class _Compared:
+    """The members of one task: labels of what is joined so far, and the links that joined it."""
 
-    def __init__(self, n: int):
-        self.up = list(range(n))
+    def __init__(self, elements: list[np.ndarray], percent: int):
+        self.elements, self.percent = elements, percent
+        self.n = np.array([len(e) for e in elements], np.int64)
+        self.labels = np.arange(len(elements))
+        self.links: list[tuple[int, int]] = []
 
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
+    def linked(self, same: np.ndarray, n_a, n_b) -> np.ndarray:
+        return 100 * same >= self.percent * (n_a + n_b - same)
 
-    def roots(self) -> np.ndarray:
-        return np.array([self.root(i) for i in range(len(self.up))])
+    def join(self, i: int, others: np.ndarray) -> None:
+        for j in others.tolist():
+            if self.labels[j] != self.labels[i]:
+                self.labels[self.labels == self.labels[j]] = self.labels[i]
+                self.links.append((i, j))
+
+    def one_by_one(self, i: int, others: np.ndarray) -> None:
+        """Intersections of one set with others, all at once."""
+        if not len(others):
+            return
+        own, merged = self.elements[i], np.concatenate([self.elements[j] for j in others])
+        at = np.searchsorted(own, merged)
+        at[at == len(own)] = 0
+        starts = np.concatenate(([0], np.cumsum(self.n[others])[:-1]))
+        same = np.add.reduceat((own[at] == merged).astype(np.int64), starts)
+        self.join(i, others[self.linked(same, self.n[i], self.n[others])])
+
+    def all_at_once(self, rows: np.ndarray, shared: tuple[np.ndarray, np.ndarray, int], open_pairs: np.ndarray) -> None:
+        """Intersections of all pairs as products of 0-1 matrices, some thousand elements at a time."""
+        members, columns, width = shared
+        same = np.zeros((len(rows), len(rows)), np.float32)
+        for start in range(0, width, SLAB):
+            inside = (columns >= start) & (columns < start + SLAB)
+            dense = np.zeros((len(rows), min(SLAB, width - start)), np.float32)
+            dense[members[inside], columns[inside] - start] = 1
+            same += dense @ dense.T
+        n = self.n[rows]
+        linked = open_pairs & self.linked(same.astype(np.int64), n[:, None], n[None, :])
+        for k in np.flatnonzero(linked.any(1)).tolist():
+            self.join(int(rows[k]), rows[np.flatnonzero(linked[k])])
+
+
+HUBS, SLAB = 8, 4_096
 
 
 def verified_links(elements: list[np.ndarray], registers: np.ndarray, percent: int, left: np.ndarray) -> list[tuple[int, int]]:
     """Links that connect all pairs (one of them at least from ``left``) with 100 * intersection >= percent * union.
 
-    Not every such pair is returned, but one path between any two texts that such pairs connect.
+    Not every such pair is returned, but one path between any two texts that such pairs connect. The best connected
+    texts are compared first, for they join most others; then all pairs that are likely and still apart, set by
+    set or as a matrix product, whichever is less work. Both are exact.
     """
-    n = np.array([len(e) for e in elements], np.int64)
-    joined, links = _Joined(len(n)), []
-    likely = []
-    for i in range(len(n)):
-        others = np.flatnonzero((np.arange(len(n)) > i) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])) & (left | left[i]))
+    found = _Compared(elements, percent)
+    n, count = found.n, len(elements)
+    likely = np.zeros((count, count), bool)
+    for i in range(count - 1):
+        others = i + 1 + np.flatnonzero((100 * np.minimum(n[i + 1:], n[i]) >= percent * np.maximum(n[i + 1:], n[i])) & (left[i + 1:] | left[i]))
         if len(others):
             more = (registers[i] > registers[others]).sum(1)
             less = (registers[i] < registers[others]).sum(1)
-            found = estimate(more, less, registers.shape[1] - more - less, n[i].astype(float), n[others].astype(float), GRID[40:])
-            others = others[found >= percent / 100 - MARGIN]
-        likely.append(others)
-    degree = np.array([len(x) for x in likely])
-    for i, others in enumerate(likely):
-        degree[others] += 1
-    near = [[] for _ in n]
-    for i, others in enumerate(likely):
-        for j in others.tolist():
-            near[i].append(j)
-            near[j].append(i)
-    for i in np.argsort(-degree, kind="stable").tolist():  # the best connected first: they join most others at once
-        roots, own = joined.roots(), joined.root(i)
-        open_ones = [j for j in near[i] if roots[j] != own]
-        if not open_ones:
-            continue
-        lengths = n[open_ones]
-        merged = np.concatenate([elements[j] for j in open_ones])
-        at = np.searchsorted(elements[i], merged)
-        at[at == len(elements[i])] = 0
-        hits = np.add.reduceat((elements[i][at] == merged).astype(np.int64), np.concatenate(([0], np.cumsum(lengths)[:-1])))
-        for j, same in zip(open_ones, hits.tolist()):
-            near[j].remove(i) if len(near[j]) < 64 else None
-            if 100 * same >= percent * (n[i] + n[j] - same) and joined.root(j) != joined.root(i):
-                joined.up[joined.root(j)] = joined.root(i)
-                links.append((i, j))
-    return links
+            likely[i, others] = at_least(more, less, registers.shape[1] - more - less, n[i].astype(float), n[others].astype(float), percent / 100 - margin(percent / 100))
+    likely |= likely.T
+    for i in np.argsort(-likely.sum(1), kind="stable")[:HUBS].tolist():
+        found.one_by_one(i, np.flatnonzero(likely[i] & (found.labels != found.labels[i])))
+        likely[i] = likely[:, i] = False
+    apart = likely & (found.labels[:, None] != found.labels[None, :])
+    rows = np.flatnonzero(apart.any(1))
+    if not len(rows):
+        return found.links
+    values, columns, often = np.unique(np.concatenate([elements[i] for i in rows]), return_inverse=True, return_counts=True)
+    members = np.repeat(np.arange(len(rows)), n[rows])
+    kept = often[columns] > 1  # what stands in one set only is in no intersection
+    places = np.cumsum(often > 1) - 1
+    width = int((often > 1).sum())
+    apart = apart[np.ix_(rows, rows)]
+    if len(rows) ** 2 * width * 1e-10 < (apart @ n[rows]).sum() / 2 * 6e-8:
+        found.all_at_once(rows, (members[kept], places[columns[kept]], width), apart)
+    else:
+        for k, i in enumerate(rows.tolist()):
+            found.one_by_one(i, rows[k + 1:][apart[k, k + 1:] & (found.labels[rows[k + 1:]] != found.labels[i])])
+    return found.links
 
 
 def _compare(percent: int):
