@@ -79,3 +79,19 @@ def test_a_large_group(spark):
     docs = table(spark, [(i, "Same TEXT") for i in range(5_000)] + [(9_000, "other")])
     got = exact.decide(docs).collect()
     assert {(r.keep_id, r.group_size) for r in got} == {(4_999, 5_000), (9_000, 1)}
+
+
+def test_rows_of_files_are_not_stored_again(spark, tmp_path):
+    """Keys of rows come from their files; repeated rows are told apart, and projected tables are stored."""
+    from tillroll.llm.common import keyed
+
+    rows = sample()
+    table(spark, rows).repartition(3).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    assert keyed(docs, "k").select("k").distinct().count() == len(rows)
+    assert sorted(keyed(docs, "k").collect(), key=str) == sorted(keyed(docs, "k").collect(), key=str)
+    repeated = docs.select("*").union(docs)
+    assert keyed(repeated, "k").select("k").distinct().count() == 2 * len(rows)
+    got = sorted(((r.doc_id, r.text) for r in exact.deduplicate(docs).collect()), key=str)
+    assert len(got) == len({(t or "").translate(LOWER) for _, t in rows})
+    assert exact.deduplicate(repeated).count() == len(got)

@@ -27,6 +27,27 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Tables of so many rows at most, some 100 bytes each, are sent to all executors.
+BROADCAST_ROWS = 200_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """A stored table, marked for broadcast if it is small, so that what it is joined with need not be shuffled."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def keyed(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a key of each row that is the same whenever the rows are read again.
+
+    Rows of Parquet files have one in their file and place; any other table is stored first, with numbers.
+    """
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
+        place_ = docs.metadataColumn("_metadata")
+        return docs.withColumn(name, F.struct(F.xxhash64(place_["file_path"]).alias("file"), place_["row_index"].alias("at")))
+    number = F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("at"))
+    return stage(docs.withColumn(name, number), "rows")
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tillroll.llm.common import LOWER, column, fresh, map_arrow, stage, utf8
+from tillroll.llm.common import LOWER, column, few, fresh, keyed, map_arrow, stage, utf8
 
 CHUNK = 1 << 16
 PRIMES = (2**31 - 1, 2**31 - 19)
@@ -121,9 +121,9 @@ CLASS = ["print_a", "print_b", "n_bytes"]
 
 def classes(rows: DataFrame, primes=PRIMES, bases=BASES) -> DataFrame:
     """Decisions on rows (row, id, text): row, id, keep_id, group_size, kept, text_sha256."""
-    kind = rows.schema["id"].dataType.simpleString()
+    kind, row = rows.schema["id"].dataType.simpleString(), rows.schema["row"].dataType.simpleString()
     prints = stage(map_arrow(rows, _prints(primes, bases), (
-        f"row long, id {kind}, print_a long, print_b long, n_bytes long, text_sha256 string")), "exact-prints")
+        f"row {row}, id {kind}, print_a long, print_b long, n_bytes long, text_sha256 string")), "exact-prints")
     chunks = map_arrow(rows, _chunks(primes, bases), "print_a long, print_b long, n_bytes long, place long, chunk binary")
     unlike = stage(
         chunks.groupBy(*CLASS, "place").agg(F.min("chunk").alias("least"), F.max("chunk").alias("greatest"))
@@ -150,10 +150,10 @@ def decide(docs: DataFrame, identity: str = "doc_id", text: str = "text", primes
 def deduplicate(docs: DataFrame, identity: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows that stay, with the columns of ``docs``."""
     (row,) = fresh(docs, "row")
-    table = stage(docs.withColumn(row, F.monotonically_increasing_id()), "exact-rows")
+    table = keyed(docs, row)
     rows = table.select(F.col(row).alias("row"), column(table, identity).alias("id"), column(table, text).alias("text"))
     gone = stage(classes(rows).where(~F.col("kept")).select(F.col("row").alias(row)), "exact-gone")
-    return table.join(gone, row, "left_anti").select(*[column(table, c) for c in docs.columns])
+    return table.join(few(gone), row, "left_anti").select(*[column(table, c) for c in docs.columns])
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

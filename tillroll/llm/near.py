@@ -29,7 +29,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tillroll.llm.common import LOWER, MULTIPLIER, column, map_arrow, mixed, ship, span_hashes, spans_of, stage, utf8
+from tillroll.llm.common import LOWER, MULTIPLIER, column, few, fresh, map_arrow, mixed, ship, span_hashes, spans_of, stage, utf8
 from tillroll.llm.graph import components
 
 REGISTERS, BASE, RATE, TOP = 320, 1.2, 20.0, 254
@@ -287,8 +287,8 @@ def groups(docs: DataFrame, identity: str, text: str, size: int, percent: int) -
     families = stage(components(edges), "near-families")
     members = stage(families.join(classes.select("node", "id", "mark", "n_shingles"), "node"), "near-members")
     sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    wanted = members.join(sizes, "root").select(F.col("id").alias("of"), F.col("mark").alias("marked"), "node", "root", "blocks")
-    found = rows.join(wanted, F.col("id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("marked"))).select("text", "node", "root", "blocks")
+    wanted = stage(members.join(sizes, "root").select(F.col("id").alias("of"), F.col("mark").alias("marked"), "node", "root", "blocks"), "near-wanted")
+    found = rows.join(few(wanted), F.col("id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("marked"))).select("text", "node", "root", "blocks")
     sets = map_arrow(found, _sets(size), "node binary, root binary, blocks int, elements binary, registers binary")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     pairs = sets.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -322,9 +322,10 @@ def decide(docs: DataFrame, identity: str = "doc_id", text: str = "text", size:
 def deduplicate(docs: DataFrame, identity: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that stay: one document of each group."""
     gone = decide(docs, identity, text, size, percent).where(~F.col("kept")).select(F.col(f"`{identity}`").alias("of"), "mark").distinct()
-    gone = stage(gone.toDF("gone_id", "gone_mark"), "near-gone")
-    same = column(docs, identity).eqNullSafe(gone["gone_id"]) & (_mark(column(docs, text)) == gone["gone_mark"])
-    return docs.join(gone, same, "left_anti")
+    names = fresh(docs, "gone_id", "gone_mark")
+    gone = stage(gone.toDF(*names), "near-gone")
+    same = column(docs, identity).eqNullSafe(F.col(names[0])) & (_mark(column(docs, text)) == F.col(names[1]))
+    return docs.join(few(gone), same, "left_anti")
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
