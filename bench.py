@@ -17,7 +17,8 @@ from tillroll.session import local_session, use_shared_folder
 HEADLINES = [
     "column_profile", "duplicate_count", "orders_per_country", "returns_without_counterpart", "netted_lines",
     "baskets", "scored_customers", "document_keyword_inventory", "product_keyword_hits", "basket_statistics",
-    "row_silhouettes", "nearest_center", "customer_clusters",
+    "row_silhouettes", "nearest_center", "customer_clusters", "product_clusters", "balanced_classes", "model_comparison",
+    "later_period",
 ]
 
 

@@ -13,7 +13,7 @@ from tillroll.functions.bands import CLOSENESS, LOWEST_CLOSENESS
 from tillroll.operators import (basket, cancel, classify, cluster, evaluation, features, keywords,
                                 lines, metrics, outlier, product, score)
 from tillroll.operators.smote import smote
-from tillroll.plans import period, segments
+from tillroll.plans import segments
 from tillroll.schema import FEATURES, LINE_COLUMNS
 from tillroll.session import place
 from tillroll.sources import invoices
@@ -277,13 +277,7 @@ def random_split(t: Tables) -> DataFrame:
             .unionByName(test.select("CustomerID", F.lit("test").alias("part"))))
 
 
-@query
-def later_period(t: Tables) -> DataFrame:
-    """Models fitted on the first period, stored, loaded and applied to the later one."""
-    fitted = period.fit_period(t.train, models={"svm": classify.fit_svm})
-    path = place(t.spark, "models")
-    fitted.save(path)
-    return period.score_period(t.later, period.load(t.spark, path), "svm", on_ties="drop")
+simple("later_period", lambda t: t.placed_later)
 
 
 # the CSV source: the lines written as text and read back
@@ -389,8 +383,7 @@ def customer_silhouette_facts(t: Tables) -> DataFrame:
 @query
 def later_period_facts(t: Tables) -> DataFrame:
     """All customers of the later window that have features are placed, under names of segments."""
-    found = BY_NAME["later_period"](t)
-    return found.agg((F.count("*") == F.count_distinct("CustomerID")).alias("once"), (F.count("*") > 0).alias("some"),
+    return t.placed_later.agg((F.count("*") == F.count_distinct("CustomerID")).alias("once"), (F.count("*") > 0).alias("some"),
                      F.min(F.col("segment").isin(*cluster.SEGMENT_NAMES)).alias("named"))
 
 

@@ -7,10 +7,10 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from tillroll.operators import basket, cancel, cluster, features, keywords, lines, metrics, product
+from tillroll.operators import basket, cancel, classify, cluster, features, keywords, lines, metrics, product
 from tillroll.operators.smote import smote
-from tillroll.plans import segments
-from tillroll.session import materialize
+from tillroll.plans import period, segments
+from tillroll.session import materialize, place
 from tillroll.sources.invoices import from_star_schema
 
 CUTOFF = datetime(2000, 9, 1)
@@ -129,6 +129,14 @@ class Tables:
         train, test = features.split_by_id(self.labelled, "CustomerID")
         return materialize(smote(train), "train"), materialize(test, "test")
 
+    @cached_property
+    def placed_later(self) -> DataFrame:
+        """Models fitted on the first period, stored, loaded and applied to the later one."""
+        fitted = period.fit_period(self.train, models={"svm": classify.fit_svm})
+        path = place(self.spark, "models")
+        fitted.save(path)
+        return materialize(period.score_period(self.later, period.load(self.spark, path), "svm", on_ties="drop"), "placed")
+
     @cached_property
     def points(self) -> DataFrame:
         return self.source("embeddings")
