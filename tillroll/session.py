@@ -36,9 +36,13 @@ def use_shared_folder(spark: SparkSession, folder: str) -> None:
     _FOLDERS[spark.sparkContext.applicationId] = folder
 
 
+def named_folder(spark: SparkSession) -> str | None:
+    return spark.conf.get("spark.checkpoint.dir", None) or _FOLDERS.get(spark.sparkContext.applicationId)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``, else the one named by :func:`use_shared_folder`."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or _FOLDERS.get(spark.sparkContext.applicationId)
+    root = named_folder(spark)
     if not root:
         raise RuntimeError("set spark.checkpoint.dir, or call use_shared_folder, with a folder that all executors share")
     return root.rstrip("/")
