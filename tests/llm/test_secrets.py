@@ -33,6 +33,26 @@ def test_candidates_with_their_neighbours(spark):
     assert got[(None, 0)].before == "" and got[(6, 1)].before == "abc123def456ghi "
 
 
+def test_values_of_long_names_equal_a_plain_search(spark):
+    import re
+
+    rng = random.Random(5)
+    run = lambda n: "".join(rng.choice("abXY019+/_-") for _ in range(n))
+    texts = ["AWS_SECRET_ACCESS_KEY=wJalr1K7MDENGbPxRfi", "GITHUB_TOKEN=ghp_1a2b3c4d5e6f", "NAME_OF_12_CHARS=abc123def456ghi==", "abc123def456ghi=x",
+             "A_LONG_NAME_1=abc123def456ghi=", "PASSWORD_LONG==abc123def456ghi", "abc123def456ghi==="]
+    texts += ["".join(run(rng.randint(1, 20)) + rng.choice(["=", "==", "===", ",", "=\"", ":"]) for _ in range(6)) for _ in range(300)]
+    got = sorted((r.id, r.candidate) for r in secrets.candidates(table(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect())
+    want = set()
+    for i, text in enumerate(texts):
+        parts = re.split("([A-Za-z0-9+/_-]+)", text)
+        for part, after, following in zip(parts[1::2], parts[2::2], [*parts[3::2], ""]):
+            pad = after[:2] if after[:2] == "==" else after[:1] if after[:1] == "=" else ""
+            if len(part) >= 12 and re.search("[0-9]", part) and re.search("[A-Za-z]", part):
+                want.add((i, part + (pad if len(pad) < len(after) or not following else "")))
+    assert got == sorted(want)
+    assert (0, "wJalr1K7MDENGbPxRfi") in want and (1, "ghp_1a2b3c4d5e6f") in want
+
+
 def test_held_out_findings(sampled):
     findings = secrets.labelled(sampled)
     held = F.pmod("seed", F.lit(3)) == 0

@@ -31,7 +31,8 @@ DICTIONARY = 2_000
 TREES, DEPTH, SEED = 40, 8, 29
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789"
 SIDE = len(ALPHABET) + 1
-RUN = r"(?:^|[^A-Za-z0-9+/_-])([A-Za-z0-9+/_-]{12,}={0,2})"
+#: Equals signs after a run are its padding only if no further run begins there: that of NAME=value belongs to neither.
+RUN = r"(?<![A-Za-z0-9+/_-])([A-Za-z0-9+/_-]{12,}+(?:={1,2}+(?![A-Za-z0-9+/_-]))?)"
 CUES = ("token", "key", "secret", "passw", "pwd", "auth", "bearer", "credential", "api")
 OTHER_CUES = ("commit", "sha", "hash", "checksum", "md5", "version", "uuid", "digest", "example", "file", "path", "revision")
 PATH_CUES = ("test", "example", "doc", "fixture", "vendor", "lock")
