@@ -90,6 +90,19 @@ def test_verdicts_equal_numpy(spark):
         assert got[i].kept == kept[i] == (i % 5 != 0)
 
 
+def test_outliers_in_one_statistic_only_are_rejected(spark):
+    rng = random.Random(10)
+    lined = lambda n: "\n".join(prose(rng, 4) for _ in range(n))
+    rows = [(i, lined(rng.randint(20, 80)), "en", "s", "q", "c") for i in range(200)]
+    same = prose(rng, 3)
+    lines = "\n".join(f"{same}\n{prose(rng, 4)}" for _ in range(60))
+    passage = "\n".join(prose(rng, 5) for _ in range(38))
+    words = f"{lined(200)}\n{passage}\n{lined(202)}\n" + passage.replace("\n", " ")  # the passage again, but on one line
+    assert base(lines)[3:] == (59, 0) and base(words)[3] == 0 and 0.19 < base(words)[4] / base(words)[0] < 0.2
+    docs = spark.createDataFrame(rows + [(1000, lines, "en", "s", "q", "c"), (1001, words, "en", "s", "q", "c")], DOCS)
+    assert {r.doc_id for r in quality.keep_good(docs).collect()} == set(range(200))
+
+
 def test_small_groups_are_pooled_and_nulls_are_a_value(spark):
     rng = random.Random(9)
     rows = [(i, prose(rng, 60, junk=i % 10 == 0), ["en", None][i % 2], f"s{i % 30}" if i % 3 else None, "q", "c") for i in range(400)]

@@ -6,7 +6,8 @@ that short texts do not swing. Per language and source a minimum-covariance-dete
 them: from the medians on, each step keeps the share ``SHARE`` of rows nearest to the current centre by Mahalanobis distance
 and takes their mean and covariance, until no determinant falls any more. A row is rejected if its distance exceeds the
 chi-square quantile ``CUTOFF``. ``RESOLUTION`` is the standard deviation below which differences of a statistic mean
-nothing; it keeps the covariance regular where a statistic is constant.
+nothing; it keeps the covariance regular where a statistic is constant. It is so small that each statistic alone can pass the cutoff
+where the others of its group have none of it: 0.29 of the lines (plus five) repeated, or 0.19 of the words (plus twenty).
 
 Only built-in functions are used. Nearest rows are found by counts over bins of the logarithm of the distance, which hold the
 sums of the moments too: one aggregation per step, with a few hundred rows per group whatever its size, no sort of rows.
@@ -31,7 +32,7 @@ CUTOFF = 0.99999
 LEAST = 60
 STEPS = 20
 PSEUDO = 20
-RESOLUTION = (0.1, 0.05, 0.2, 0.3)
+RESOLUTION = (0.1, 0.05, 0.08, 0.1)
 D = len(RESOLUTION)
 X = [f"x{i}" for i in range(D)]
 PAIRS = [(i, j) for i in range(D) for j in range(i + 1)]
