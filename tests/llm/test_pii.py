@@ -113,6 +113,34 @@ def test_repeats_carry_the_label(field):
     assert both[last, 4] >= without[last, 4]
 
 
+def test_a_label_reaches_far_occurrences():
+    rng = np.random.default_rng(2)
+    for n in (50, 3_000):  # exact marginals of a chain, forwards and backwards
+        node, tables = rng.normal(size=(n, 3)) * 0.01, np.repeat(np.eye(3)[None] * 8, n - 1, axis=0)
+        node[0] = (40, 0, 0)
+        ahead, behind = np.zeros((n, 3)), np.zeros((n, 3))
+        for i in range(1, n):
+            ahead[i] = np.logaddexp.reduce((node[i - 1] + ahead[i - 1])[:, None] + tables[i - 1], axis=0)
+            behind[n - 1 - i] = np.logaddexp.reduce((node[n - i] + behind[n - i])[None] + tables[n - 1 - i], axis=1)
+        exact = node + ahead + behind
+        exact = np.exp(exact - exact.max(1, keepdims=True))
+        got = pii.marginals(node, np.array([(i, i + 1) for i in range(n - 1)]), tables)
+        assert np.abs(got - exact / exact.sum(1, keepdims=True)).max() < 1e-3
+    sure = pii.Field(np.zeros((pii.N_FEATURES, 5)), np.zeros((5, 5)), np.eye(5) * 8)
+    for between in (" word ", " v7 word "):
+        text = "+17435553824" + (between + "17435553824") * 49
+        (base, extra), = pii.label_batch([text], sure)
+        assert base == [(3, 0, 12)]
+        assert [text[a:b] for k, a, b in extra if k == 3] == ["17435553824"] * 49
+
+
+def test_message_passing_comes_to_rest_on_any_graph():
+    rng = np.random.default_rng(3)
+    edges = np.array([(a, b) for a in range(30) for b in range(a) if rng.random() < 0.4])
+    got = pii.marginals(rng.normal(size=(30, 5)), edges, rng.normal(size=(len(edges), 5, 5)) * 3)
+    assert np.isfinite(got).all() and np.allclose(got.sum(1), 1)
+
+
 def test_rows_nulls_and_empty_tables(spark, small):
     rows = [(1, None, "s", "i"), (2, "", "s", "i"), (None, "mail a@b.co", "s", "i"), (3, "mail a@b.co", "s", "i"), (3, "mail a@b.co", "s", "i"),
             (4, "x" * 200_000 + " 10.0.0.1", "s", "i")]

@@ -3,8 +3,8 @@
 Four patterns give the base spans. Around them a conditional random field labels the tokens of a document that hold a digit or an at
 sign (any other token has only one possible label, O). Its potentials are: features of a token and its neighbours; pairs of
 labels of adjacent tokens; pairs of labels of distant tokens that are the same or have the same digits, each joined with its next occurrence.
-Tokens in base spans have their label given. Loopy sum-product message passing, all documents of a batch at once, carries it
-to the repeated and neighbouring tokens; runs of tokens with a marginal of at least ``SURE`` for one label become further spans.
+Tokens in base spans have their label given. Loopy sum-product message passing, all documents of a batch at once and until no message
+changes by more than ``TOLERANCE``, carries it to the repeated and neighbouring tokens however far; runs of tokens with a marginal of at least ``SURE`` for one label become further spans.
 
 The field is trained on at most ``SAMPLE`` documents, those with the least hash of their id among the documents that hold a
 digit or an at sign: base spans are the labels, and each is also shown in other writing (phone number without its plus sign,
@@ -32,8 +32,9 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *KINDS)
 SAMPLE = 4_000
 SURE = 0.9
-ROUNDS = 12
-DAMPING = 0.3
+TOLERANCE = 1e-7
+#: Messages that still swing after so many sweeps change by ever smaller shares, so that they come to rest on any graph.
+PATIENCE, SETTLING = 200, 0.9
 #: Characters of texts whose tokens are labelled together.
 BLOCK = 4_000_000
 
@@ -167,13 +168,13 @@ def _labels(spans: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> l
 def _edges(text: str, spans: list[tuple[int, int]], bare: list[str]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """Adjacent candidates, and each candidate with the next that is the same or has the same digits."""
     chain = [(i, i + 1) for i in range(len(spans) - 1) if spans[i + 1][0] - spans[i][1] <= 3 and not text[spans[i][1]:spans[i + 1][0]].strip()]
-    skip, last = [], {}
+    skip, last, near = [], {}, set(chain)
     for i, x in enumerate(bare):
         digits = _digits(x)
         for key in {x.lower(), digits if len(digits) >= 6 else ""}:
             if len(key) < 4:
                 continue
-            if key in last and last[key] != i - 1:
+            if key in last and (last[key], i) not in near:
                 skip.append((last[key], i))
             last[key] = i
     return chain, skip
@@ -217,8 +218,25 @@ def fit(samples: list[tuple[list[int], int]], chain: np.ndarray, skip: np.ndarra
     return Field(node, potential(chain), potential(skip))
 
 
-def marginals(node: np.ndarray, edges: np.ndarray, potentials: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Loopy sum-product: node (n x k) and edge potentials (e x k x k) as logarithms; beliefs of all nodes."""
+def _sweep(edges: np.ndarray, n: int) -> list[np.ndarray]:
+    """Both directions of the edges (numbers below and from ``len(edges)`` on) in groups, in the order of one sweep: messages to later
+    nodes from the first level on, then those back from the last. A node's level is the longest path to it from earlier nodes."""
+    level = [0] * n
+    for b, a in sorted(zip(edges.max(1).tolist(), edges.min(1).tolist())):
+        level[b] = max(level[b], level[a] + 1)
+    of = np.array(level)[np.concatenate([edges[:, 0], edges[:, 1]])]
+    ahead = np.concatenate([edges[:, 0] < edges[:, 1], edges[:, 0] > edges[:, 1]])
+    turn = np.where(ahead, of, 2 * n - of)
+    order = np.argsort(turn, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(turn[order])) + 1)
+
+
+def marginals(node: np.ndarray, edges: np.ndarray, potentials: np.ndarray, rounds: int | None = None) -> np.ndarray:
+    """Loopy sum-product: node (n x k) and edge potentials (e x k x k) as logarithms; beliefs of all nodes.
+
+    Sweeps forwards and backwards carry a message along a whole chain; they go on, only where inputs have changed, until no
+    message changes (or for ``rounds`` sweeps).
+    """
     n, k = node.shape
     if len(edges):
         source = np.concatenate([edges[:, 0], edges[:, 1]])
@@ -226,15 +244,32 @@ def marginals(node: np.ndarray, edges: np.ndarray, potentials: np.ndarray, round
         table = np.concatenate([potentials, potentials.transpose(0, 2, 1)])
         back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
         messages = np.zeros((len(source), k))
-        for _ in range(rounds):
-            total = node.copy()
-            np.add.at(total, target, messages)
-            out = total[source] - messages[back]
-            wide = out[:, :, None] + table
-            top = wide.max(1, keepdims=True)
-            new = np.log(np.exp(wide - top).sum(1)) + top[:, 0]
-            new -= new.max(1, keepdims=True)
-            messages = DAMPING * messages + (1 - DAMPING) * new
+        total = node.copy()
+        changed, computed = np.ones(n, np.int64), np.zeros(len(source), np.int64)  # when
+        groups, clock, sweeps, moving = _sweep(edges, n), 1, 0, True
+        while moving and (rounds is None or sweeps < rounds):
+            moving, pace = False, SETTLING ** max(sweeps - PATIENCE, 0)
+            for group in groups:
+                active = group[changed[source[group]] > computed[group]]
+                if not len(active):
+                    continue
+                out = total[source[active]] - messages[back[active]]
+                wide = out[:, :, None] + table[active]
+                top = wide.max(1, keepdims=True)
+                new = np.log(np.exp(wide - top).sum(1)) + top[:, 0]
+                new -= new.max(1, keepdims=True)
+                step = pace * (new - messages[active])
+                computed[active] = clock
+                moved = np.abs(step).max(1) > TOLERANCE
+                if moved.any():
+                    active, step, moving = active[moved], step[moved], True
+                    if pace < 1:
+                        computed[active] = 0
+                    messages[active] += step
+                    np.add.at(total, target[active], step)
+                    clock += 1
+                    changed[target[active]] = clock
+            sweeps += 1
         node = node.copy()
         np.add.at(node, target, messages)
     belief = np.exp(node - node.max(1, keepdims=True)) if n else node
