@@ -134,6 +134,20 @@ def test_a_label_reaches_far_occurrences():
         assert [text[a:b] for k, a, b in extra if k == 3] == ["17435553824"] * 49
 
 
+def test_long_tokens_are_compared_whole():
+    head = "https://example.org/" + "path/" * 20 + "item-2345678"
+    text = f"{head}?one {'word ' * 9}{head}?two {'word ' * 9}{head}?one"
+    spans = pii.candidates(text)
+    _, bare = pii.features(text, spans)
+    assert bare == text.replace("word ", "").split()
+    letters = [f"{'x' * 90}@{c}" for c in "aba"]
+    spans = pii.candidates(" - ".join(letters))
+    _, bare = pii.features(" - ".join(letters), spans)
+    assert pii._edges(" - ".join(letters), spans, bare)[1] == [(0, 2)]
+    own, _ = pii.features("x" * 90 + "@" + "1" * 9, [(0, 100)])
+    assert 3 * pii.N_SHAPES + len(pii.CUES) + 16 + 1 in own[0]  # the at sign stands after 80 characters
+
+
 def test_message_passing_comes_to_rest_on_any_graph():
     rng = np.random.default_rng(3)
     edges = np.array([(a, b) for a in range(30) for b in range(a) if rng.random() < 0.4])
