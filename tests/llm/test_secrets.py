@@ -53,6 +53,29 @@ def test_values_of_long_names_equal_a_plain_search(spark):
     assert (0, "wJalr1K7MDENGbPxRfi") in want and (1, "ghp_1a2b3c4d5e6f") in want
 
 
+def test_dictionary_and_transitions_equal_a_plain_count(spark):
+    import math
+    import re
+    from collections import Counter
+
+    rng = random.Random(6)
+    made = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 6))) for _ in range(4_000)] + ["internationalisation"]
+    texts = [" ".join(rng.choices(made, k=900) + ["zyxwv" * (i == 7), "x1y2", "Z"]) for i in range(30)] + [" ".join(made), None, ""]
+    words = secrets.dictionary_of(table(spark, [(i, t, "s") for i, t in enumerate(texts)]))
+    want = Counter(w for t in texts for w in re.findall(r"\S+", (t or "").lower()) if re.fullmatch("[a-z]{2,}", w))
+    assert {r.word: r["count"] for r in words.collect()} == want and want["zyxwv"] == 1 and len(want) > 2_000
+    pairs = Counter()
+    for w, n in want.items():
+        for a, b in zip(w, w[1:]):
+            pairs[a, b] += n
+    line = sum(pairs["a", b] + 0.5 for b in " " + secrets.ALPHABET)
+    at = lambda c: secrets.ALPHABET.index(c) + 1
+    assert secrets._transitions(words)[at("a") * secrets.SIDE + at("b")] == pytest.approx(math.log((pairs["a", "b"] + 0.5) / line))
+    findings = spark.createDataFrame([("zyxwv_internationalisation_qqqq_zyxwv_1",), ("QQQQQQQQQQQ1",)], "candidate string")
+    got = secrets._covered(findings, words).collect()
+    assert [(r.x_letters, r.x_longest) for r in got] == [(30, 20)]
+
+
 def test_held_out_findings(sampled):
     findings = secrets.labelled(sampled)
     held = F.pmod("seed", F.lit(3)) == 0

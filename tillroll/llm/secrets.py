@@ -6,10 +6,10 @@ coverage by dictionary words, the path of its document and the words around it.
 
 The forest is trained on labelled findings: rows (candidate, before, after, path, label). ``labelled`` makes them from at most ``SAMPLE`` documents
 (those with the least hash of their id): keys as several services write them, in assignments, are secrets; identifiers, paths,
-dates, versions, checksums and placeholders made of the documents' own words are not. Dictionary and transitions are part of the trained model and
-come from the same documents. Candidates are taken from all documents and whole texts.
+dates, versions, checksums and placeholders made of the documents' own words are not. Dictionary and transitions are part of the trained model:
+all words of letters, counted over all documents and whole texts. Candidates are taken from these too.
 
-Only built-in functions and pyspark.ml are used. No data is shuffled but the bounded sample.
+Only built-in functions and pyspark.ml are used. Words and distinct candidates, counted within each task before, are shuffled; texts are not.
 
 Defined cases: null text has no candidates; a candidate of any length is judged whole; each occurrence is a finding of its own, also in
 repeated rows; null path counts as empty; an empty table gives no rows; other columns are not read.
@@ -24,10 +24,9 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tillroll.llm.common import column, stage, words
+from tillroll.llm.common import column, few, stage, words
 
 SAMPLE = 1_500
-DICTIONARY = 2_000
 TREES, DEPTH, SEED = 40, 8, 29
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789"
 SIDE = len(ALPHABET) + 1
@@ -57,12 +56,12 @@ def candidates(docs: DataFrame, identity: str = "doc_id", text: str = "text", pa
 
 
 def _sampled(docs: DataFrame, identity: str, text: str, sample: int) -> DataFrame:
-    """Rows (seed, w): words of the sampled documents, at most 200 of each (the bound of the training sample)."""
+    """Rows (seed, w): words of the sampled documents."""
     rows = docs.select(F.xxhash64(column(docs, identity)).alias("h"), column(docs, text).alias("text"))
     last = rows.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     chosen = rows.where(F.col("h") <= F.lit(last).cast("long")).limit(2 * sample)
     plain = F.filter(words(F.lower("text")), lambda x: x.rlike("^[a-z]{2,12}$"))
-    return stage(chosen.select(F.col("h").alias("seed"), F.slice(plain, 1, 200).alias("w")).where(F.size("w") >= 8), "secret-sample")
+    return stage(chosen.select(F.col("h").alias("seed"), plain.alias("w")).where(F.size("w") >= 8), "secret-sample")
 
 
 def labelled(sampled: DataFrame) -> DataFrame:
@@ -106,9 +105,9 @@ def _code(c: Column) -> Column:
 
 
 class Model:
-    """Forest, dictionary and log likelihoods of transitions."""
+    """Forest, dictionary (a stored table of words and their counts) and log likelihoods of transitions."""
 
-    def __init__(self, forest: RandomForestClassificationModel, dictionary: list[str], transitions: list[float]):
+    def __init__(self, forest: RandomForestClassificationModel, dictionary: DataFrame, transitions: list[float]):
         self.forest, self.dictionary, self.transitions = forest, dictionary, transitions
 
 
@@ -116,27 +115,33 @@ NAMES = ["length", "digits", "upper", "lower", "special", "changes", "distinct",
          *[f"cue_{c}" for c in CUES], *[f"other_{c}" for c in OTHER_CUES], *[f"path_{c}" for c in PATH_CUES], "assigned", "quoted", "prefix"]
 
 
-def features(findings: DataFrame, dictionary: list[str], transitions: list[float]) -> DataFrame:
+def _covered(findings: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Rows (x_candidate, x_letters, x_longest): how many letters of each distinct candidate are in words of the dictionary, and its longest such word."""
+    distinct = stage(findings.select(F.col("candidate").alias("x_candidate")).distinct(), "secret-distinct")
+    parts = F.split(F.lower(F.regexp_replace("x_candidate", "([a-z])([A-Z])", "$1 $2")), "[^a-z]+")
+    each = distinct.select("x_candidate", F.explode(parts).alias("word")).where(F.length("word") >= 2)
+    known = stage(each.select("word").distinct().join(dictionary.select("word"), "word", "left_semi"), "secret-known")
+    return few(stage(each.join(few(known), "word").groupBy("x_candidate").agg(
+        F.sum(F.length("word")).alias("x_letters"), F.max(F.length("word")).alias("x_longest")), "secret-covered"))
+
+
+def features(findings: DataFrame, dictionary: DataFrame, transitions: list[float]) -> DataFrame:
     """``findings`` with the column features."""
     c, n = F.col("candidate"), F.length("candidate")
     table = F.split(F.lit(" ".join(f"{t:.4f}" for t in transitions)), " ").cast("array<double>")
-    known = F.split(F.lit(" ".join(dictionary)), " ")
     small = F.lower(c)
     steps = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.element_at(
         table, (_code(F.substring(small, i, F.lit(1))) * SIDE + _code(F.substring(small, i + 1, F.lit(1))) + 1).cast("int")))
     count = lambda pattern: (F.size(F.split(c, pattern, -1)) - 1) / n
-    parts = F.filter(F.split(F.lower(F.regexp_replace(c, "([a-z])([A-Z])", "$1 $2")), "[^a-z]+"), lambda p: F.length(p) >= 2)
-    in_dictionary = F.filter(parts, lambda p: F.array_contains(known, p))
-    total = lambda a: F.aggregate(F.transform(a, lambda p: F.length(p)), F.lit(0), lambda x, y: x + y)
     before, place = F.lower(F.concat_ws(" ", "before", "after")), F.lower("path")
     flag = lambda condition: condition.cast("double")
-    made = findings.withColumns({"x_steps": steps, "x_parts": parts, "x_known": in_dictionary})
+    made = findings.join(_covered(findings, dictionary), c == F.col("x_candidate"), "left").withColumns({"x_steps": steps})
     columns = {
         "length": F.log(n.cast("double")), "digits": count("[0-9]"), "upper": count("[A-Z]"), "lower": count("[a-z]"), "special": count("[^A-Za-z0-9]"),
         "changes": count("(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])|(?<=[a-z])(?=[A-Z])"),
         "distinct": F.size(F.array_distinct(F.split(c, ""))) / n, "hex": flag(c.rlike("^[0-9a-f]+$")),
         "likelihood": F.aggregate("x_steps", F.lit(0.0), lambda a, b: a + b) / n, "least": F.array_min("x_steps"),
-        "covered": total(F.col("x_known")) / n, "longest_word": F.coalesce(F.array_max(F.transform("x_known", lambda p: F.length(p))), F.lit(0)).cast("double"),
+        "covered": F.coalesce("x_letters", F.lit(0)) / n, "longest_word": F.coalesce("x_longest", F.lit(0)).cast("double"),
         "assigned": flag(F.col("before").rlike("[=:]\\s*[\"']?\\s*$")), "quoted": flag(F.col("before").rlike("[\"']\\s*$")),
         "prefix": flag(c.rlike("^(AKIA|ghp_|gho_|sk_|pk_|xox|AIza|eyJ)")),
     }
@@ -147,23 +152,33 @@ def features(findings: DataFrame, dictionary: list[str], transitions: list[float
     return VectorAssembler(inputCols=[f"x_{name}" for name in NAMES], outputCol="features", handleInvalid="keep").transform(made).select(*findings.columns, "features")
 
 
-def _language(sampled: DataFrame) -> tuple[list[str], list[float]]:
-    """The most frequent words and the log likelihoods of character transitions of the sample; both of bounded size."""
-    each = sampled.select(F.explode("w").alias("word"))
-    counted = each.groupBy("word").count()
-    dictionary = [r.word for r in counted.orderBy(F.desc("count"), "word").limit(DICTIONARY).collect()]
-    pairs = counted.select("count", F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: _code(
-        F.substring("word", i, F.lit(1))) * SIDE + _code(F.substring("word", i + 1, F.lit(1))))).alias("pair"))
+def _counted(each: DataFrame) -> DataFrame:
+    """Rows (word, count) of the words of letters in rows (word)."""
+    return stage(each.where(F.col("word").rlike("^[a-z]{2,}$")).groupBy("word").count(), "secret-words")
+
+
+def dictionary_of(docs: DataFrame, text: str = "text") -> DataFrame:
+    """All words of letters of all documents and how often they occur."""
+    return _counted(docs.select(F.explode(words(F.lower(column(docs, text)))).alias("word")))
+
+
+def _transitions(dictionary: DataFrame) -> list[float]:
+    """Log likelihoods of character transitions in the counted words; of bounded size."""
+    letters = dictionary.select("count", F.split("word", "").alias("c"))
+    pairs = letters.select("count", F.explode(F.transform(F.sequence(F.lit(0), F.size("c") - 2), lambda i: _code(
+        F.get("c", i)) * SIDE + _code(F.get("c", i + 1)))).alias("pair"))
     table = [[0.5] * SIDE for _ in range(SIDE)]
     for r in pairs.groupBy("pair").agg(F.sum("count").alias("n")).collect():
         table[r.pair // SIDE][r.pair % SIDE] += r.n
-    return dictionary, [math.log(v / sum(line)) for line in table for v in line]
+    return [math.log(v / sum(line)) for line in table for v in line]
 
 
-def train(sampled: DataFrame, findings: DataFrame | None = None) -> Model:
-    """The forest fitted on ``findings`` (default: those of ``labelled``); few rows, so one partition in a fixed order."""
+def train(sampled: DataFrame, findings: DataFrame | None = None, dictionary: DataFrame | None = None) -> Model:
+    """The forest fitted on ``findings`` (default: those of ``labelled``) with ``dictionary`` (default: the words of the sample);
+    few rows, so one partition in a fixed order."""
     findings = labelled(sampled) if findings is None else findings
-    dictionary, transitions = _language(sampled)
+    dictionary = _counted(sampled.select(F.explode("w").alias("word"))) if dictionary is None else dictionary
+    transitions = _transitions(dictionary)
     rows = features(findings, dictionary, transitions).select("features", "label", F.xxhash64("candidate", "before", "label").alias("o"))
     rows = stage(rows.orderBy("o").coalesce(1), "secret-training").drop("o")
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="sqrt", maxBins=64, cacheNodeIds=False)
@@ -185,7 +200,7 @@ def find(docs: DataFrame, identity: str = "doc_id", text: str = "text", path: st
         sampled = _sampled(docs, identity, text, sample)
         if sampled.isEmpty():  # no words to train on: nothing is taken for a false positive
             return found.withColumns({"probability": F.lit(1.0), "secret": F.lit(True)}).withColumnRenamed("id", identity)
-        model = train(sampled)
+        model = train(sampled, dictionary=dictionary_of(docs, text))
     return judge(found, model).withColumnRenamed("id", identity)
 
 
