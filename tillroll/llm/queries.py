@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillroll.llm import bpe, chat, exact, license, mixing, near, pii, quality, secrets, substring
+from tillroll.llm import bpe, chat, exact, fingerprint, license, merkle, mixing, near, pii, quality, secrets, substring, trie
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_minhash_near_dedup": near.op8_minhash_near_dedup,
         "op9_pii": pii.op9_pii,
         "op10_chat_format": chat.op10_chat_format,
+        "op11_prefix_trie": trie.op11_prefix_trie,
+        "op12_merkle_manifest": merkle.op12_merkle_manifest,
+        "op13_fingerprint": fingerprint.op13_fingerprint,
     }
 
 
@@ -28,4 +31,6 @@ STATEMENTS = {
     "op1_exact_dedup": exact.SQL,
     "op7_mixing": mixing.SQL,
     "op10_chat_format": chat.SQL,
+    "op11_prefix_trie": trie.SQL,
+    "op12_merkle_manifest": merkle.SQL,
 }
