@@ -7,13 +7,16 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.clustering import BisectingKMeans, KMeans, KMeansModel
+from pyspark.ml.clustering import BisectingKMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tillroll.operators.kmeans import Centers, best, fit_runs
+from tillroll.operators.silhouette import mean_euclidean_silhouette
+
 SEGMENT_NAMES = ["bronze", "silver", "gold"]  # fixed values, by rising spend
 
 
@@ -39,30 +42,27 @@ def single_cluster_cost(table: DataFrame, column: str = "features") -> float:
 
 
 def fit_kmeans(table: DataFrame, k: int, restarts: int = 1, seed: int = 1,
-               column: str = "features") -> KMeansModel:
-    """Cheapest of ``restarts`` fits with consecutive seeds."""
-    fits = side_by_side(
-        lambda s: KMeans(k=k, seed=s, featuresCol=column, predictionCol="cluster").fit(table),
-        range(seed, seed + restarts))
-    return min(fits, key=lambda model: model.summary.trainingCost)
+               column: str = "features") -> Centers:
+    """Cheapest of ``restarts`` fits with consecutive seeds; one job per step for all of them."""
+    return best(fit_runs(table, [k], restarts, seed, column), column)
 
 
 def mean_silhouette(clustered: DataFrame, column: str = "features", cluster: str = "cluster") -> float:
-    """Squared-Euclidean silhouette; one linear pass, no pairs."""
+    """Squared-Euclidean silhouette; one linear pass, no pairs. See :mod:`tillroll.operators.silhouette` for the Euclidean one."""
     return ClusteringEvaluator(featuresCol=column, predictionCol=cluster).evaluate(clustered)
 
 
 def fit_until_separated(table: DataFrame, k: int, restarts: int = 30, least: float | None = None,
                         max_tries: int = 5, seed: int = 1, column: str = "features",
-                        ) -> tuple[KMeansModel, float]:
-    """Model and mean silhouette of one fit, or of the first of at most ``max_tries`` that reaches ``least``.
+                        ) -> tuple[Centers, float]:
+    """Model and mean Euclidean silhouette of one fit, or of the first of at most ``max_tries`` that reaches ``least``.
 
     Raises if none does.
     """
     best, score = None, -2.0
     for attempt in range(max_tries if least is not None else 1):
         model = fit_kmeans(table, k, restarts, seed + attempt * restarts, column)
-        value = mean_silhouette(model.transform(table), column)
+        value = mean_euclidean_silhouette(model.transform(table), column).mean
         if value > score:
             best, score = model, value
         if least is None or score >= least:
@@ -70,33 +70,36 @@ def fit_until_separated(table: DataFrame, k: int, restarts: int = 30, least: flo
     raise ValueError(f"silhouette {score:.4f} after {max_tries} tries, {least} was asked for")
 
 
-def _sweep(table: DataFrame, ks, fit, column: str, with_one: bool) -> DataFrame:
+def kmeans_sweep(table: DataFrame, ks=range(2, 10), restarts: int = 10, seed: int = 1,
+                 column: str = "features") -> DataFrame:
+    """(k, wcss, silhouette), k = 1 with its cost only; silhouettes are mean Euclidean ones.
+
+    All restarts of all k take their steps together, so the jobs are those of the longest fit.
+    """
+    ks = list(ks)
+    runs = fit_runs(table, ks, restarts, seed, column)
+    rows = [(1, single_cluster_cost(table, column), None)]
+    for k in ks:
+        model = best([r for r in runs if r.k == k], column)
+        rows.append((k, model.trainingCost, mean_euclidean_silhouette(model.transform(table), column).mean))
+    return table.sparkSession.createDataFrame(rows, "k int, wcss double, silhouette double")
+
+
+def hierarchical_sweep(table: DataFrame, ks=range(2, 11), seed: int = 1,
+                       column: str = "features") -> DataFrame:
+    """(k, wcss, silhouette) for top-down hierarchical clustering; silhouettes are squared-Euclidean ones."""
     table = table.persist()
     table.count()
 
     def measure(k: int) -> tuple:
-        model, cost = fit(k)
-        return (k, float(cost),
-                float(mean_silhouette(model.transform(table), column)))
+        model = fit_hierarchical(table, k, seed, column)
+        return k, float(model.stages[2].summary.trainingCost), float(mean_silhouette(model.transform(table), column))
 
-    rows = [(1, single_cluster_cost(table, column), None)] if with_one else []
-    rows += side_by_side(measure, ks)
+    rows = side_by_side(measure, ks)
     table.unpersist()
     return table.sparkSession.createDataFrame(rows, "k int, wcss double, silhouette double")
 
 
-def kmeans_sweep(table: DataFrame, ks=range(2, 10), restarts: int = 10, seed: int = 1,
-                 column: str = "features") -> DataFrame:
-    """(k, wcss, silhouette), k = 1 with its cost only."""
-    return _sweep(table, ks, lambda k: _kmeans_with_cost(table, k, restarts, seed, column), column, True)
-
-
-def hierarchical_sweep(table: DataFrame, ks=range(2, 11), seed: int = 1,
-                       column: str = "features") -> DataFrame:
-    """The same for top-down hierarchical clustering."""
-    return _sweep(table, ks, lambda k: _hierarchical_with_cost(table, k, seed, column), column, False)
-
-
 def fit_hierarchical(table: DataFrame, k: int = 3, seed: int = 1, column: str = "features") -> PipelineModel:
     """Top-down hierarchical clusters, exactly ``k`` of them, as a pipeline that can be stored.
 
@@ -115,16 +118,6 @@ def fit_hierarchical(table: DataFrame, k: int = 3, seed: int = 1, column: str =
     return fitted
 
 
-def _hierarchical_with_cost(table: DataFrame, k: int, seed: int, column: str) -> tuple:
-    model = fit_hierarchical(table, k, seed, column)
-    return model, model.stages[2].summary.trainingCost
-
-
-def _kmeans_with_cost(table: DataFrame, k: int, restarts: int, seed: int, column: str) -> tuple:
-    model = fit_kmeans(table, k, restarts, seed, column)
-    return model, model.summary.trainingCost
-
-
 def squared_distance(point: Column, center: list[float]) -> Column:
     target = F.array(*[F.lit(float(v)) for v in center])
     return F.aggregate(F.zip_with(point, target, lambda a, b: (a - b) * (a - b)), F.lit(0.0),

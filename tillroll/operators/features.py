@@ -1,16 +1,18 @@
-"""Feature tables: assembly, scaling, principal components, splits."""
+"""Feature tables: assembly, scaling, splits; principal components are in :mod:`tillroll.operators.components`."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.feature import PCA, PCAModel, SQLTransformer, StandardScaler, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import DataFrame, functions as F
 
+from tillroll.operators.components import Components, fit_components
 from tillroll.schema import FEATURES
 
+__all__ = ["Components", "Scaling", "assemble", "customer_features", "fit_components", "fit_scaling", "split_by_id"]
+
 
 def customer_features(scored: DataFrame, stats: DataFrame) -> DataFrame:
     """Scored customers with their basket statistics, features as DOUBLE."""
@@ -61,33 +63,6 @@ def fit_scaling(table: DataFrame, columns: list[str] = FEATURES) -> Scaling:
     return Scaling(list(columns), [row[f"m{i}"] for i in size], [row[f"s{i}"] for i in size])
 
 
-@dataclass(frozen=True)
-class Components:
-    """Principal components that centre before they project."""
-
-    model: PipelineModel
-
-    def transform(self, table: DataFrame, output: str = "pca") -> DataFrame:
-        return self.model.transform(table).drop("centred").withColumnRenamed("projected", output)
-
-    def explained(self, spark) -> DataFrame:
-        """Explained variance per component and its running sum."""
-        pca: PCAModel = self.model.stages[-1]
-        rows = [(i + 1, float(v)) for i, v in enumerate(pca.explainedVariance.toArray())]
-        table = spark.createDataFrame(rows, "component int, explained double")
-        running = Window.orderBy("component").rowsBetween(Window.unboundedPreceding, 0)
-        return table.withColumn("cumulative", F.sum("explained").over(running))
-
-
-def fit_components(table: DataFrame, k: int | None = None, column: str = "features") -> Components:
-    """Principal components; all of them without ``k``."""
-    if k is None:
-        k = table.select(F.size(vector_to_array(column)).alias("n")).first().n
-    centring = StandardScaler(inputCol=column, outputCol="centred", withMean=True, withStd=False).fit(table)
-    pca = PCA(k=k, inputCol="centred", outputCol="projected").fit(centring.transform(table))
-    return Components(PipelineModel([centring, pca]))
-
-
 def split_by_id(table: DataFrame, key: str, train: float = 0.8, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """Reproducible random split: the hash of the key decides, whatever the partitioning."""
     place = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1_000_000)) < int(train * 1_000_000)
