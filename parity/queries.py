@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from parity.tables import Tables, plain, tables
 from tillroll.functions.bands import CLOSENESS, LOWEST_CLOSENESS
-from tillroll.operators import (basket, cancel, classify, cluster, evaluation, features, keywords,
-                                lines, metrics, outlier, product, score)
+from tillroll.functions.vectors import numbers
+from tillroll.operators import (basket, cancel, classify, cluster, distinct, evaluation, features, keywords,
+                                kmeans, lines, metrics, outlier, product, score, silhouette, ward)
+from tillroll.operators.density import density
 from tillroll.operators.smote import smote
 from tillroll.plans import segments
 from tillroll.schema import FEATURES, LINE_COLUMNS
@@ -309,6 +311,60 @@ simple("monetary_box_by_level_and_closeness", lambda t: outlier.box_stats(t.scor
 simple("cluster_profile_report", lambda t: cluster.profile_report(cluster.cluster_profile(t.features, ["sum", *FEATURES])))
 
 
+# density curves
+simple("recency_density", lambda t: density(t.metrics, "Recency"))
+simple("frequency_density", lambda t: density(t.metrics, "Frequency"))
+simple("monetary_density", lambda t: density(t.metrics, "MonetaryValue"))
+simple("length_density", lambda t: density(t.metrics, "Lenght"))
+
+# Euclidean silhouettes, and Ward's clusters
+simple("row_euclidean_silhouettes", lambda t: silhouette.euclidean_silhouettes(t.points, "vec_id", "embedding", "label"))
+simple("ward_sweep", lambda t: ward.ward_sweep(t.scaled))
+simple("ward_linkage", lambda t: ward.fit_ward(t.scaled).linkage(t.spark))
+simple("ward_clusters", lambda t: ward.fit_ward(t.scaled).transform(t.scaled, 3).select("CustomerID", "cluster"))
+
+
+@query
+def embedding_silhouette(t: Tables) -> DataFrame:
+    """Mean Euclidean silhouette of the labels, with its standard error."""
+    found = silhouette.mean_euclidean_silhouette(t.points, "embedding", "label")
+    return t.spark.createDataFrame([(found.mean, found.error, found.sampled, found.rows)], "mean double, error double, sampled long, rows long")
+
+
+@query
+def ward_total(t: Tables) -> DataFrame:
+    """The costs of all merges, and the spread inside the summaries, add up to the spread of the table."""
+    fitted = ward.fit_ward(t.scaled)
+    total = sum(h * h / 2 for _, _, h, _ in fitted.merges) + fitted.within
+    return t.spark.createDataFrame([(int(fitted.sizes.sum()), round(total, 4))], "n long, total double")
+
+
+@query
+def cluster_cost_split(t: Tables) -> DataFrame:
+    """For each k: costs inside the clusters of the best of ten fits and between their means add up to the spread of the table."""
+    runs = kmeans.fit_runs(t.scaled, range(2, 10), 10)
+    chosen = [min((r for r in runs if r.k == k), key=lambda r: r.cost) for k in range(2, 10)]
+    rows = []
+    for run, (sizes, costs, sums) in zip(chosen, kmeans.features_of(t.scaled.select(numbers(t.scaled, "features").alias("x")), [r.centers for r in chosen])):
+        means, grand = sums / sizes[:, None], sums.sum(0) / sizes.sum()
+        inside = costs.sum() - (sizes * ((means - run.centers) ** 2).sum(1)).sum()
+        rows.append((run.k, int(sizes.sum()), round(float(inside + (sizes * ((means - grand) ** 2).sum(1)).sum()), 4)))
+    return t.spark.createDataFrame(rows, "k int, n long, total double")
+
+
+# distinct counts from stored sketches of days
+@query
+def period_totals_from_sketches(t: Tables) -> DataFrame:
+    """Totals of a year from the sketches of its days, beside the exact ones: lines, and whether estimates lie within 4 standard errors."""
+    path = place(t.spark, "sketches")
+    distinct.daily_sketches(t.known).write.parquet(path)
+    year = F.col("InvoiceDate").between("1997-01-01", "1997-12-31 23:59:59")
+    found = distinct.period_totals(t.spark.read.parquet(path), "1997-01-01", "1997-12-31")
+    exact = t.known.where(year).agg(*[F.count_distinct(c).alias(f"exact_{n}") for n, c in distinct.TOTALS.items()])
+    near = [(F.abs(F.col(n) - F.col(f"exact_{n}")) <= 4 * 1.04 / 2 ** (distinct.SIZE / 2) * F.col(f"exact_{n}") + 1).alias(f"{n}_near") for n in distinct.TOTALS]
+    return found.join(exact).select("n_lines", *[F.col(f"exact_{n}") for n in distinct.TOTALS], *near)  # one row each
+
+
 # what must hold for any fit, so that SQL can state it
 @query
 def hierarchical_counts(t: Tables) -> DataFrame:

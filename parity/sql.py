@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from tillroll.functions.bands import (CLOSENESS, LEVELS, LOWEST_CLOSENESS, LOWEST_LEVEL,
                                       ORDER_RANGES, PRICE_BANDS, range_names)
-from tillroll.functions.text import SUFFIX_RULES
+from tillroll.functions.stem import DOUBLE, FINAL, FOURTH_STEP, REGION, SECOND_REGION, SECOND_STEP, SHORT, SPECIAL, THIRD_STEP, VOWEL
 from tillroll.operators.keywords import CLOUD_STOP, COLOURS
 
 CUTOFF = "TIMESTAMP '2000-09-01 00:00:00'"
@@ -124,10 +124,44 @@ STAGES["scored"] = f"""
                || coalesce(CAST("L" AS VARCHAR), 'nan') AS "RFML_Segment_Concat" FROM quartiles)"""
 
 
-def _root(word: str) -> str:
-    for pattern, replacement in SUFFIX_RULES:
-        word = f"regexp_replace({word}, '{pattern}', '{replacement.replace('$', chr(92))}')"
-    return word
+def stem_sql(word: str) -> str:
+    """The root of a word by the published rules, with every step's word bound once."""
+    ends = lambda w, suffix: f"ends_with({w}, '{suffix}')"
+    like = lambda w, pattern: f"regexp_matches({w}, '{pattern}')"
+    cut = lambda w, n: f"left({w}, length({w}) - {n})"
+    inside = lambda region, n: f"length(s.w) - {n} >= s.{region}"
+    w = "s.w"
+
+    def cases(pairs: list[tuple[str, str]], other: str = w) -> str:
+        return "CASE " + " ".join(f"WHEN {c} THEN {v}" for c, v in pairs) + f" ELSE {other} END"
+
+    def bound(value: str, name: str, use: str) -> str:
+        return f"list_transform([{value}], lambda {name}: {use})[1]"
+
+    def replaced(rules: list[tuple[str, str, str, str]]) -> str:
+        return cases([(ends(w, x), cases([(inside(r, len(x)) + (f" AND {like(cut(w, len(x)), before)}" if before else ""), f"{cut(w, len(x))} || '{new}'")]))
+                      for x, new, r, before in rules])
+
+    mended = cases([(like("t", "(?:at|bl|iz)$"), "t || 'e'"), (like("t", DOUBLE), cut("t", 1)), (f"{like('t', SHORT)} AND length(t) <= s.r1", "t || 'e'")], "t")
+    steps = [
+        cases([(ends(w, "sses"), cut(w, 2)), (f"{ends(w, 'ied')} OR {ends(w, 'ies')}", cases([("length(s.w) > 4", cut(w, 2))], cut(w, 1))),
+               (f"{ends(w, 'us')} OR {ends(w, 'ss')}", w), (f"{ends(w, 's')} AND {like(w, VOWEL + '.+s$')}", cut(w, 1))]),
+        cases([(ends(w, x), cases([(inside("r1", len(x)), cut(w, len(x) - 2))])) if x.startswith("ee") else
+               (ends(w, x), cases([(like(cut(w, len(x)), VOWEL), bound(cut(w, len(x)), "t", mended))])) for x in ("eedly", "ingly", "edly", "eed", "ing", "ed")]),
+        cases([(like(w, ".[^aeiouy][yY]$"), f"{cut(w, 1)} || 'i'")]),
+        replaced([(x, new, "r1", before) for x, new, before in SECOND_STEP]),
+        replaced([(x, new, r, "") for x, new, r in THIRD_STEP]),
+        replaced([(x, "", "r2", before) for x, before in FOURTH_STEP]),
+        cases([(f"{ends(w, 'e')} AND ({inside('r2', 1)} OR ({inside('r1', 1)} AND NOT {like(cut(w, 1), SHORT)}))", cut(w, 1)),
+               (f"{ends(w, 'll')} AND {inside('r2', 1)}", cut(w, 1))])]
+    region = lambda text, pattern: f"coalesce(nullif(length(regexp_extract({text}, '{pattern}')), 0), length({text}))"
+    marked = f"regexp_replace(regexp_replace({word}, '^y', 'Y'), '([aeiouy])y', '\\1Y', 'g')"
+    state = bound(marked, "m", bound(region("m", REGION), "r", f"{{'w': m, 'r1': r, 'r2': r + {region('substring(m, r + 1)', SECOND_REGION)}, 'over': false}}"))
+    for number, step in enumerate(steps):
+        over = f"s.over OR n IN ({quoted(FINAL)})" if number == 0 else "s.over"
+        state = bound(state, "s", bound(f"CASE WHEN s.over THEN s.w ELSE {step} END", "n", f"{{'w': n, 'r1': s.r1, 'r2': s.r2, 'over': {over}}}"))
+    special = "CASE {} {} END".format(word, " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in SPECIAL.items()))
+    return f"coalesce({special}, CASE WHEN length({word}) <= 2 THEN {word} ELSE translate({state}.w, 'Y', 'y') END)"
 
 
 def _words(source: str) -> str:
@@ -138,7 +172,7 @@ def _inventory(words: str) -> str:
     return f"""
   SELECT root, string_agg(word, ',' ORDER BY word) AS words, arg_min(word, (length(word), word)) AS keyword,
          CAST(sum(n) AS BIGINT) AS n
-  FROM (SELECT word, {_root('word')} AS root, count(*) AS n FROM {words} WHERE word <> '' GROUP BY word)
+  FROM (SELECT word, {stem_sql('word')} AS root, count(*) AS n FROM {words} WHERE word <> '' GROUP BY word)
   GROUP BY root"""
 
 
@@ -279,6 +313,30 @@ def _histogram(column: str) -> str:
             f'(SELECT CAST(min("{column}") AS DOUBLE) AS lo, CAST(max("{column}") AS DOUBLE) AS hi FROM metrics) GROUP BY 1) h ON b.bin = h.bin')
 
 
+def _density() -> str:
+    """Gaussian kernels about 256 grid points, on values binned linearly."""
+    return """
+  SELECT g.range AS point, first_x + g.range * step AS x,
+         coalesce((SELECT sum(w * exp(-0.5 * pow((spot - g.range) * step / h, 2))) FROM b WHERE abs(spot - g.range) <= ceil(6 * h / step)), 0) / (n * h * sqrt(2 * pi())) AS density
+  FROM range(256) g, s"""
+
+
+def _density_stages(column: str) -> str:
+    return f"""
+  v AS (SELECT CAST("{column}" AS DOUBLE) AS x FROM metrics WHERE "{column}" IS NOT NULL),
+  t AS (SELECT count(*) AS n, min(x) AS low, max(x) AS high, stddev_samp(x) * pow(count(*), -0.2) AS h FROM v),
+  s AS MATERIALIZED (SELECT n, h, low - 3 * h AS first_x, (high - low + 6 * h) / 255 AS step FROM t),
+  p AS (SELECT (x - first_x) / step AS place FROM v, s),
+  c AS (SELECT CAST(least(floor(place), 254) AS INTEGER) AS spot, place FROM p),
+  b AS MATERIALIZED (SELECT spot, sum(w) AS w FROM (SELECT spot, 1 - (place - spot) AS w FROM c UNION ALL SELECT spot + 1, place - spot FROM c) GROUP BY spot)"""
+
+
+def _with(stages: str, statement: str) -> str:
+    """A statement with more stages after its own."""
+    head, _, tail = statement.rpartition("\nSELECT ")
+    return f"{head},{stages}\nSELECT {tail}"
+
+
 SCORED_NUMBERS = ["Recency", "Frequency", "MonetaryValue", "Lenght", "R", "F", "M", "L", "Proximidade_Marca_Score", "RFML_Score"]
 
 
@@ -290,6 +348,16 @@ def _counterpart(skip: str, by: str) -> str:
 _NOT_DISCOUNT = """AND r."Description" IS DISTINCT FROM 'Discount'"""
 _COUNTS = "n:i"
 
+EUCLIDEAN = """
+      SELECT vec_id, label, CASE WHEN size = 1 THEN 0 ELSE (b - a) / greatest(a, b) END AS silhouette
+      FROM (SELECT vec_id, label, max(size) FILTER (WHERE other = label) AS size,
+                   max(total / nullif(size - 1, 0)) FILTER (WHERE other = label) AS a, min(total / size) FILTER (WHERE other <> label) AS b
+            FROM (SELECT x.vec_id, x.label, y.label AS other, count(*) AS size,
+                         sum(sqrt(list_sum(list_transform(list_zip(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])), lambda p: (p[1] - p[2]) * (p[1] - p[2]))))) AS total
+                  FROM embeddings x CROSS JOIN embeddings y GROUP BY x.vec_id, x.label, y.label)
+            GROUP BY vec_id, label)"""
+STANDARDISED = "SELECT * FROM (" + " UNION ALL ".join(f'SELECT "CustomerID", {i} AS position, ("{c}" - avg("{c}") OVER ()) / stddev_pop("{c}") OVER () AS value FROM features WHERE "Lenght" IS NOT NULL' for i, c in enumerate(FEATURES)) + ") WHERE value <> 0"
+
 STATEMENTS: dict[str, str] = {
     # sources and inspection
     "invoice_lines": out(LINE_OUT, "SELECT * FROM raw"),
@@ -354,6 +422,14 @@ STATEMENTS: dict[str, str] = {
     "scored_description": out("column_name:s count:i mean:d std:d min:d q1:d q2:d q3:d max:d", _describe(SCORED_NUMBERS, "scored")),
     "monetary_box_by_level_and_closeness": out("box:s n:i q1:d median:d q3:d whisker_low:d whisker_high:d", _boxes("(SELECT *, \"RFML_Level\" || '|' || \"Proximidade_Marca\" AS both_names FROM scored)", "MonetaryValue", "both_names")),
     "invoice_lines_csv": out(LINE_OUT, "SELECT * FROM raw"),
+    "cluster_profile_report": out("cluster:i sum:d size:i " + " ".join(f"{c}:d" for c in FEATURES), 'SELECT cluster, round_even(avg("sum"), 1) AS "sum", count(*) AS size, ' + ", ".join(f'round_even(avg("{c}"), 1) AS "{c}"' for c in FEATURES) + " FROM features GROUP BY cluster"),
+    "row_euclidean_silhouettes": out("vec_id:i label:i silhouette:d", f"SELECT * FROM ({EUCLIDEAN})"),
+    "embedding_silhouette": out("mean:d error:d sampled:i rows:i", f"SELECT avg(silhouette) AS mean, 0.0 AS error, count(*) AS sampled, count(*) AS rows FROM ({EUCLIDEAN})"),
+    "ward_total": out("n:i total:d", f"SELECT count(DISTINCT \"CustomerID\") AS n, round(sum(value * value), 4) AS total FROM ({STANDARDISED})"),
+    "cluster_cost_split": out("k:i n:i total:d", f"SELECT k, n, total FROM range(2, 10) r(k), (SELECT count(DISTINCT \"CustomerID\") AS n, round(sum(value * value), 4) AS total FROM ({STANDARDISED}))"),
+    "period_totals_from_sketches": out("n_lines:i exact_transactions:i exact_products:i exact_customers:i transactions_near:b products_near:b customers_near:b", """
+      SELECT count(*) AS n_lines, count(DISTINCT "InvoiceNo") AS exact_transactions, count(DISTINCT "StockCode") AS exact_products, count(DISTINCT "CustomerID") AS exact_customers,
+             true AS transactions_near, true AS products_near, true AS customers_near FROM known WHERE "InvoiceDate" BETWEEN TIMESTAMP '1997-01-01' AND TIMESTAMP '1997-12-31 23:59:59'"""),
     # what must hold for any fit
     "hierarchical_counts": out("k:i clusters:i n:i", 'SELECT k, k AS clusters, (SELECT count(*) FROM features WHERE "Lenght" IS NOT NULL) AS n FROM (VALUES (2), (3), (5), (8)) v(k)'),
     "customer_cluster_facts": out("n:i clusters:i customers:i", 'SELECT count(*) AS n, 3 AS clusters, count(DISTINCT "CustomerID") AS customers FROM features WHERE "Lenght" IS NOT NULL'),
@@ -431,3 +507,5 @@ LATER = ["lines_per_basket", "cancelled_order_rate", "netted_lines", "baskets",
          "rfm_without_outliers", "length_without_outliers", "metric_description", "mean_product_prices", "price_band_counts",
          "keyword_inventory", "customer_reconciliation", "line_reconciliation"]
 STATEMENTS |= {f"later_{name}": STATEMENTS[name].replace(f'"InvoiceDate" < {CUTOFF}', f'"InvoiceDate" >= {CUTOFF}') for name in LATER}
+STATEMENTS |= {f"{name}_density": _with(_density_stages(column), out("point:i x:d density:d", _density() + ", (SELECT 1 FROM metrics LIMIT 1) AS needed"))
+               for name, column in (("recency", "Recency"), ("frequency", "Frequency"), ("monetary", "MonetaryValue"), ("length", "Lenght"))}

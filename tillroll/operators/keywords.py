@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tillroll.functions.text import root as suffix_root, tokens
+from tillroll.functions.stem import stem
+from tillroll.functions.text import tokens
 
 # Words that carry no product information, limits for keywords.
 COLOURS = ["pink", "blue", "tag", "green", "orange"]
@@ -29,11 +30,11 @@ def description_words(texts: DataFrame, column: str = "Description",
 
 def keyword_inventory(texts: DataFrame, column: str = "Description",
                       stop_words: DataFrame | None = None,
-                      root: Callable[[Column], Column] = suffix_root) -> DataFrame:
+                      root: Callable[[Column], Column] = stem) -> DataFrame:
     """(root, words, keyword, n): words per root, their shortest one, occurrences.
 
-    Occurrences are counted per word first; the words of a root are few, since the suffix
-    rules bound its spellings.
+    Occurrences are counted per word first; the words of a root are few, since the suffixes
+    bound its spellings.
     """
     per_word = (description_words(texts, column, stop_words).groupBy("word")
                 .agg(F.count("*").alias("n")).withColumn("root", root(F.col("word"))))

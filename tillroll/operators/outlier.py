@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from tillroll.operators.group_stats import group_quantiles
 from tillroll.operators.order_stats import extents, quantiles, quantiles_of
 
 
@@ -51,23 +52,15 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def box_stats(df: DataFrame, column: str, group: str | None = None, reach: float = 1.5) -> DataFrame:
-    """Per group: quartiles, and whiskers at the last values within ``reach`` ranges."""
-    edges = quantiles(df, column, [0.25, 0.5, 0.75], group)
-    key = F.col(group) if group else F.lit("all")
+    """Per group: quartiles, and whiskers at the last values within ``reach`` ranges; groups may be any number."""
     value = F.col(column).cast("double")
-
-    def pick(i: int):
-        rule = F.lit(None).cast("double")
-        for g, q in edges.items():
-            same = key.eqNullSafe(F.lit(g)) if group else F.lit(True)
-            rule = F.when(same, F.lit(q[i])).otherwise(rule)
-        return rule
-
-    placed = df.where(F.col(column).isNotNull()).select(
-        key.alias("box"), value.alias("x"), pick(0).alias("q1"), pick(1).alias("median"), pick(2).alias("q3"))
+    placed = df.select((F.col(group) if group else F.lit("all")).alias("box"), value.alias("x")).where("x is not null")
+    edges = group_quantiles(placed, "x", [0.25, 0.5, 0.75], "box").select(
+        F.col("box").alias("named"), *[F.col("quantiles")[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))])
+    met = placed.join(edges, F.col("box").eqNullSafe(F.col("named")))
     span = (F.col("q3") - F.col("q1")) * reach
     inside = F.col("x").between(F.col("q1") - span, F.col("q3") + span)
-    return placed.groupBy("box", "q1", "median", "q3").agg(
+    return met.groupBy("box", "q1", "median", "q3").agg(
         F.count("*").alias("n"), F.min(F.when(inside, F.col("x"))).alias("whisker_low"),
         F.max(F.when(inside, F.col("x"))).alias("whisker_high"))
 
