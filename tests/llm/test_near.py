@@ -182,3 +182,43 @@ def test_components_equal_a_plain_search(spark):
         got = graph.components(spark.createDataFrame(edges, "a int, b int")).collect()
         assert {r.node: r.root for r in got} == {v: find(v) for v in met} and len(got) == len(met)
     assert graph.components(spark.createDataFrame([], "a int, b int")).count() == 0
+
+
+def test_unrelated_sketches_form_no_family(spark):
+    """Bands of few registers, so that unrelated texts meet in most buckets: families do not grow past the true groups."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(11)
+    rows, of = [], {}
+    for g in range(500):
+        pool = rng.integers(0, 2**63, 150).astype(np.uint64)
+        for k in range(1 + (g % 25 == 0) * 3):  # twenty groups of four near copies among 480 single ones
+            own = np.concatenate((pool[:146], rng.integers(0, 2**63, 4).astype(np.uint64)))
+            node = bytes(rng.integers(0, 256, 16).astype(np.uint8))
+            of[node] = g
+            rows.append((bytearray(node), 150, bytearray(near.sketch(own).tobytes())))
+    classes = spark.createDataFrame(rows, "node binary, n_shingles long, registers binary").repartition(3)
+    bands = F.transform(F.sequence(F.lit(0), F.lit(159)), lambda i: F.xxhash64(i, F.substring("registers", i * 2 + 1, F.lit(2))))
+    entries = classes.select(F.explode(bands).alias("b")).groupBy("b").count()
+    assert entries.where("count > 1").count() > 5_000  # nearly all buckets are met by unrelated texts
+    edges = near.candidates(classes, bands, 0.8, rounds=60).collect()
+    assert {of[bytes(e.a)] == of[bytes(e.b)] for e in edges} == {True}
+    roots = {bytes(r.node): bytes(r.root) for r in graph.components(spark.createDataFrame(edges)).collect()}
+    sizes = {}
+    for node, root in roots.items():
+        sizes.setdefault(root, []).append(of[node])
+    assert sorted(len(v) for v in sizes.values()) == [4] * 20 and all(len(set(v)) == 1 for v in sizes.values())
+    # after the last round what is left is joined unseen, which loses nothing
+    again = graph.components(near.candidates(classes, bands, 0.8, rounds=1)).collect()
+    joined = {bytes(r.node): bytes(r.root) for r in again}
+    assert all(joined[a] == joined[b] for v in sizes for a in roots for b in [v] if roots[a] == v)
+
+
+def test_registers_grow_with_the_documents():
+    counts = [near.registers_for(0.8, n) for n in (0, 10_000, 10**7, 10**9, 5 * 10**10)]
+    assert counts[:3] == [near.REGISTERS] * 3 and counts[2] < counts[3] < counts[4] < 1_000
+    for n, count in ((10**9, counts[3]), (5 * 10**10, counts[4])):
+        rows = near.band_rows(0.8, count)
+        assert n * 0.0455 ** rows <= near.MEETINGS and (1 - 0.8 ** rows) ** (count // rows) <= near.MISS
+    least, close = near.bounds(0.8, 320)
+    assert 0.4 < least < 0.6 < 0.8 < close < 0.9

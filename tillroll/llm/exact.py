@@ -124,7 +124,10 @@ def classes(rows: DataFrame, primes=PRIMES, bases=BASES) -> DataFrame:
     kind, row = rows.schema["id"].dataType.simpleString(), rows.schema["row"].dataType.simpleString()
     prints = stage(map_arrow(rows, _prints(primes, bases), (
         f"row {row}, id {kind}, print_a long, print_b long, n_bytes long, text_sha256 string")), "exact-prints")
+    # only texts whose fingerprint another one has are compared
+    repeated = stage(prints.groupBy(*CLASS).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*CLASS), "exact-repeated")
     chunks = map_arrow(rows, _chunks(primes, bases), "print_a long, print_b long, n_bytes long, place long, chunk binary")
+    chunks = chunks.join(few(repeated), CLASS, "left_semi")
     unlike = stage(
         chunks.groupBy(*CLASS, "place").agg(F.min("chunk").alias("least"), F.max("chunk").alias("greatest"))
         .where(F.col("least") != F.col("greatest")).select(*CLASS).distinct(), "exact-unlike")

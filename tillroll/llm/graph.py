@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tillroll.llm.common import stage
+from tillroll.llm.common import few, stage
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -15,8 +15,9 @@ def _mark(edges: DataFrame) -> tuple:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b), the root being the smallest node that can be reached.
 
-    Each round hangs the larger neighbours of a node under its smallest one, then the smaller ones; both are an aggregation
-    and a join on the node, which Spark splits where a node has many neighbours. Ends when all edges lead to the root,
+    Each round hangs the larger neighbours of a node under its smallest one, then the smaller ones; both are an aggregation, of which each
+    task sends one row per node, and a join with its result: one row per node, sent to all tasks while it is small, so that the edges of a
+    node with many neighbours stay where they are; else a join on the node, which Spark splits there. Ends when all edges lead to the root,
     after a number of rounds that grows with the logarithm of the graph's diameter. Only counts reach the driver.
     """
     pair = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low"))
@@ -24,11 +25,11 @@ def components(edges: DataFrame) -> DataFrame:
     mark = _mark(now)
     while mark[0]:
         both = now.select(F.col("high").alias("u"), F.col("low").alias("v")).union(now.select(F.col("low").alias("u"), F.col("high").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("high"), F.col("m").alias("low")).distinct()
+        least = stage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "graph-least")
+        large = both.where(F.col("v") > F.col("u")).join(few(least), "u").select(F.col("v").alias("high"), F.col("m").alias("low")).distinct()
         large = stage(large, "graph-large")
-        least = large.groupBy("high").agg(F.min("low").alias("m"))
-        hung = large.join(least, "high")
+        least = stage(large.groupBy("high").agg(F.min("low").alias("m")), "graph-least")
+        hung = large.join(few(least), "high")
         small = hung.where(F.col("low") != F.col("m")).select(F.col("low").alias("high"), F.col("m").alias("low"))
         now = stage(small.union(least.select("high", F.col("m").alias("low"))).distinct(), "graph-round")
         last, mark = mark, _mark(now)

@@ -5,17 +5,22 @@ distributed points on them, each register keeps its least, truncated to a whole
 register-wise maxima, and two registers agree with nearly the Jaccard similarity of their sets.
 
 1. Texts with equal sets are one class from here on (one aggregation).
-2. Registers are banded; the classes in a bucket are joined to its smallest one, and components of these edges are families. The number of
-   registers per band is the largest for which less than one pair in a million at the least similarity shares no band.
-3. A family's members are dealt into blocks; each pair of blocks is compared in one task. From the registers that are greater, less and
+2. Registers are banded. The number of registers per band is the largest for which less than one pair in a million at the least
+   similarity shares no band; the number of registers grows with the logarithm of the documents, so that unrelated ones seldom meet in a bucket.
+3. The classes in a bucket are compared with one of them, its leader, by the likelihood of the registers, and joined only if they may be alike.
+   Those that are surely near the leader need no other comparison: whatever is linked with them is joined to the leader as well. Among the
+   others, while they are not all joined to the same leader, there is another round with the next one. A bucket that is not settled after
+   ``ROUNDS`` rounds, with as many unrelated texts in it, is joined as it is. Components of these edges are families.
+4. A family's members are dealt into blocks; each pair of blocks is compared in one task. From the registers that are greater, less and
    equal and the exact set sizes, the similarity is estimated by maximum likelihood; pairs that come near
    the least similarity are verified on the full sets. Pairs whose texts are connected already need no link. A task returns at most as
    many links as it has members, so nothing grows with the number of pairs.
-4. Components of the links are the groups.
+5. Components of the links are the groups.
 
 Defined cases: a text with fewer words than a shingle is one shingle; one without words has the empty set and is linked with nothing; null counts as
 empty; rows equal in id and text are one document and stay or go together; a null id is larger than all others, and component_id is
-null where a group has no other; an empty table gives no rows; other columns pass through untouched.
+null where a group has no other; an empty table gives no rows; other columns pass through untouched. Texts of any length are one set, which
+one task holds: 8 bytes a word.
 """
 
 from __future__ import annotations
@@ -33,6 +38,10 @@ from tillroll.llm.common import LOWER, MULTIPLIER, column, few, fresh, map_arrow
 from tillroll.llm.graph import components
 
 REGISTERS, BASE, RATE, TOP = 320, 1.2, 20.0, 254
+#: Unrelated classes that a class meets in a bucket, on average, at most.
+MEETINGS = 0.1
+#: Leaders of a bucket that the others are compared with.
+ROUNDS = 4
 MISS = 1e-6
 #: Standard errors below which less than one estimate in a million lies.
 ERRORS = 4.8
@@ -128,7 +137,77 @@ def band_rows(similarity: float, registers: int = REGISTERS) -> int:
     return rows
 
 
-def _sketches(size: int):
+def registers_for(similarity: float, documents: int) -> int:
+    """Registers of a corpus: more per band, and as many bands as that needs, where unrelated documents would meet too often."""
+    by_chance = float(1 - 2 * _exceeds(np.array(0.5)))
+    rows = band_rows(similarity)
+    count = REGISTERS
+    while documents * by_chance ** rows > MEETINGS:
+        rows += 1
+        count = rows * int(np.ceil(np.log(MISS) / np.log1p(-similarity ** rows)))
+    return count
+
+
+def bounds(similarity: float, registers: int) -> tuple[float, float]:
+    """Estimates from which on a class may be joined to a leader, and surely lies near it.
+
+    With distances d = 1 - similarity, which obey the triangle inequality: linked classes are at most 1 - similarity apart. A class is near if its
+    distance is at most ``close``; what is linked with it is then at most close + 1 - similarity from the leader, and joined.
+    """
+    close = 1 - similarity + 0.05
+    farthest = close + 1 - similarity
+    return 1 - farthest - margin(1 - farthest, registers), 1 - close + margin(1 - close, registers)
+
+
+def _met(similarity: float):
+    """Pairs (leader, node) with registers and sizes of both: whether they are joined, and near."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(len(batch), -1) for c in ("own", "of_leader"))
+            n_a, n_b = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("n", "n_leader"))
+            more, less = (x > y).sum(1), (x < y).sum(1)
+            least, near = bounds(similarity, x.shape[1])
+            most = np.minimum(n_a, n_b) / np.maximum(n_a, n_b)
+            joined, close = ((most >= t) & at_least(more, less, x.shape[1] - more - less, n_a, n_b, t) for t in (least, near))
+            yield pa.RecordBatch.from_arrays([batch.column("leader"), batch.column("node"), pa.array(joined), pa.array(close)], ["leader", "node", "joined", "near"])
+
+    return run
+
+
+def candidates(classes: DataFrame, bands: Column, similarity: float, rounds: int = ROUNDS) -> DataFrame:
+    """Edges (a, b) that connect all classes (node, n_shingles, registers) that share a band and may be linked."""
+    entries = classes.select("node", F.explode(bands).alias("bucket"))
+    shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    now = stage(entries.join(shared, "bucket").withColumn("mark", F.lit(None).cast("binary")), "near-entries")
+    edges, sketches = [], classes.select("node", F.col("n_shingles").alias("n"), F.col("registers").alias("own"))
+    for number in range(rounds + 1):
+        # the next leader: a class that was joined to none, if there is one
+        leaders = now.groupBy("bucket").agg(F.min(F.struct(F.col("mark").isNotNull().alias("marked"), "node")).alias("first")).select(
+            "bucket", F.col("first.node").alias("leader"))
+        met = stage(now.join(leaders, "bucket").where(F.col("node") != F.col("leader")), "near-met")
+        pairs = met.select("leader", "node").distinct()
+        if number == rounds:
+            edges.append(pairs.select(F.col("leader").alias("a"), F.col("node").alias("b")))
+            break
+        both = pairs.join(sketches, "node").join(sketches.select(F.col("node").alias("leader"), F.col("n").alias("n_leader"), F.col("own").alias("of_leader")), "leader")
+        judged = stage(map_arrow(both, _met(similarity), "leader binary, node binary, joined boolean, near boolean"), "near-judged")
+        edges.append(judged.where("joined").select(F.col("leader").alias("a"), F.col("node").alias("b")))
+        left = met.join(judged, ["leader", "node"]).where(~F.col("near")).withColumn(
+            "mark", F.coalesce("mark", F.when(F.col("joined"), F.col("leader")))).select("node", "bucket", "mark")
+        open_ = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.count("mark").alias("marked"), F.min("mark").alias("low"), F.max("mark").alias("high")).where(
+            (F.col("n") > 1) & ((F.col("marked") < F.col("n")) | (F.col("low") != F.col("high")))).select("bucket")
+        now = stage(left.join(open_, "bucket"), "near-entries")
+        if now.isEmpty():
+            break
+    found = edges[0]
+    for part in edges[1:]:
+        found = found.unionByName(part)
+    return found
+
+
+def _sketches(size: int, count: int = REGISTERS):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             body, ends = utf8(batch.column("text"))
@@ -138,7 +217,7 @@ def _sketches(size: int):
                 found = shingles(body[a:b], size)
                 digest = hashlib.blake2b(found.data, digest_size=16).digest()
                 if digest not in seen:
-                    seen[digest] = sketch(found).tobytes()
+                    seen[digest] = sketch(found, count).tobytes()
                 digests.append(digest)
                 counts.append(len(found))
                 registers.append(seen[digest])
@@ -149,7 +228,7 @@ def _sketches(size: int):
     return run
 
 
-def _sets(size: int):
+def _sets(size: int, count: int = REGISTERS):
     """Full sets and registers of family members; rows of the same id but another set are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +238,7 @@ def _sets(size: int):
             held, size_now, first = [], 0, 0
             for i in range(len(batch)):
                 found = shingles(body[ends[i]:ends[i + 1]], size)
-                held.append((found.tobytes(), sketch(found).tobytes()))
+                held.append((found.tobytes(), sketch(found, count).tobytes()))
                 size_now += found.nbytes
                 if size_now > 4 << 20 or i == len(batch) - 1:
                     sets, registers = zip(*held)
@@ -233,7 +312,7 @@ def verified_links(elements: list[np.ndarray], registers: np.ndarray, percent: i
         if len(others):
             more = (registers[i] > registers[others]).sum(1)
             less = (registers[i] < registers[others]).sum(1)
-            likely[i, others] = at_least(more, less, registers.shape[1] - more - less, n[i].astype(float), n[others].astype(float), percent / 100 - margin(percent / 100))
+            likely[i, others] = at_least(more, less, registers.shape[1] - more - less, n[i].astype(float), n[others].astype(float), percent / 100 - margin(percent / 100, registers.shape[1]))
     likely |= likely.T
     for i in np.argsort(-likely.sum(1), kind="stable")[:HUBS].tolist():
         found.one_by_one(i, np.flatnonzero(likely[i] & (found.labels != found.labels[i])))
@@ -273,23 +352,21 @@ def groups(docs: DataFrame, identity: str, text: str, size: int, percent: int) -
     """Sketched rows (id, mark, n_shingles, node), and the root of each node that is linked with another."""
     rows = docs.select(column(docs, identity).alias("id"), _mark(column(docs, text)).alias("mark"), F.coalesce(column(docs, text), F.lit("")).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    table = stage(map_arrow(rows, _sketches(size), f"id {kind}, mark long, n_shingles long, node binary, registers binary"), "near-sketches")
+    count = registers_for(percent / 100, rows.count())
+    table = stage(map_arrow(rows, _sketches(size, count), f"id {kind}, mark long, n_shingles long, node binary, registers binary"), "near-sketches")
     full = table.where(F.col("n_shingles") > 0)
     # one row per class of equal sets; any of its texts stands for it
     classes = stage(full.groupBy("node").agg(F.min(F.struct("id", "mark", "n_shingles")).alias("one"), F.min("registers").alias("registers"))
                     .select("node", "one.*", "registers"), "near-classes")
-    rows_per_band = band_rows(percent / 100)
-    bands = F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // rows_per_band - 1)), lambda i: F.xxhash64(
+    rows_per_band = band_rows(percent / 100, count)
+    bands = F.transform(F.sequence(F.lit(0), F.lit(count // rows_per_band - 1)), lambda i: F.xxhash64(
         i, F.substring("registers", i * rows_per_band + 1, F.lit(rows_per_band))))
-    entries = classes.select("node", F.explode(bands).alias("bucket"))
-    buckets = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("a")).where("n > 1").select("bucket", "a")
-    edges = entries.join(buckets, "bucket").where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b")).distinct()
-    families = stage(components(edges), "near-families")
+    families = stage(components(candidates(classes, bands, percent / 100)), "near-families")
     members = stage(families.join(classes.select("node", "id", "mark", "n_shingles"), "node"), "near-members")
     sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     wanted = stage(members.join(sizes, "root").select(F.col("id").alias("of"), F.col("mark").alias("marked"), "node", "root", "blocks"), "near-wanted")
     found = rows.join(few(wanted), F.col("id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("marked"))).select("text", "node", "root", "blocks")
-    sets = map_arrow(found, _sets(size), "node binary, root binary, blocks int, elements binary, registers binary")
+    sets = map_arrow(found, _sets(size, count), "node binary, root binary, blocks int, elements binary, registers binary")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     pairs = sets.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = pairs.select("root", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "node", "elements", "registers")
