@@ -3,19 +3,22 @@
 Each text is reduced to four transformed statistics: log of the mean word length, and the square roots of
 symbols per word, of repeated words per word and of repeated lines per line, each damped by pseudo-counts so
 that short texts do not swing. Per language and source a minimum-covariance-determinant estimate is made of
-them: from the medians on, each step keeps the share ``SHARE`` of rows nearest to the current centre by Mahalanobis distance
-and takes their mean and covariance, until no determinant falls any more. A row is rejected if its distance exceeds the
+them: from each of several starts (the quartiles of each statistic, and the mean and covariance of all rows), steps keep the share ``SHARE`` of
+rows nearest to the current centre by Mahalanobis distance and take their mean and covariance. A step counts only if it lowers the determinant; a
+start rests as soon as one does not, so every start ends, and the estimate is the state of least determinant of all. A row is rejected if its distance exceeds the
 chi-square quantile ``CUTOFF``. ``RESOLUTION`` is the standard deviation below which differences of a statistic mean
 nothing; it keeps the covariance regular where a statistic is constant. It is so small that each statistic alone can pass the cutoff
 where the others of its group have none of it: 0.29 of the lines (plus five) repeated, or 0.19 of the words (plus twenty).
 
 Only built-in functions are used. Nearest rows are found by counts over bins of the logarithm of the distance, which hold the
-sums of the moments too: one aggregation per step, with a few hundred rows per group whatever its size, no sort of rows.
+sums of the moments too: one aggregation per step for all starts, with a few hundred rows per group whatever its size, no sort of rows. The rows
+of the last bin (a sixteenth of a unit wide) count in part, all alike, so that the share is met exactly.
 
 Defined cases: null text has no words and fails the base limits, as do texts of fewer than ten words; rows that fail take
 no part in the estimates; null language or source is a value of its own; groups with fewer than ``LEAST`` rows are
 estimated together per language, and if these are too few, with all such rows; if those are too few too, base limits
-decide alone; an empty table gives no rows; repeated rows count each; other columns pass through.
+decide alone; an empty table gives no rows; repeated rows count each; texts of any length are counted whole, by one task each; of starts
+with the same determinant the first one counts; other columns pass through.
 """
 
 from __future__ import annotations
@@ -30,7 +33,10 @@ from tillroll.llm.common import column, fresh, stage, words
 SHARE = 0.6
 CUTOFF = 0.99999
 LEAST = 60
-STEPS = 20
+#: A step counts if the log determinant falls by more than this.
+FALL = 1e-6
+#: Quantiles of the statistics to start from; one more start is the mean of all rows.
+STARTS = (0.5, 0.25, 0.75)
 PSEUDO = 20
 RESOLUTION = (0.1, 0.05, 0.08, 0.1)
 D = len(RESOLUTION)
@@ -134,56 +140,67 @@ def _factored(state: DataFrame) -> DataFrame:
     return state.withColumn("logdet", 2 * sum((F.log(f"l{i}{i}") for i in range(1, D)), F.log("l00")))
 
 
-def _median_start(rows: DataFrame) -> DataFrame:
-    """Centre at the medians, covariance at the resolution."""
+def _starts(rows: DataFrame) -> DataFrame:
+    """Starts of each cell: centres at quantiles with the resolution as covariance, and the moments of all rows."""
     values = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), _clipped(F.col(X[i]) / RESOLUTION[i] * BINS).alias("b")) for i in range(D)]))
     counts = rows.select("cell", values.alias("v")).groupBy("cell", "v").count()
     part = Window.partitionBy("cell", "v.i")
     reached = counts.withColumns({"upto": F.sum("count").over(part.orderBy("v.b")), "all": F.sum("count").over(part)})
-    medians = reached.where(2 * F.col("upto") >= F.col("all")).groupBy("cell", F.col("v.i").alias("i")).agg(
-        F.min("v.b").alias("b"), F.max("all").alias("n"))
-    state = medians.groupBy("cell").agg(F.max("n").alias("n"), *[
-        F.max(F.when(F.col("i") == i, (F.col("b") + 0.5) / BINS * RESOLUTION[i])).alias(f"m{i}") for i in range(D)])
-    return _factored(state.withColumns({
-        f"s{i}{j}": F.lit(RESOLUTION[i] ** 2 if i == j else 0.0) for i, j in PAIRS}))
+    places = reached.groupBy("cell", F.col("v.i").alias("i")).agg(F.max("all").alias("n"), F.array(*[
+        F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("v.b"))) for q in STARTS]).alias("at"))
+    places = places.select("cell", "i", "n", F.posexplode("at").alias("start", "b"))
+    centres = places.groupBy("cell", "start").agg(F.max("n").alias("n"), *[
+        F.max(F.when(F.col("i") == i, (F.col("b") + 0.5) / BINS * RESOLUTION[i])).alias(f"m{i}") for i in range(D)]).withColumns({
+            f"s{i}{j}": F.lit(RESOLUTION[i] ** 2 if i == j else 0.0) for i, j in PAIRS})
+    whole = rows.groupBy("cell").agg(F.lit(len(STARTS)).alias("start"), F.count(F.lit(1)).alias("n"), *[F.avg(x).alias(f"m{i}") for i, x in enumerate(X)], *[
+        (F.covar_pop(X[i], X[j]) + (RESOLUTION[i] ** 2 if i == j else 0.0)).alias(f"s{i}{j}") for i, j in PAIRS])
+    # a start has no subset yet, so any step lowers its determinant
+    return _factored(centres.unionByName(whole)).withColumns({"logdet": F.lit(float("inf")), "moving": F.lit(True)})
 
 
 def _closer(rows: DataFrame, state: DataFrame, factor: float, share: float, near: Callable) -> DataFrame:
-    """One step: moments of the nearest rows of each cell."""
-    small = state.select("cell", *[f"m{i}" for i in range(D)], *[f"l{i}{j}" for i, j in PAIRS])
+    """One step of all starts that still move: moments of the nearest rows of each cell."""
+    moving = state.where("moving")
+    small = moving.select("cell", "start", *[f"m{i}" for i in range(D)], *[f"l{i}{j}" for i, j in PAIRS])
     joined = rows.join(near(small), "cell")
     away = _clipped(F.log(distance([F.col(x) for x in X]) + 1e-12) * BINS)
     # moments about the centre of the last step, which keeps their sums small
     gap = {f"g{i}": F.col(X[i]) - F.col(f"m{i}") for i in range(D)}
-    sums = joined.withColumns(gap | {"bin": away}).groupBy("cell", "bin").agg(
+    sums = joined.withColumns(gap | {"bin": away}).groupBy("cell", "start", "bin").agg(
         F.count(F.lit(1)).alias("k"), *[F.sum(f"g{i}").alias(f"a{i}") for i in range(D)],
         *[F.sum(F.col(f"g{i}") * F.col(f"g{j}")).alias(f"b{i}{j}") for i, j in PAIRS])
-    cell = Window.partitionBy("cell")
+    cell = Window.partitionBy("cell", "start")
     inner = sums.withColumns({"before": F.sum("k").over(cell.orderBy("bin")) - F.col("k"), "all": F.sum("k").over(cell)})
-    inner = inner.where(F.col("before") < share * F.col("all"))  # whole bins, until the share is reached
-    moments = inner.groupBy("cell").agg(
-        F.sum("k").alias("k"), *[(F.sum(f"a{i}") / F.sum("k")).alias(f"a{i}") for i in range(D)],
-        *[(F.sum(f"b{i}{j}") / F.sum("k")).alias(f"b{i}{j}") for i, j in PAIRS])
-    old = state.select("cell", "n", F.col("logdet").alias("last"), *[F.col(f"m{i}").alias(f"o{i}") for i in range(D)])
-    new = moments.join(old, "cell").select("cell", "n", "last", *[(F.col(f"o{i}") + F.col(f"a{i}")).alias(f"m{i}") for i in range(D)], *[
+    # whole bins while they fit, and the part of the next one that is left of the share
+    inner = inner.withColumn("w", F.least(F.lit(1.0), (F.ceil(share * F.col("all")) - F.col("before")) / F.col("k"))).where("w > 0")
+    total = F.sum(F.col("w") * F.col("k"))
+    moments = inner.groupBy("cell", "start").agg(
+        *[(F.sum(F.col("w") * F.col(f"a{i}")) / total).alias(f"a{i}") for i in range(D)],
+        *[(F.sum(F.col("w") * F.col(f"b{i}{j}")) / total).alias(f"b{i}{j}") for i, j in PAIRS])
+    old = moving.select("cell", "start", "n", *[F.col(f"m{i}").alias(f"o{i}") for i in range(D)])
+    new = moments.join(old, ["cell", "start"]).select("cell", "start", "n", *[(F.col(f"o{i}") + F.col(f"a{i}")).alias(f"m{i}") for i in range(D)], *[
         (factor * (F.col(f"b{i}{j}") - F.col(f"a{i}") * F.col(f"a{j}")) + (RESOLUTION[i] ** 2 if i == j else 0.0)).alias(f"s{i}{j}")
         for i, j in PAIRS])
     return _factored(new)
 
 
-def estimates(rows: DataFrame, share: float = SHARE, steps: int = STEPS, near: Callable = lambda df: df) -> DataFrame:
-    """Robust centre (m) and triangular factor (l) of each cell, from rows (cell, x0 ...).
+def estimates(rows: DataFrame, share: float = SHARE, near: Callable = lambda df: df) -> DataFrame:
+    """Robust centre (m), covariance (s), its triangular factor (l) and log determinant of each cell, from rows (cell, x0 ...).
 
-    ``near`` marks the table of cells for broadcast, where their number is known to be small.
+    ``near`` marks the table of cells for broadcast, where their number is known to be small. Ends when no step lowers a determinant, which
+    is bounded from below by the resolution.
     """
     factor = consistency(share, D)
-    state = stage(_median_start(rows), "quality-start")
-    for number in range(steps):
-        state = stage(_closer(rows, state, factor, share, near), "quality-step")
-        falling = F.abs(F.col("logdet") - F.col("last")) > 1e-6
-        if number and state.where(falling).isEmpty():
-            break
-    return state
+    values = ["n", *[f"m{i}" for i in range(D)], *[f"s{i}{j}" for i, j in PAIRS], *[f"l{i}{j}" for i, j in PAIRS], "logdet"]
+    state = stage(_starts(rows).select("cell", "start", "moving", *values), "quality-start")
+    while not state.where("moving").isEmpty():
+        new = _closer(rows, state, factor, share, near).select("cell", "start", F.struct(*values).alias("new"))
+        lower = F.coalesce(F.col("new.logdet") < F.col("logdet") - FALL, F.lit(False))
+        met = state.join(new, ["cell", "start"], "left")
+        state = stage(met.select("cell", "start", (F.col("moving") & lower).alias("moving"), *[
+            F.when(lower, F.col(f"new.{v}")).otherwise(F.col(v)).alias(v) for v in values]), "quality-step")
+    best = state.groupBy("cell").agg(F.min_by(F.struct(*values), F.struct("logdet", "start")).alias("best"))
+    return stage(best.select("cell", "best.*"), "quality-estimates")
 
 
 def assess(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", carry: list[str] | None = None,
