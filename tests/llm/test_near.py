@@ -215,7 +215,7 @@ def test_unrelated_sketches_form_no_family(spark):
 
 
 def test_registers_grow_with_the_documents():
-    counts = [near.registers_for(0.8, n) for n in (0, 10_000, 10**7, 10**9, 5 * 10**10)]
+    counts = [near.registers_for(0.8, n) for n in (0, 10_000, 10**6, 10**9, 5 * 10**10)]
     assert counts[:3] == [near.REGISTERS] * 3 and counts[2] < counts[3] < counts[4] < 1_000
     for n, count in ((10**9, counts[3]), (5 * 10**10, counts[4])):
         rows = near.band_rows(0.8, count)

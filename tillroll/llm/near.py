@@ -39,9 +39,9 @@ from tillroll.llm.graph import components
 
 REGISTERS, BASE, RATE, TOP = 320, 1.2, 20.0, 254
 #: Unrelated classes that a class meets in a bucket, on average, at most.
-MEETINGS = 0.1
+MEETINGS = 0.05
 #: Leaders of a bucket that the others are compared with.
-ROUNDS = 4
+ROUNDS = 2
 MISS = 1e-6
 #: Standard errors below which less than one estimate in a million lies.
 ERRORS = 4.8
@@ -179,14 +179,11 @@ def _met(similarity: float):
 def candidates(classes: DataFrame, bands: Column, similarity: float, rounds: int = ROUNDS) -> DataFrame:
     """Edges (a, b) that connect all classes (node, n_shingles, registers) that share a band and may be linked."""
     entries = classes.select("node", F.explode(bands).alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    now = stage(entries.join(shared, "bucket").withColumn("mark", F.lit(None).cast("binary")), "near-entries")
+    leaders = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("leader")).where("n > 1").select("bucket", "leader")
+    met = entries.withColumn("mark", F.lit(None).cast("binary")).join(leaders, "bucket").where(F.col("node") != F.col("leader"))
     edges, sketches = [], classes.select("node", F.col("n_shingles").alias("n"), F.col("registers").alias("own"))
     for number in range(rounds + 1):
-        # the next leader: a class that was joined to none, if there is one
-        leaders = now.groupBy("bucket").agg(F.min(F.struct(F.col("mark").isNotNull().alias("marked"), "node")).alias("first")).select(
-            "bucket", F.col("first.node").alias("leader"))
-        met = stage(now.join(leaders, "bucket").where(F.col("node") != F.col("leader")), "near-met")
+        met = stage(met, "near-met")
         pairs = met.select("leader", "node").distinct()
         if number == rounds:
             edges.append(pairs.select(F.col("leader").alias("a"), F.col("node").alias("b")))
@@ -194,13 +191,20 @@ def candidates(classes: DataFrame, bands: Column, similarity: float, rounds: int
         both = pairs.join(sketches, "node").join(sketches.select(F.col("node").alias("leader"), F.col("n").alias("n_leader"), F.col("own").alias("of_leader")), "leader")
         judged = stage(map_arrow(both, _met(similarity), "leader binary, node binary, joined boolean, near boolean"), "near-judged")
         edges.append(judged.where("joined").select(F.col("leader").alias("a"), F.col("node").alias("b")))
-        left = met.join(judged, ["leader", "node"]).where(~F.col("near")).withColumn(
-            "mark", F.coalesce("mark", F.when(F.col("joined"), F.col("leader")))).select("node", "bucket", "mark")
-        open_ = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.count("mark").alias("marked"), F.min("mark").alias("low"), F.max("mark").alias("high")).where(
-            (F.col("n") > 1) & ((F.col("marked") < F.col("n")) | (F.col("low") != F.col("high")))).select("bucket")
-        now = stage(left.join(open_, "bucket"), "near-entries")
-        if now.isEmpty():
+        # a bucket all of which is joined to its leader is settled, and only the others are looked at again
+        apart = met.join(few(stage(judged.where("not joined").select("leader", "node"), "near-apart")), ["leader", "node"], "left_semi")
+        unsettled = apart.select("bucket") if not number else met.select("bucket")
+        unsettled = stage(unsettled.distinct(), "near-unsettled")
+        if unsettled.isEmpty():
             break
+        left = met.join(few(unsettled), "bucket").join(judged, ["leader", "node"]).where(~F.col("near")).withColumn(
+            "mark", F.coalesce("mark", F.when(F.col("joined"), F.col("leader")))).select("node", "bucket", "mark")
+        # the next leader: a class that was joined to none, if there is one
+        open_ = left.groupBy("bucket").agg(
+            F.count(F.lit(1)).alias("n"), F.count("mark").alias("marked"), F.min("mark").alias("low"), F.max("mark").alias("high"),
+            F.min(F.struct(F.col("mark").isNotNull().alias("marked"), "node")).alias("first")).where(
+            (F.col("n") > 1) & ((F.col("marked") < F.col("n")) | (F.col("low") != F.col("high")))).select("bucket", F.col("first.node").alias("leader"))
+        met = left.join(open_, "bucket").where(F.col("node") != F.col("leader"))
     found = edges[0]
     for part in edges[1:]:
         found = found.unionByName(part)
