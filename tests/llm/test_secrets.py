@@ -33,6 +33,23 @@ def test_candidates_with_their_neighbours(spark):
     assert got[(None, 0)].before == "" and got[(6, 1)].before == "abc123def456ghi "
 
 
+def test_each_occurrence_has_its_own_neighbours(spark):
+    key = "ab12cd34ef56gh78"
+    rows = [(1, f'see k="{key}";password="{key}" and then more', "s"), (2, ",".join([key] * 5), "s"), (3, f"a b {key}:{key}==", "s")]
+    got = secrets.candidates(table(spark, rows)).collect()
+    assert [(r.before, r.after) for r in got if r.id == 1] == [('see k="', '";password="'), (f'see k="{key}";password="', "and then")]
+    assert [r.candidate for r in got if r.id == 2] == [key] * 5
+    assert [(r.before, r.after) for r in got if r.id == 2] == [("", ","), (key + ",", ","), (key + ",", ","), (key + ",", ","), (key + ",", "")]
+    assert [(r.candidate, r.before) for r in got if r.id == 3] == [(key, "a b "), (key + "==", f"a b {key}:")]
+
+
+def test_a_word_of_many_runs_stays_linear(spark):
+    runs = [f"run{i}abcdefghi" for i in range(30_000)]
+    got = secrets.candidates(table(spark, [(1, "x " + ";".join(runs) + " y", "s")])).agg(
+        F.count("*").alias("n"), F.sum(F.length("before") + F.length("after") + F.length("candidate")).alias("size")).first()
+    assert got.n == 30_000 and got.size < 4 * sum(map(len, runs))
+
+
 def test_values_of_long_names_equal_a_plain_search(spark):
     import re
 
@@ -42,13 +59,13 @@ def test_values_of_long_names_equal_a_plain_search(spark):
              "A_LONG_NAME_1=abc123def456ghi=", "PASSWORD_LONG==abc123def456ghi", "abc123def456ghi==="]
     texts += ["".join(run(rng.randint(1, 20)) + rng.choice(["=", "==", "===", ",", "=\"", ":"]) for _ in range(6)) for _ in range(300)]
     got = sorted((r.id, r.candidate) for r in secrets.candidates(table(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect())
-    want = set()
+    want = []
     for i, text in enumerate(texts):
         parts = re.split("([A-Za-z0-9+/_-]+)", text)
         for part, after, following in zip(parts[1::2], parts[2::2], [*parts[3::2], ""]):
             pad = after[:2] if after[:2] == "==" else after[:1] if after[:1] == "=" else ""
             if len(part) >= 12 and re.search("[0-9]", part) and re.search("[A-Za-z]", part):
-                want.add((i, part + (pad if len(pad) < len(after) or not following else "")))
+                want.append((i, part + (pad if len(pad) < len(after) or not following else "")))
     assert got == sorted(want)
     assert (0, "wJalr1K7MDENGbPxRfi") in want and (1, "ghp_1a2b3c4d5e6f") in want
 

@@ -38,7 +38,11 @@ PATH_CUES = ("test", "example", "doc", "fixture", "vendor", "lock")
 
 
 def candidates(docs: DataFrame, identity: str = "doc_id", text: str = "text", path: str | None = "source") -> DataFrame:
-    """Rows (id, word, candidate, before, after, path); word counts from 0."""
+    """Rows (id, word, candidate, before, after, path), one per occurrence; word counts from 0.
+
+    Before the first run of a word stand two words and the beginning of its own, after the last the next two words. Between runs of one
+    word, before is the run before with what follows it, after is what stands up to the next; so all rows together stay as long as the text.
+    """
     where = column(docs, path).cast("string") if path else F.lit("")
     table = docs.select(column(docs, identity).alias("id"), F.coalesce(where, F.lit("")).alias("path"), words(column(docs, text)).alias("w"))
     w = F.col("w")
@@ -46,20 +50,26 @@ def candidates(docs: DataFrame, identity: str = "doc_id", text: str = "text", pa
                          & F.get(w, i).rlike("[0-9]") & F.get(w, i).rlike("[A-Za-z]"))
     places = table.where(F.size(w) > 0).withColumn("word", F.explode(long_ones))
     near = lambda *steps: F.concat_ws(" ", *[F.get(w, F.col("word") + s) for s in steps])
-    rows = places.select("id", "path", "word", F.get(w, F.col("word")).alias("own"),
-                         F.when(F.col("word") > 0, F.concat_ws(" ", F.slice(w, F.greatest(F.col("word") - 2, F.lit(1)), F.least(F.col("word"), F.lit(3))))).otherwise("").alias("left"),
-                         near(1, 2).alias("after"))
-    found = F.filter(F.array_distinct(F.regexp_extract_all("own", F.lit(RUN), F.lit(1))), lambda c: c.rlike("[0-9]") & c.rlike("[A-Za-z]"))
-    rows = rows.withColumn("candidate", F.explode(found))
-    inside = F.split_part("own", F.col("candidate"), F.lit(1))  # what stands before it in its own word
-    return rows.select("id", F.col("word").cast("long").alias("word"), "candidate", F.ltrim(F.concat_ws(" ", "left", inside)).alias("before"), "after", "path")
+    own = F.get(w, F.col("word"))
+    rows = places.select("id", "path", "word", near(1, 2).alias("next"), F.regexp_extract_all(own, F.lit(RUN), F.lit(1)).alias("runs"),
+                         F.split(own, RUN, -1).alias("between"),
+                         F.when(F.col("word") > 0, F.concat_ws(" ", F.slice(w, F.greatest(F.col("word") - 2, F.lit(1)), F.least(F.col("word"), F.lit(3))))).otherwise("").alias("left"))
+    run, gap = (lambda k: F.get("runs", k)), (lambda k: F.get("between", k))
+    front = F.ltrim(F.concat_ws(" ", "left", gap(F.lit(0))))
+    mixed = F.filter(F.sequence(F.lit(0), F.size("runs") - 1), lambda k: run(k).rlike("[0-9]") & run(k).rlike("[A-Za-z]"))
+    found = F.transform(mixed, lambda k: F.struct(
+        run(k).alias("candidate"),
+        F.when(k == 0, front).when(k == 1, F.concat(front, run(k - 1), gap(k))).otherwise(F.concat(run(k - 1), gap(k))).alias("before"),
+        F.when(k == F.size("runs") - 1, F.col("next")).otherwise(gap(k + 1)).alias("after")))
+    rows = rows.where(F.size("runs") > 0).select("id", F.col("word").cast("long").alias("word"), F.explode(found).alias("f"), "path")
+    return rows.select("id", "word", "f.candidate", "f.before", "f.after", "path")
 
 
 def _sampled(docs: DataFrame, identity: str, text: str, sample: int) -> DataFrame:
     """Rows (seed, w): words of the sampled documents."""
     rows = docs.select(F.xxhash64(column(docs, identity)).alias("h"), column(docs, text).alias("text"))
     last = rows.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    chosen = rows.where(F.col("h") <= F.lit(last).cast("long")).limit(2 * sample)
+    chosen = rows.where(F.col("h") <= F.lit(last).cast("long")).groupBy("h").agg(F.min("text").alias("text"))  # one row of equal ids
     plain = F.filter(words(F.lower("text")), lambda x: x.rlike("^[a-z]{2,12}$"))
     return stage(chosen.select(F.col("h").alias("seed"), plain.alias("w")).where(F.size("w") >= 8), "secret-sample")
 
@@ -201,6 +211,7 @@ def find(docs: DataFrame, identity: str = "doc_id", text: str = "text", path: st
         if sampled.isEmpty():  # no words to train on: nothing is taken for a false positive
             return found.withColumns({"probability": F.lit(1.0), "secret": F.lit(True)}).withColumnRenamed("id", identity)
         model = train(sampled, dictionary=dictionary_of(docs, text))
+    found = stage(found, "secret-candidates")  # read twice below; the texts only once
     return judge(found, model).withColumnRenamed("id", identity)
 
 
