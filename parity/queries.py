@@ -15,6 +15,7 @@ from tillroll.operators import (basket, cancel, classify, cluster, distinct, eva
                                 kmeans, lines, metrics, outlier, product, score, silhouette, ward)
 from tillroll.operators.density import density
 from tillroll.operators.smote import smote
+from tillroll.operators.splits import best_splits, fit_exact_tree
 from tillroll.plans import segments
 from tillroll.schema import FEATURES, LINE_COLUMNS
 from tillroll.session import place
@@ -365,6 +366,29 @@ def period_totals_from_sketches(t: Tables) -> DataFrame:
     return found.join(exact).select("n_lines", *[F.col(f"exact_{n}") for n in distinct.TOTALS], *near)  # one row each
 
 
+# exact thresholds of trees
+def _first_split(impurity: str) -> Callable[[Tables], DataFrame]:
+    def build(t: Tables) -> DataFrame:
+        rows = t.points.select(F.lit(0).alias("node"), F.col("embedding").cast("array<double>").alias("x"), "label")
+        classes = sorted(r.label for r in rows.select("label").distinct().where("label IS NOT NULL").collect())
+        found = best_splits(rows, classes, impurity)
+        return found.select("feature", "threshold", F.round("impurity", 8).alias("impurity"), "n_left", "n")
+    return build
+
+
+simple("best_splits_gini", _first_split("gini"))
+simple("best_splits_entropy", _first_split("entropy"))
+
+
+@query
+def exact_tree_facts(t: Tables) -> DataFrame:
+    """Trees grown to the end over all thresholds give every customer their own cluster."""
+    parts = [fit_exact_tree(t.labelled, impurity).transform(t.labelled).agg(
+        F.lit(impurity).alias("impurity"), F.count("*").alias("n"), F.sum((F.col("prediction") == F.col("label")).cast("long")).alias("right"))
+        for impurity in ("gini", "entropy")]
+    return reduce(DataFrame.unionByName, parts)
+
+
 # what must hold for any fit, so that SQL can state it
 @query
 def hierarchical_counts(t: Tables) -> DataFrame:

@@ -358,7 +358,37 @@ EUCLIDEAN = """
             GROUP BY vec_id, label)"""
 STANDARDISED = "SELECT * FROM (" + " UNION ALL ".join(f'SELECT "CustomerID", {i} AS position, ("{c}" - avg("{c}") OVER ()) / stddev_pop("{c}") OVER () AS value FROM features WHERE "Lenght" IS NOT NULL' for i, c in enumerate(FEATURES)) + ") WHERE value <> 0"
 
+
+
+def _first_split(impurity: str) -> str:
+    """Every gap between neighbouring values, from running counts of each class; ``impurity`` is SQL over the counts of a side, in ``of``."""
+    return f"""
+      SELECT feature, arg_min(threshold, struct_pack(i := impurity, t := threshold)) AS threshold, round(min(impurity), 8) AS impurity,
+             arg_min(n_left, struct_pack(i := impurity, t := threshold)) AS n_left, any_value(n) AS n
+      FROM (SELECT feature, value / 2 + above / 2 AS threshold, sum(below) AS n_left, sum(below) + sum(beyond) AS n,
+                   round(({impurity.format(of="below")} + {impurity.format(of="beyond")}) / (sum(below) + sum(beyond)), 12) AS impurity
+            FROM (SELECT v.feature, v.value, v.above, c.label, CAST(coalesce(max(r.so_far), 0) AS DOUBLE) AS below,
+                         CAST(max(c.n) - coalesce(max(r.so_far), 0) AS DOUBLE) AS beyond
+                  FROM (SELECT feature, value, lead(value) OVER (PARTITION BY feature ORDER BY value) AS above FROM (SELECT DISTINCT feature, value FROM cells)) v
+                  JOIN (SELECT label, count(*) AS n FROM embeddings GROUP BY label) c ON v.above IS NOT NULL
+                  LEFT JOIN (SELECT DISTINCT feature, label, value, count(*) OVER (PARTITION BY feature, label ORDER BY value) AS so_far FROM cells) r
+                    ON r.feature = v.feature AND r.label = c.label AND r.value <= v.value
+                  GROUP BY v.feature, v.value, v.above, c.label)
+            GROUP BY feature, value, above)
+      GROUP BY feature"""
+
+
+STAGES["cells"] = """
+  SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS value, generate_subscripts(embedding, 1) - 1 AS feature FROM embeddings
+"""
+FIRST_SPLIT = "feature:i threshold:d impurity:d n_left:i n:i"
+
 STATEMENTS: dict[str, str] = {
+    # exact thresholds of trees
+    "best_splits_gini": out(FIRST_SPLIT, _first_split("(sum({of}) - sum({of} * {of}) / sum({of}))")),
+    "best_splits_entropy": out(FIRST_SPLIT, _first_split("sum(CASE WHEN {of} > 0 THEN -{of} * log2({of}) ELSE 0 END) + sum({of}) * log2(sum({of}))")),
+    "exact_tree_facts": out("impurity:s n:i right:i", """SELECT impurity, n, n AS "right" FROM (VALUES ('gini'), ('entropy')) v(impurity),
+      (SELECT count(*) AS n FROM features WHERE "Lenght" IS NOT NULL)"""),
     # sources and inspection
     "invoice_lines": out(LINE_OUT, "SELECT * FROM raw"),
     "table_size": out("n_rows:i n_columns:i", "SELECT count(*) AS n_rows, 8 AS n_columns FROM raw"),

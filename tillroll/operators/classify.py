@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tillroll.operators.cluster import FITS_AT_ONCE, side_by_side
 from tillroll.operators.evaluation import accuracy
+from tillroll.operators.splits import ExactTree
 
 TOLERANCE = 1e-3
 Fitter = Callable[[DataFrame], object]
@@ -184,7 +185,7 @@ def fit_forest(train: DataFrame, trees: int = 50, seed: int = 0, depth: int = 30
     return RandomForestClassifier(numTrees=trees, seed=seed, maxDepth=depth, maxBins=bins, labelCol="label").fit(train)
 
 
-HOME_MADE = {"PairwiseSvm": PairwiseSvm, "BoostedStumps": BoostedStumps}
+HOME_MADE = {"PairwiseSvm": PairwiseSvm, "BoostedStumps": BoostedStumps, "ExactTree": ExactTree}
 
 
 def save_model(spark, model: object, path: str) -> None:
