@@ -74,3 +74,56 @@ def test_repeated_rows_long_texts_and_empty_tables(spark):
     assert substring.passages(table(spark, [(1, "a" * 50_000), (2, "b" * 50_000)])).count() == 0
     many = table(spark, [(i, p) for i in range(300)])
     assert substring.passages(many).agg(F.count("*"), F.max("first_id")).first() == (299, 0)
+
+
+def naive(rows, least):
+    """Places of texts inside runs of ``least`` words that an earlier text (or an earlier place) has, as sets of word numbers."""
+    known, found = set(), {}
+    for i, t in sorted(rows):
+        w = t.split()
+        hit = set()
+        for k in range(len(w) - least + 1):
+            key = tuple(w[k:k + least])
+            if key in known:
+                hit.update(range(k, k + least))
+            known.add(key)
+        found[i] = hit
+    return found
+
+
+def test_short_repeats_are_found_and_extended_to_their_ends(spark):
+    rng = random.Random(4)
+    rows, planted = [], {}
+    for n in (25, 28, 32, 40, 51):
+        for _ in range(60):
+            p = " ".join("".join(rng.choice("abcdefghijklmnoprstu") for _ in range(rng.randint(2, 8))) for _ in range(n))
+            a, b = prose(rng, rng.randint(30, 60)), prose(rng, rng.randint(0, 40))
+            rows.append((len(rows), a + " " + p + "\n" + prose(rng, 30)))
+            planted[len(rows)] = (len(b) + 1, len(b) + 1 + len(p), n)
+            rows.append((len(rows), b + " " + p + " " + prose(rng, rng.randint(0, 30))))
+    by = {}
+    for r in substring.passages(table(spark, rows)).collect():
+        by.setdefault(r.doc_id, []).append((r.start, r.end, r.n_words))
+    assert set(by) <= set(planted)
+    expected = naive(rows, 25)
+    assert {i for i, hit in expected.items() if hit} == set(planted)
+    exact = [by.get(i) == [p] for i, p in planted.items()]
+    assert sum(i in by for i in planted) >= 0.99 * len(planted) and sum(exact) >= 0.99 * len(planted)
+    left = {r.doc_id: r.text for r in substring.remove(table(spark, rows)).collect()}
+    texts = dict(rows)
+    for i, (start, end, n) in planted.items():
+        if by.get(i) == [(start, end, n)]:
+            assert left[i] == texts[i][:start] + texts[i][end:]
+
+
+def test_no_text_is_lost_where_passages_meet_or_repeat_themselves(spark):
+    rng = random.Random(6)
+    unit = prose(rng, 9)
+    rows = [(1, " ".join([unit] * 30)), (2, "x " + " ".join([unit] * 7)), (3, prose(rng, 40))]
+    a, b = prose(rng, 26), prose(rng, 27)
+    rows += [(4, a + " q"), (5, "r " + b), (6, a + " " + b), (7, a + " z " + b + " " + a)]
+    left = {r.doc_id: r.text for r in substring.remove(table(spark, rows)).collect()}
+    assert unit in left[1] and a in left[4] and b in left[5] and left[3] == rows[2][1]
+    assert left[6].strip() == "" and left[7].split() == ["z"]
+    for r in substring.passages(table(spark, rows)).collect():
+        assert r.n_words == len(dict(rows)[r.doc_id][:r.end].split()) - len(dict(rows)[r.doc_id][:r.start].split())

@@ -2,12 +2,14 @@
 
 Texts are cut at peaks of a gear rolling hash. A cut depends on the bytes around it alone, so a passage is cut into the same
 chunks wherever it stands, and an insertion changes the chunks next to it only. Chunks are known by a digest of 128 bits. All occurrences of
-a digest but the first are repeats; repeats in a row are a passage if they hold at least ``LEAST_WORDS`` words. The
-order of occurrences is id, text digest, place.
+a digest but the first are repeats. Whole chunks leave out what a repeat shares with the first occurrence beyond its outer cuts, so
+repeats in a row are extended on both sides over the words that stand there too: cuts depend on 24 bytes before and 16 after, and
+chunks are longer than 16 bytes, so three chunks on either side hold all of it. Extended repeats that touch are one passage if they
+hold at least ``LEAST_WORDS`` words. The order of occurrences is id, text digest, place.
 
 First occurrences are found by an aggregation that every task begins for itself, and only digests that occur
 twice are joined back, so neither needs the occurrences of one digest together; the join can be split where a
-digest is frequent.
+digest is frequent. Texts are read again only where a repeat or its first occurrence stands.
 
 Defined cases: null counts as empty; texts shorter than a passage have none; rows equal in id and text are one document and
 don't repeat each other; a null id is the smallest; a passage found twice in one
@@ -19,20 +21,25 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tillroll.llm.common import column, fresh, map_arrow, ship, stage, utf8
+from tillroll.llm.common import column, fresh, map_arrow, stage, utf8
 from tillroll.llm.gear import peaks
 
-WINDOW, AROUND, LONGEST = 16, 20, 4096
+WINDOW, AROUND, LONGEST = 8, 16, 4096
 LEAST_WORDS = 25
+#: Chunks on either side that a repeat is extended over at most; cuts that only one of two equal places has are fewer.
+BESIDE = 3
+BEFORE, AFTER = 0, 1
+BLANKS = frozenset(" \t\n\x0b\x0c\r")
 #: Chunks that a task hands over at a time.
 HANDOVER = 50_000
 
-PLACE = "twin long, place int, start int, size int, n_words int"
+EVERY = {"id": None, "twin": pa.int64(), "place": pa.int32(), "start": pa.int32(), "size": pa.int32(), "begun": pa.int32(),
+         "n_words": pa.int32(), "high": pa.int64(), "low": pa.int64()}
+BRIEF = ["id", "twin", "place", "high", "low"]
 
 
 def _white(body: np.ndarray) -> np.ndarray:
@@ -40,12 +47,13 @@ def _white(body: np.ndarray) -> np.ndarray:
 
 
 def _chunks(names: list[str]):
-    """Rows (id, twin, place, start, size, n_words, high, low) of all chunks; start and size in code points."""
+    """Rows of all chunks: start and size in code points, words begun before and inside."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             body, ends = utf8(batch.column("text"))
             ids = batch.column("id")
+            twins = batch.column("twin").to_numpy()
             held: list[tuple] = []
             count = 0
             for i in range(len(batch)):
@@ -60,9 +68,8 @@ def _chunks(names: list[str]):
                 inside = ~_white(data)
                 begun = np.concatenate(([0], np.cumsum(inside & np.concatenate(([True], ~inside[:-1])))))
                 starts = np.concatenate(([0], cut[:-1]))
-                twin = np.full(len(cut), xxhash.xxh3_64_intdigest(raw), np.uint64).view(np.int64)
-                held.append((np.full(len(cut), i), twin, np.arange(len(cut)), points[starts], points[cut] - points[starts],
-                             begun[cut] - begun[starts], digests[:, 0], digests[:, 1]))
+                held.append((np.full(len(cut), i), np.full(len(cut), twins[i]), np.arange(len(cut)), points[starts],
+                             points[cut] - points[starts], begun[starts], begun[cut] - begun[starts], digests[:, 0], digests[:, 1]))
                 count += len(cut)
                 if count >= HANDOVER:
                     yield _handed(held, ids, names)
@@ -74,41 +81,135 @@ def _chunks(names: list[str]):
 
 
 def _handed(held: list[tuple], ids: pa.Array, names: list[str]) -> pa.RecordBatch:
-    columns = [np.concatenate(c) for c in zip(*held)]
-    kinds = [None, pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-    all_columns = [ids.take(pa.array(columns[0])), *[pa.array(c).cast(k) for c, k in zip(columns[1:], kinds[1:])]]
-    every = ["id", "twin", "place", "start", "size", "n_words", "high", "low"]
-    return pa.RecordBatch.from_arrays([all_columns[every.index(n)] for n in names], names)
+    columns = dict(zip(EVERY, (np.concatenate(c) for c in zip(*held))))
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(columns[n])) if n == "id" else pa.array(columns[n]).cast(EVERY[n]) for n in names], names)
+
+
+def _schema(names: list[str], kind: str) -> str:
+    return ", ".join(f"{n} {kind if n == 'id' else 'long' if EVERY[n] == pa.int64() else 'int'}" for n in names)
 
 
 def _rows(docs: DataFrame, identity: str, text: str) -> DataFrame:
-    return docs.select(column(docs, identity).alias("id"), F.coalesce(column(docs, text), F.lit("")).alias("text"))
+    rows = docs.select(column(docs, identity).alias("id"), F.coalesce(column(docs, text), F.lit("")).alias("text"))
+    return rows.withColumn("twin", F.xxhash64("text"))
 
 
 def repeats(docs: DataFrame, identity: str = "doc_id", text: str = "text") -> DataFrame:
-    """Chunks that are not the first occurrence of their digest, with the document of the first (first_id)."""
+    """Chunks that are not the first occurrence of their digest, with the id, twin and place of the first."""
     rows = _rows(docs, identity, text)
     kind = rows.schema["id"].dataType.simpleString()
-    short, every = ["id", "twin", "place", "high", "low"], ["id", "twin", "place", "start", "size", "n_words", "high", "low"]
-    places = f"id {kind}, {PLACE}, high long, low long"
-    brief = map_arrow(rows, _chunks(short), f"id {kind}, twin long, place int, high long, low long")
+    brief = map_arrow(rows, _chunks(BRIEF), _schema(BRIEF, kind))
     known = brief.groupBy("high", "low").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "twin", "place")).alias("first"))
     known = stage(known.where(F.col("n") > 1).drop("n"), "substring-known")
-    found = map_arrow(rows, _chunks(every), places).join(known, ["high", "low"])
+    found = map_arrow(rows, _chunks(list(EVERY)), _schema(list(EVERY), kind)).join(known, ["high", "low"])
     own = F.struct("id", "twin", "place")
-    return found.where(own > F.col("first")).select(
-        "id", "twin", "place", "start", "size", "n_words", F.col("first.id").alias("first_id"))
+    return found.where(own > F.col("first")).select("id", "twin", "place", "start", "size", "begun", "n_words", "first")
+
+
+def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, twin, place, side, near): what stands before or after each wanted chunk; text after it begins with its last character.
+
+    A line end stands for the start and the end of the text.
+    """
+    for batch in batches:
+        for i in range(len(batch)):
+            raw = batch.column("text")[i].as_py().encode()
+            cuts = np.concatenate(([0], peaks(np.frombuffer(raw, np.uint8), WINDOW, AROUND, LONGEST))).tolist()
+            near = []
+            wanted = batch.column("wanted")[i].as_py()
+            for w in wanted:
+                at = w["place"]
+                if w["side"] == BEFORE:
+                    low = max(0, at - BESIDE)
+                    near.append(("" if low else "\n") + raw[cuts[low]:cuts[at]].decode())
+                else:
+                    high = min(len(cuts) - 1, at + 1 + BESIDE)
+                    near.append(raw[cuts[at]:cuts[at + 1]].decode()[-1] + raw[cuts[at + 1]:cuts[high]].decode()
+                                + ("\n" if high == len(cuts) - 1 else ""))
+            row = pa.array(np.full(len(near), i))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id").take(row), batch.column("twin").take(row), pa.array([w["place"] for w in wanted], pa.int32()),
+                 pa.array([w["side"] for w in wanted], pa.int32()), pa.array(near, pa.string())], ["id", "twin", "place", "side", "near"])
+
+
+def _shared(own: str, other: str, side: int) -> tuple[int, int]:
+    """Characters and words of whole words that follow (or, reversed, stand before) in both texts."""
+    if side == BEFORE:
+        own, other = own[::-1], other[::-1]
+    most = min(len(own), len(other))
+    same = next((k for k in range(most) if own[k] != other[k]), most)
+    first = 0 if side == BEFORE else 1
+    blank = [c in BLANKS for c in own[:same + 1]]
+    for end in range(min(same, most - 1), first, -1):
+        if blank[end] and other[end] in BLANKS and not blank[end - 1]:
+            before = 1 if side == BEFORE else -1
+            return end - first, sum(not blank[k] and blank[k + before] for k in range(first, end))
+    return 0, 0
+
+
+def _grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sides = batch.column("side").to_pylist()
+        found = [_shared(a, b, s) for a, b, s in zip(batch.column("own").to_pylist(), batch.column("other").to_pylist(), sides)]
+        more = pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.int32())
+        kept = [n for n in batch.schema.names if n not in ("own", "other")]
+        yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in kept], *more], [*kept, "chars", "more"])
+
+
+def _extended(rows: DataFrame, runs: DataFrame) -> DataFrame:
+    """Runs with the whole words on either side that stand beside the first occurrences too."""
+    kind = rows.schema["id"].dataType.simpleString()
+    info = "start", "end", "begun", "until", "n_chunks", "first_id"
+    ends = runs.select("id", "twin", "run", *info, F.explode(F.array(*[
+        F.struct(F.lit(side).alias("side"), F.col(f"{c}.place"), F.col(f"{c}.first")) for side, c in ((BEFORE, "head"), (AFTER, "tail"))])).alias("e"))
+    ends = ends.select("id", "twin", "run", *info, "e.side", "e.place", F.col("e.first.id").alias("from_id"),
+                       F.col("e.first.twin").alias("from_twin"), F.col("e.first.place").alias("from_place"))
+    wanted = ends.select("id", "twin", "place", "side").union(ends.select("from_id", "from_twin", "from_place", "side"))
+    wanted = wanted.groupBy("id", "twin").agg(F.collect_set(F.struct("place", "side")).alias("wanted"))  # at most two for each of its chunks
+    wanted = wanted.toDF("who", "what", "wanted")
+    read = rows.join(wanted, F.col("id").eqNullSafe(F.col("who")) & (F.col("twin") == F.col("what")))
+    near = map_arrow(read.select("id", "twin", "text", "wanted"), _beside, f"id {kind}, twin long, place int, side int, near string")
+    near = stage(near.groupBy("id", "twin", "place", "side").agg(F.min("near").alias("near")), "substring-near")  # repeated rows give it again
+    for name, c in (("own", ("id", "twin", "place")), ("other", ("from_id", "from_twin", "from_place"))):
+        side = near.toDF("near_id", "near_twin", "near_place", "near_side", name)
+        ends = ends.join(side, F.col(c[0]).eqNullSafe(F.col("near_id")) & (F.col(c[1]) == F.col("near_twin"))
+                         & (F.col(c[2]) == F.col("near_place")) & (F.col("side") == F.col("near_side")))
+        ends = ends.drop("near_id", "near_twin", "near_place", "near_side")
+    # a repeat just after its first occurrence doesn't grow back into it
+    inside = F.col("id").eqNullSafe(F.col("from_id")) & (F.col("twin") == F.col("from_twin")) & (F.col("place") - F.col("from_place") <= BESIDE)
+    ends = ends.withColumn("other", F.when(inside & (F.col("side") == BEFORE), F.lit("")).otherwise(F.col("other")))
+    types = dict(ends.dtypes)
+    kept = ["id", "twin", "run", *info, "side", "own", "other"]
+    grown = map_arrow(ends.select(*kept), _grown, ", ".join(f"{n} {types[n]}" for n in kept[:-2]) + ", chars int, more int")
+    at = lambda side, c: F.when(F.col("side") == side, F.col(c)).otherwise(0)
+    return grown.groupBy("id", "twin", "run").agg(
+        F.min(F.col("start") - at(BEFORE, "chars")).alias("start"), F.max(F.col("end") + at(AFTER, "chars")).alias("end"),
+        F.min(F.col("begun") - at(BEFORE, "more")).alias("begun"), F.max(F.col("until") + at(AFTER, "more")).alias("until"),
+        F.min("n_chunks").alias("n_chunks"), F.min("first_id").alias("first_id"))
 
 
 def passages(docs: DataFrame, identity: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
-    """Repeated passages: id, twin (digest of the whole text), start and end in code points, n_words, n_chunks, first_id."""
+    """Repeated passages: id, twin (digest of the whole text), start and end in code points, n_words, n_chunks, first_id.
+
+    ``n_chunks`` counts whole repeated chunks; a first occurrence is that of a chunk, so parts of a passage may have several, and
+    ``first_id`` is the smallest.
+    """
     single = repeats(docs, identity, text).groupBy("id", "twin", "place").agg(*[
-        F.min(c).alias(c) for c in ("start", "size", "n_words", "first_id")])
+        F.min(c).alias(c) for c in ("start", "size", "begun", "n_words", "first")])
     order = Window.partitionBy("id", "twin").orderBy("place")
     runs = single.withColumn("run", F.col("place") - F.row_number().over(order))
-    whole = runs.groupBy("id", "twin", "run").agg(
-        F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("end"), F.sum("n_words").alias("n_words"),
-        F.count(F.lit(1)).alias("n_chunks"), F.min("first_id").alias("first_id"))
+    end = F.struct("place", "first")
+    runs = runs.groupBy("id", "twin", "run").agg(
+        F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("end"), F.min("begun").alias("begun"),
+        F.max(F.col("begun") + F.col("n_words")).alias("until"), F.count(F.lit(1)).alias("n_chunks"),
+        F.min("first.id").alias("first_id"), F.min(end).alias("head"), F.max(end).alias("tail"))
+    grown = _extended(_rows(docs, identity, text), stage(runs, "substring-runs"))
+    order = Window.partitionBy("id", "twin").orderBy("start", "end")
+    reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    grown = grown.withColumn("apart", F.coalesce(F.col("start") > reached, F.lit(True)).cast("int"))
+    whole = grown.withColumn("run", F.sum("apart").over(order)).groupBy("id", "twin", "run").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), (F.max("until") - F.min("begun")).alias("n_words"),
+        F.sum("n_chunks").alias("n_chunks"), F.min("first_id").alias("first_id"))
     return whole.where(F.col("n_words") >= least_words).drop("run").withColumnRenamed("id", identity)
 
 
@@ -125,23 +226,13 @@ def remove(docs: DataFrame, identity: str = "doc_id", text: str = "text", least_
     found = passages(docs, identity, text, least_words).groupBy(f"`{identity}`", "twin").agg(
         F.array_sort(F.collect_list(F.struct("start", "end"))).alias(spans))  # as many as a text has passages
     found = found.toDF(who, other, spans)
-    ship(docs.sparkSession)
-    own = docs.withColumn(twin, _twin(column(docs, text)))
+    own = docs.withColumn(twin, F.xxhash64(F.coalesce(column(docs, text), F.lit(""))))
     same = column(own, identity).eqNullSafe(F.col(who)) & (F.col(twin) == F.col(other))
     old = column(own, text)
     new = F.when(F.col(spans).isNull(), old).otherwise(_without(old, F.col(spans)))
     return own.join(found, same, "left").select(*[new.alias(c) if c == text else column(own, c) for c in docs.columns])
 
 
-def _twin(text: Column) -> Column:
-    return _digest(F.coalesce(text, F.lit("")))
-
-
-@F.pandas_udf(T.LongType())
-def _digest(texts: pd.Series) -> pd.Series:
-    return pd.Series(np.array([xxhash.xxh3_64_intdigest(t.encode()) for t in texts], np.uint64).view(np.int64))
-
-
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return passages(docs).select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"),
