@@ -107,29 +107,29 @@ def repeats(docs: DataFrame, identity: str = "doc_id", text: str = "text") -> Da
 
 
 def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, twin, place, side, near): what stands before or after each wanted chunk; text after it begins with its last character.
+    """Rows (doc, place, side, own, near): what stands before or after each chunk in ``ends`` (own: the end) and ``firsts`` (no own).
 
-    A line end stands for the start and the end of the text.
+    Text after a chunk begins with the chunk's last character; a line end stands for the start and the end of the text.
     """
     for batch in batches:
         for i in range(len(batch)):
             raw = batch.column("text")[i].as_py().encode()
             cuts = np.concatenate(([0], peaks(np.frombuffer(raw, np.uint8), WINDOW, AROUND, LONGEST))).tolist()
+            own, firsts = batch.column("ends")[i].values, batch.column("firsts")[i].values
+            places = own.field("place").to_pylist() + firsts.field("place").to_pylist()
+            sides = own.field("side").to_pylist() + firsts.field("side").to_pylist()
             near = []
-            wanted = batch.column("wanted")[i].as_py()
-            for w in wanted:
-                at = w["place"]
-                if w["side"] == BEFORE:
+            for at, side in zip(places, sides):
+                if side == BEFORE:
                     low = max(0, at - BESIDE)
                     near.append(("" if low else "\n") + raw[cuts[low]:cuts[at]].decode())
                 else:
                     high = min(len(cuts) - 1, at + 1 + BESIDE)
                     near.append(raw[cuts[at]:cuts[at + 1]].decode()[-1] + raw[cuts[at + 1]:cuts[high]].decode()
                                 + ("\n" if high == len(cuts) - 1 else ""))
-            row = pa.array(np.full(len(near), i))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(row), batch.column("twin").take(row), pa.array([w["place"] for w in wanted], pa.int32()),
-                 pa.array([w["side"] for w in wanted], pa.int32()), pa.array(near, pa.string())], ["id", "twin", "place", "side", "near"])
+                [batch.column("doc").take(pa.array(np.full(len(near), i))), pa.array(places, pa.int32()), pa.array(sides, pa.int32()),
+                 pa.concat_arrays([own, pa.nulls(len(firsts), own.type)]), pa.array(near, pa.string())], ["doc", "place", "side", "own", "near"])
 
 
 def _shared(own: str, other: str, side: int) -> tuple[int, int]:
@@ -158,29 +158,31 @@ def _grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _extended(rows: DataFrame, runs: DataFrame) -> DataFrame:
     """Runs with the whole words on either side that stand beside the first occurrences too."""
-    kind = rows.schema["id"].dataType.simpleString()
+    rows = rows.select(F.struct("id", "twin").alias("doc"), "text")  # equal as a key where the id is null, too
     info = "start", "end", "begun", "until", "n_chunks", "first_id"
-    ends = runs.select("id", "twin", "run", *info, F.explode(F.array(*[
-        F.struct(F.lit(side).alias("side"), F.col(f"{c}.place"), F.col(f"{c}.first")) for side, c in ((BEFORE, "head"), (AFTER, "tail"))])).alias("e"))
-    ends = ends.select("id", "twin", "run", *info, "e.side", "e.place", F.col("e.first.id").alias("from_id"),
-                       F.col("e.first.twin").alias("from_twin"), F.col("e.first.place").alias("from_place"))
-    wanted = ends.select("id", "twin", "place", "side").union(ends.select("from_id", "from_twin", "from_place", "side"))
-    wanted = wanted.groupBy("id", "twin").agg(F.collect_set(F.struct("place", "side")).alias("wanted"))  # at most two for each of its chunks
-    wanted = wanted.toDF("who", "what", "wanted")
-    read = rows.join(wanted, F.col("id").eqNullSafe(F.col("who")) & (F.col("twin") == F.col("what")))
-    near = map_arrow(read.select("id", "twin", "text", "wanted"), _beside, f"id {kind}, twin long, place int, side int, near string")
-    near = stage(near.groupBy("id", "twin", "place", "side").agg(F.min("near").alias("near")), "substring-near")  # repeated rows give it again
-    for name, c in (("own", ("id", "twin", "place")), ("other", ("from_id", "from_twin", "from_place"))):
-        side = near.toDF("near_id", "near_twin", "near_place", "near_side", name)
-        ends = ends.join(side, F.col(c[0]).eqNullSafe(F.col("near_id")) & (F.col(c[1]) == F.col("near_twin"))
-                         & (F.col(c[2]) == F.col("near_place")) & (F.col("side") == F.col("near_side")))
-        ends = ends.drop("near_id", "near_twin", "near_place", "near_side")
+    ends = runs.select(F.struct("id", "twin").alias("doc"), F.explode(F.array(*[
+        F.struct(F.lit(side).alias("side"), F.col(f"{c}.place").alias("place"), F.struct(f"{c}.first.id", f"{c}.first.twin").alias("from_doc"),
+                 F.col(f"{c}.first.place").alias("from_place"), "run", *info) for side, c in ((BEFORE, "head"), (AFTER, "tail"))])).alias("end"))
+    firsts = ends.select(F.col("end.from_doc").alias("doc"), F.struct("end.from_place", "end.side").alias("first")).distinct()
+    firsts = firsts.select("doc", F.struct(F.col("first.from_place").alias("place"), F.col("first.side").alias("side")).alias("first"))
+    wanted = ends.unionByName(firsts, allowMissingColumns=True).groupBy("doc").agg(  # at most four for each of its chunks
+        F.collect_list("end").alias("ends"), F.collect_list("first").alias("firsts")).withColumnRenamed("doc", "who")
+    read = rows.join(wanted, F.col("doc") == F.col("who")).select("doc", "text", "ends", "firsts")
+    types = dict(read.dtypes)
+    near = map_arrow(read, _beside, f"doc {types['doc']}, place int, side int, own {types['ends'][6:-1]}, near string")
+    near = stage(near, "substring-near")
+    first = near.where("own IS NULL").groupBy("doc", "place", "side").agg(F.min("near").alias("other"))  # repeated rows give it again
+    first = first.toDF("from_doc", "from_place", "side", "other")
+    own = near.where("own IS NOT NULL").select("doc", F.col("near").alias("own"), *[
+        F.col(f"own.{c}") for c in ("side", "place", "from_doc", "from_place", "run", *info)])
+    both = own.join(first, ["from_doc", "from_place", "side"])
     # a repeat just after its first occurrence doesn't grow back into it
-    inside = F.col("id").eqNullSafe(F.col("from_id")) & (F.col("twin") == F.col("from_twin")) & (F.col("place") - F.col("from_place") <= BESIDE)
-    ends = ends.withColumn("other", F.when(inside & (F.col("side") == BEFORE), F.lit("")).otherwise(F.col("other")))
-    types = dict(ends.dtypes)
+    inside = (F.col("doc") == F.col("from_doc")) & (F.col("place") - F.col("from_place") <= BESIDE) & (F.col("side") == BEFORE)
+    both = both.withColumn("other", F.when(inside, F.lit("")).otherwise(F.col("other"))).withColumns(
+        {"id": F.col("doc.id"), "twin": F.col("doc.twin")})
+    types = dict(both.dtypes)
     kept = ["id", "twin", "run", *info, "side", "own", "other"]
-    grown = map_arrow(ends.select(*kept), _grown, ", ".join(f"{n} {types[n]}" for n in kept[:-2]) + ", chars int, more int")
+    grown = map_arrow(both.select(*kept), _grown, ", ".join(f"{n} {types[n]}" for n in kept[:-2]) + ", chars int, more int")
     at = lambda side, c: F.when(F.col("side") == side, F.col(c)).otherwise(0)
     return grown.groupBy("id", "twin", "run").agg(
         F.min(F.col("start") - at(BEFORE, "chars")).alias("start"), F.max(F.col("end") + at(AFTER, "chars")).alias("end"),
