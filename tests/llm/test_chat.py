@@ -79,6 +79,14 @@ def test_a_conversation_longer_than_a_batch_and_empty_tables(spark):
     assert chat.read_back(chat.format_chat(frame(spark, []))).count() == 0
 
 
+def test_ids_may_be_strings(spark):
+    rows = [r for r in sample() if r[0] != 6]
+    turns = frame(spark, rows)
+    want = {None if r.conv_id is None else str(r.conv_id): r[1:] for r in chat.read_back(chat.format_chat(turns)).collect()}
+    named = turns.withColumn("conv_id", turns["conv_id"].cast("string"))
+    assert {r.conv_id: r[1:] for r in chat.read_back(chat.format_chat(named)).collect()} == want
+
+
 def test_escapes():
     for text in ("", "\\", "<", "\\<", "<turn>", "</turn>", "\\n", "\n", "a\\\\<b"):
         assert chat.unescape(text.replace("\\", "\\\\").replace("<", "\\<")) == text

@@ -32,7 +32,6 @@ BACK, LESS, END = 92, 60, 10
 LEARNT = "assistant"
 #: Bytes of turns that are assembled at a time.
 BLOCK = 4 << 20
-#: Turns as rows of one Arrow batch are at most so many; with texts of megabytes, set fewer.
 BLOCKS = "conv_id {kind}, place long, n_turns long, text string, loss array<struct<start:long,end:long>>"
 
 
@@ -149,10 +148,11 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def handed():
         columns = list(zip(*held))
         names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+        kinds = [kind, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
     for batch in batches:
+        kind = batch.schema.field("conv_id").type
         for conv, text, spans in zip(batch.column("conv_id").to_pylist(), batch.column("text").to_pylist(), batch.column("loss").to_pylist()):
             if now is none or conv != now:
                 if now is not none:
@@ -176,10 +176,14 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_back(blocks: DataFrame) -> DataFrame:
-    """Digests of each conversation, from its formatted blocks alone."""
+    """Digests of each conversation, from its formatted blocks alone; ids may be of any type that sorts.
+
+    A digest of turns in order passes through one task per conversation, block after block.
+    """
+    types = dict(blocks.dtypes)
     dealt = blocks.repartition("conv_id").sortWithinPartitions("conv_id", "place")
-    return map_arrow(dealt.select("conv_id", "text", "loss"), 
-        _digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return map_arrow(dealt.select("conv_id", "text", "loss"), _digests,
+                     f"conv_id {types['conv_id']}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 PROBE = r"\### Assistant: </turn> ok"
