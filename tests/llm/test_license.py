@@ -90,3 +90,16 @@ def test_nulls_long_texts_repeats_and_empty_tables(spark):
     assert got[(None, 4)].score == 1
     assert sum(s.base for s in got[(3, 60_000)].spans) == 20_000
     assert license.scan(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_templates_of_the_users_own(spark):
+    clause = " ".join(f"clause{i % 17} of the house licence part{i}" for i in range(60))
+    given = [(clause, "house-1"), ("", "none"), ("--", "none")]
+    missing = " ".join(w for i, w in enumerate(clause.upper().split()) if i % 23)
+    rows = [(1, "x y " + clause + " z", "s"), (2, missing, "s"), (3, "released under the MIT license", "s"), (4, license.TEMPLATES[10][0], "s")]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {r.doc_id: r for r in license.scan(docs, templates=given).collect()}
+    assert [(s.first, s.end, s.label, s.share) for s in got[1].spans] == [(2, 2 + len(words(clause)), "house-1", 1.0)]
+    assert {s.label for s in got[2].spans} == {"house-1"} and 0.75 <= got[2].score < 1
+    assert [(s.label, s.base) for s in got[3].spans] == [("mit", True)] and got[4].spans == []
+    assert "mpl-2" in {s.label for r in license.scan(docs).collect() if r.doc_id == 4 for s in r.spans}

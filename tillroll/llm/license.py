@@ -7,8 +7,9 @@ template, in the order of text and template, with gaps of at most ``GAP`` words;
 a span with its label, so notices with changed or missing words are found too.
 
 Defined cases: null counts as empty, with no words and score 0; any length of text is read word by word with a state of constant size per
-template; templates are a fixed list, so the automaton is a few thousand entries; repeated rows are scanned alike; an empty table gives
-no rows; other columns are not read.
+template; the built-in templates make an automaton of a few thousand entries, others can be given to ``scan``; repeated rows are scanned alike; an empty table gives
+no rows; other columns are not read. Of overlapping chains of one template the one with the largest share stays, at ties the later; spans of
+different templates may overlap.
 """
 
 from __future__ import annotations
@@ -224,35 +225,43 @@ class Scanner:
         return [s[:4] for s in sorted(spans)], best
 
 
-@lru_cache(maxsize=1)
-def _scanner() -> Scanner:
-    return Scanner()
+@lru_cache(maxsize=4)
+def _scanner(templates: tuple[tuple[str, str], ...] = TEMPLATES) -> Scanner:
+    return Scanner(templates=templates)
 
 
 SPAN = "array<struct<first:long,end:long,label:string,share:double,base:boolean>>"
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    scanner = _scanner()
-    kind = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64()), ("label", pa.string()), ("share", pa.float64()), ("base", pa.bool_())]))
-    for batch in batches:
-        body, ends = utf8(batch.column("text"))
-        counts, spans, scores = [], [], []
-        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
-            n, base, covered, score = scanner.scan(body[a:b])
-            counts.append(n)
-            spans.append([{"first": s, "end": e, "label": label, "share": 1.0, "base": True} for s, e, label in base]
-                         + [{"first": s, "end": e, "label": label, "share": share, "base": False} for s, e, label, share in covered])
-            scores.append(score)
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(counts, pa.int64()), pa.array(spans, kind), pa.array(scores, pa.float64())],
-                                         ["id", "n_words", "spans", "score"])
-
-
-def scan(docs: DataFrame, identity: str = "doc_id", text: str = "text") -> DataFrame:
-    """Id, number of words, spans (first word, end, label, share of the template, whether a base phrase) and score of each row."""
+def _scan(templates: tuple[tuple[str, str], ...]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = _scanner(templates)
+        kind = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64()), ("label", pa.string()), ("share", pa.float64()), ("base", pa.bool_())]))
+        for batch in batches:
+            body, ends = utf8(batch.column("text"))
+            counts, spans, scores = [], [], []
+            for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+                n, base, covered, score = scanner.scan(body[a:b])
+                counts.append(n)
+                spans.append([{"first": s, "end": e, "label": label, "share": 1.0, "base": True} for s, e, label in base]
+                             + [{"first": s, "end": e, "label": label, "share": share, "base": False} for s, e, label, share in covered])
+                scores.append(score)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(counts, pa.int64()), pa.array(spans, kind), pa.array(scores, pa.float64())],
+                                             ["id", "n_words", "spans", "score"])
+
+    return run
+
+
+def scan(docs: DataFrame, identity: str = "doc_id", text: str = "text", templates: Sequence[tuple[str, str]] = TEMPLATES) -> DataFrame:
+    """Id, number of words, spans (first word, end, label, share of the template, whether a base phrase) and score of each row.
+
+    ``templates`` are (text, label) pairs, whole licence texts too, in place of the built-in notices; base phrases stay. Every task builds the
+    automaton of all of them, of at most two states per word. Templates without a word find nothing.
+    """
+    fixed = tuple((t, label) for t, label in templates if WORD.search(t.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))))
     rows = docs.select(column(docs, identity).alias("id"), F.coalesce(column(docs, text), F.lit("")).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return map_arrow(rows, _scan, f"id {kind}, n_words long, spans {SPAN}, score double").withColumnRenamed("id", identity)
+    return map_arrow(rows, _scan(fixed), f"id {kind}, n_words long, spans {SPAN}, score double").withColumnRenamed("id", identity)
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
