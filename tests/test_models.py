@@ -36,6 +36,22 @@ def test_neighbours_equal_brute_force(spark, cell_rows, copies):
         assert np.allclose(sorted(found[i]), row, atol=1e-9)
 
 
+def test_neighbours_of_many_blocks_equal_brute_force_from_few_candidates(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 4)) * [1, 5, 1, 0.1]
+    x[:500, 1] = 0
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    distance = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(distance, np.inf)
+    got = oversampling.nearest_neighbours(df, 5, 75).collect()
+    assert len(got) == 5 * len(x)
+    for r in got:
+        assert abs(r.distance - np.sort(distance[r.id])[r.place - 1]) < 1e-9
+        assert np.array_equal(r.x, x[r.neighbour])
+    # 40 blocks sent on 5 * 40 rows per point
+    assert oversampling._candidates(df, 5, 75).count() < 5 * 5 * len(x)
+
+
 def test_smote_balances_and_stays_between_neighbours(spark, blobs):
     rows = oversampling.smote(blobs).collect()
     sizes = {c: sum(r.label == c for r in rows) for c in (0.0, 1.0, 2.0)}
