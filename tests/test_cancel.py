@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tests.frames import frame, line
 from tillroll.operators import basket, cancel
+from tillroll.session import materialize
 
 
 def netted(spark, rows):
@@ -124,3 +125,11 @@ def test_first_return_without_counterpart(spark):
 def test_equal_lines_are_refused(spark):
     with pytest.raises(Exception, match="equal lines"):
         cancel.net_cancels(frame(spark, [line("1"), line("1"), line("2")])).collect()
+
+
+def test_purchases_are_searched_once(spark):
+    lines = materialize(frame(spark, [line("1", quantity=8), line("2", quantity=4, day=1), line("C1", quantity=-5, day=2)]), "lines")
+    found = cancel.match_cancels(lines)
+    assert [(r.status, r.order_line.InvoiceNo) for r in found.collect()] == [("matched", "1")]
+    # the search for larger purchases reads what the first step kept, not the lines
+    assert not set(lines.inputFiles()) & set(found.inputFiles())
