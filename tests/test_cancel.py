@@ -133,3 +133,24 @@ def test_purchases_are_searched_once(spark):
     assert [(r.status, r.order_line.InvoiceNo) for r in found.collect()] == [("matched", "1")]
     # the search for larger purchases reads what the first step kept, not the lines
     assert not set(lines.inputFiles()) & set(found.inputFiles())
+
+
+def test_lines_without_cancels_are_not_shuffled(spark):
+    """Only keys with a cancel (and keys whose hash falls together with one's) take part in the matching."""
+    rows = [line("1", quantity=8), line("C1", quantity=-5, day=2), line("9", customer=None), line("10", stock=None, quantity=-1)]
+    rows += [line(str(n), stock=f"B{n}", quantity=n + 1) for n in range(400)]
+    marks = {(r.CustomerID, r.StockCode): r.maybe for r in cancel.with_key_mark(frame(spark, rows)).collect()}
+    assert marks[(1, "A1")] and sum(marks.values()) < 10 and len(marks) == 403
+    kept = cancel.net_cancels(frame(spark, rows))
+    assert sorted((r.InvoiceNo, r.StockCode, r.QuantityCanceled) for r in kept.collect() if r.QuantityCanceled or r.CustomerID is None) == [
+        ("1", "A1", 5), ("9", "A1", 0)]
+    assert kept.count() == 403
+    stored = materialize(frame(spark, rows[:-1]), "lines")
+    plan = cancel.net_cancels(stored, materialize(cancel.match_cancels(stored), "matches"))._jdf.queryExecution().executedPlan().toString()
+    assert "Union" in plan.splitlines()[1]
+
+
+def test_equal_lines_without_cancels_are_refused(spark):
+    rows = [line("1"), line("C1", quantity=-1, day=1), line("5", stock="Z"), line("5", stock="Z")]
+    with pytest.raises(Exception, match="equal lines"):
+        cancel.net_cancels(frame(spark, rows)).collect()
