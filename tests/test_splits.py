@@ -94,3 +94,23 @@ def test_edge_cases(spark, tmp_path):
     two = spark.createDataFrame([(Vectors.dense([float(i)]), float(i > 4)) for i in range(9)], ["features", "label"])
     save_model(spark, fit_exact_tree(two), str(tmp_path))
     assert all(r.prediction == r.label for r in load_model(spark, str(tmp_path)).transform(two).collect())
+
+
+@pytest.mark.parametrize("impurity", ["gini", "entropy"])
+def test_small_nodes_are_grown_in_one_job(spark, impurity):
+    rows = [*made(200, 5), ((float("nan"), 1.0, 0.0, float("inf")), 2), ((math.inf, -math.inf, 0.0, 3.0), 1)]
+    train = spark.createDataFrame([(Vectors.dense(x), float(c)) for x, c in rows], ["features", "label"])
+    other = spark.createDataFrame([(i, Vectors.dense(x)) for i, (x, _) in enumerate([*made(300, 6), *rows])], ["i", "features"])
+
+    def placed(**kept):
+        fitted = fit_exact_tree(train, impurity, **kept)
+        return fitted.depth, sorted(zip(fitted.feature, fitted.threshold)), {r.i: r.prediction for r in fitted.transform(other).collect()}
+
+    levels = placed(most_values=0)  # all nodes are split by passes over the table
+    assert placed() == levels and placed(most_values=300) == levels
+    assert placed(depth=2) == placed(depth=2, most_values=0)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("tree", "jobs of one fit")
+    fit_exact_tree(train, impurity)
+    spark.sparkContext.setJobGroup("", "")
+    assert len(tracker.getJobIdsForGroup("tree")) < 30
