@@ -195,3 +195,16 @@ def test_samples_do_not_depend_on_partitions(spark):
     one = sampled(frame(spark, x), "features", 500, 100, 3)
     assert np.array_equal(one, sampled(frame(spark, x).repartition(7), "features", 500, 100, 3)) and 60 < len(one) < 140
     assert len(sampled(frame(spark, x), "features", 500, 500, 3)) == 500
+
+
+def test_ward_sweep_places_rows_once(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    table = frame(spark, np.concatenate([rng.normal(c, 1, (60, 3)) for c in (0, 6, 12)]))
+    fitted, calls = ward.fit_ward(table), []
+    kept = ward.Ward.placed
+    monkeypatch.setattr(ward.Ward, "placed", lambda self, *a, **k: calls.append(1) or kept(self, *a, **k))
+    sweep = {r.k: r for r in ward.ward_sweep(table, range(2, 6)).collect()}
+    assert len(calls) == 1
+    for k, r in sweep.items():
+        want = silhouette.mean_euclidean_silhouette(fitted.transform(table, k)).mean
+        assert r.silhouette == pytest.approx(want, abs=1e-12)
