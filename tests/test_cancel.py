@@ -154,3 +154,19 @@ def test_equal_lines_without_cancels_are_refused(spark):
     rows = [line("1"), line("C1", quantity=-1, day=1), line("5", stock="Z"), line("5", stock="Z")]
     with pytest.raises(Exception, match="equal lines"):
         cancel.net_cancels(frame(spark, rows)).collect()
+
+
+def test_cancels_are_joined_with_their_matches_once(spark):
+    rows = [line("1", quantity=8), line("2", quantity=9, day=0.5), line("C1", quantity=-5, day=2), line("C2", quantity=-6, day=3), line("C3", quantity=-50, day=4),
+            line("C4", stock="B", quantity=-1), line("C5", stock=None, quantity=-1), line("3", quantity=0, text="Discount"), line("C6", stock="E", text=None, quantity=0)]
+    lines = materialize(frame(spark, rows), "lines")
+    matches = materialize(cancel.match_cancels(lines), "matches")
+    kept = cancel.net_cancels(lines, matches)
+    assert sorted((r.InvoiceNo, r.QuantityCanceled) for r in kept.collect()) == [("1", 0), ("2", 6), ("3", 0), ("C3", 0), ("C5", 0)]
+    # neither the lines that stay nor the marks read the matches again, and no cancel is grouped with the purchases
+    assert not set(matches.inputFiles()) & set(kept.inputFiles())
+
+
+def test_equal_cancels_are_refused(spark):
+    with pytest.raises(Exception, match="equal lines"):
+        cancel.net_cancels(frame(spark, [line("1"), line("C1", quantity=-1, day=1), line("C1", quantity=-1, day=1)])).collect()
