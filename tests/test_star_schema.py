@@ -8,6 +8,7 @@ import pytest
 
 from tillroll.operators.lines import drop_without_customer
 from tillroll.plans.segments import clean_lines
+from tillroll.sources import invoices
 from tillroll.sources.invoices import from_star_schema
 
 ORDERS = [(1, 7), (2, 8), (3, None), (4, 7), (5, 99), (6, 7), (6, 8), (None, 7)]
@@ -60,3 +61,12 @@ def test_whole_lines_are_not_shuffled_to_clean_them(spark, folder):
     assert keys and not [k for k in keys if "Description" in k]
     # lines travel to their products and to their orders, and nowhere else
     assert sum("l_partkey" in k for k in keys) == 1 and sum("InvoiceNo" in k for k in keys) == 2
+
+
+def test_parts_of_cleaning_follow_the_lines(spark, folder, monkeypatch):
+    want = found(clean_lines(from_star_schema(spark, folder)))
+    monkeypatch.setattr(invoices, "LINES_PER_TASK", 1)
+    lines = clean_lines(from_star_schema(spark, folder))
+    assert found(lines) == want
+    # 11 lines, 4 shuffle partitions in this session
+    assert "InvoiceNo" in "".join(re.findall(r"hashpartitioning\((\S+), 11\)", lines._jdf.queryExecution().executedPlan().toString()))
