@@ -127,3 +127,10 @@ def test_no_text_is_lost_where_passages_meet_or_repeat_themselves(spark):
     assert left[6].strip() == "" and left[7].split() == ["z"]
     for r in substring.passages(table(spark, rows)).collect():
         assert r.n_words == len(dict(rows)[r.doc_id][:r.end].split()) - len(dict(rows)[r.doc_id][:r.start].split())
+
+
+def test_chunks_are_shuffled_once(spark):
+    rng = random.Random(7)
+    rows = [(i, prose(rng, 30)) for i in range(20)]
+    plan = substring.repeats(table(spark, rows))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan

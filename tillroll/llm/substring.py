@@ -7,9 +7,9 @@ repeats in a row are extended on both sides over the words that stand there too:
 chunks are longer than 16 bytes, so three chunks on either side hold all of it. Extended repeats that touch are one passage if they
 hold at least ``LEAST_WORDS`` words. The order of occurrences is id, text digest, place.
 
-First occurrences are found by an aggregation that every task begins for itself, and only digests that occur
-twice are joined back, so neither needs the occurrences of one digest together; the join can be split where a
-digest is frequent. Texts are read again only where a repeat or its first occurrence stands.
+All chunks are shuffled once, to the task of their digest, which finds the first occurrence and hands on the others. The occurrences
+of one digest so meet in one task, some 40 bytes each; they are sorted and held on disk where memory does not do. Texts are
+read again only where a repeat or its first occurrence stands.
 
 Defined cases: null counts as empty; texts shorter than a passage have none; rows equal in id and text are one document and
 don't repeat each other; a null id is the smallest; a passage found twice in one
@@ -37,56 +37,52 @@ BLANKS = frozenset(" \t\n\x0b\x0c\r")
 #: Chunks that a task hands over at a time.
 HANDOVER = 50_000
 
-EVERY = {"id": None, "twin": pa.int64(), "place": pa.int32(), "start": pa.int32(), "size": pa.int32(), "begun": pa.int32(),
-         "n_words": pa.int32(), "high": pa.int64(), "low": pa.int64()}
-BRIEF = ["id", "twin", "place", "high", "low"]
+EVERY = {"id": None, "twin": pa.int64(), "place": pa.int32(), "high": pa.int64(), "low": pa.int64()}
 
 
 def _white(body: np.ndarray) -> np.ndarray:
     return (body == 32) | ((body >= 9) & (body <= 13))
 
 
-def _chunks(names: list[str]):
-    """Rows of all chunks: start and size in code points, words begun before and inside."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            body, ends = utf8(batch.column("text"))
-            ids = batch.column("id")
-            twins = batch.column("twin").to_numpy()
-            held: list[tuple] = []
-            count = 0
-            for i in range(len(batch)):
-                data = body[ends[i]:ends[i + 1]]
-                if not len(data):
-                    continue
-                cut = peaks(data, WINDOW, AROUND, LONGEST)
-                raw = data.tobytes()
-                digests = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip([0, *cut[:-1].tolist()], cut.tolist())]),
-                                        np.int64).reshape(-1, 2)
-                points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-                inside = ~_white(data)
-                begun = np.concatenate(([0], np.cumsum(inside & np.concatenate(([True], ~inside[:-1])))))
-                starts = np.concatenate(([0], cut[:-1]))
-                held.append((np.full(len(cut), i), np.full(len(cut), twins[i]), np.arange(len(cut)), points[starts],
-                             points[cut] - points[starts], begun[starts], begun[cut] - begun[starts], digests[:, 0], digests[:, 1]))
-                count += len(cut)
-                if count >= HANDOVER:
-                    yield _handed(held, ids, names)
-                    held, count = [], 0
-            if held:
-                yield _handed(held, ids, names)
-
-    return run
-
-
-def _handed(held: list[tuple], ids: pa.Array, names: list[str]) -> pa.RecordBatch:
+def _counted(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points and begun words before each byte and the end."""
+    inside = ~_white(data)
+    begun = inside & np.concatenate(([True], ~inside[:-1]))
+    return np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80))), np.concatenate(([0], np.cumsum(begun)))
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of all chunks, by place; where they begin is counted for the ends of runs only, when the text is read again."""
+    for batch in batches:
+        body, ends = utf8(batch.column("text"))
+        ids = batch.column("id")
+        twins = batch.column("twin").to_numpy()
+        held: list[tuple] = []
+        count = 0
+        for i in range(len(batch)):
+            data = body[ends[i]:ends[i + 1]]
+            if not len(data):
+                continue
+            cut = peaks(data, WINDOW, AROUND, LONGEST)
+            raw = data.tobytes()
+            digests = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip([0, *cut[:-1].tolist()], cut.tolist())]),
+                                    np.int64).reshape(-1, 2)
+            held.append((np.full(len(cut), i), np.full(len(cut), twins[i]), np.arange(len(cut)), digests[:, 0], digests[:, 1]))
+            count += len(cut)
+            if count >= HANDOVER:
+                yield _handed(held, ids)
+                held, count = [], 0
+        if held:
+            yield _handed(held, ids)
+
+
+def _handed(held: list[tuple], ids: pa.Array) -> pa.RecordBatch:
     columns = dict(zip(EVERY, (np.concatenate(c) for c in zip(*held))))
-    return pa.RecordBatch.from_arrays([ids.take(pa.array(columns[n])) if n == "id" else pa.array(columns[n]).cast(EVERY[n]) for n in names], names)
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(c)) if n == "id" else pa.array(c).cast(EVERY[n]) for n, c in columns.items()], list(EVERY))
 
 
-def _schema(names: list[str], kind: str) -> str:
-    return ", ".join(f"{n} {kind if n == 'id' else 'long' if EVERY[n] == pa.int64() else 'int'}" for n in names)
+def _schema(kind: str) -> str:
+    return ", ".join(f"{n} {kind if n == 'id' else 'long' if t == pa.int64() else 'int'}" for n, t in EVERY.items())
 
 
 def _rows(docs: DataFrame, identity: str, text: str) -> DataFrame:
@@ -97,24 +93,24 @@ def _rows(docs: DataFrame, identity: str, text: str) -> DataFrame:
 def repeats(docs: DataFrame, identity: str = "doc_id", text: str = "text") -> DataFrame:
     """Chunks that are not the first occurrence of their digest, with the id, twin and place of the first."""
     rows = _rows(docs, identity, text)
-    kind = rows.schema["id"].dataType.simpleString()
-    brief = map_arrow(rows, _chunks(BRIEF), _schema(BRIEF, kind))
-    known = brief.groupBy("high", "low").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "twin", "place")).alias("first"))
-    known = stage(known.where(F.col("n") > 1).drop("n"), "substring-known")
-    found = map_arrow(rows, _chunks(list(EVERY)), _schema(list(EVERY), kind)).join(known, ["high", "low"])
+    found = map_arrow(rows, _chunks, _schema(rows.schema["id"].dataType.simpleString()))
     own = F.struct("id", "twin", "place")
-    return found.where(own > F.col("first")).select("id", "twin", "place", "start", "size", "begun", "n_words", "first")
+    found = found.withColumn("first", F.min(own).over(Window.partitionBy("high", "low")))
+    return found.where(own > F.col("first")).select("id", "twin", "place", "first")
 
 
 def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc, place, side, own, near): what stands before or after each chunk in ``ends`` (own: the end) and ``firsts`` (no own).
+    """Rows (doc, place, side, own, near, point, begun): what stands before or after each chunk in ``ends`` (own: the end) and ``firsts``
+    (no own), and the code points and begun words up to there.
 
     Text after a chunk begins with the chunk's last character; a line end stands for the start and the end of the text.
     """
     for batch in batches:
         for i in range(len(batch)):
             raw = batch.column("text")[i].as_py().encode()
-            cuts = np.concatenate(([0], peaks(np.frombuffer(raw, np.uint8), WINDOW, AROUND, LONGEST))).tolist()
+            data = np.frombuffer(raw, np.uint8)
+            points, begun = _counted(data)
+            cuts = np.concatenate(([0], peaks(data, WINDOW, AROUND, LONGEST))).tolist()
             own, firsts = batch.column("ends")[i].values, batch.column("firsts")[i].values
             places = own.field("place").to_pylist() + firsts.field("place").to_pylist()
             sides = own.field("side").to_pylist() + firsts.field("side").to_pylist()
@@ -127,9 +123,12 @@ def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     high = min(len(cuts) - 1, at + 1 + BESIDE)
                     near.append(raw[cuts[at]:cuts[at + 1]].decode()[-1] + raw[cuts[at + 1]:cuts[high]].decode()
                                 + ("\n" if high == len(cuts) - 1 else ""))
+            edges = [cuts[at if side == BEFORE else at + 1] for at, side in zip(places, sides)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc").take(pa.array(np.full(len(near), i))), pa.array(places, pa.int32()), pa.array(sides, pa.int32()),
-                 pa.concat_arrays([own, pa.nulls(len(firsts), own.type)]), pa.array(near, pa.string())], ["doc", "place", "side", "own", "near"])
+                 pa.concat_arrays([own, pa.nulls(len(firsts), own.type)]), pa.array(near, pa.string()),
+                 pa.array(points[edges], pa.int32()), pa.array(begun[edges], pa.int32())],
+                ["doc", "place", "side", "own", "near", "point", "begun"])
 
 
 def _shared(own: str, other: str, side: int) -> tuple[int, int]:
@@ -159,7 +158,7 @@ def _grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _extended(rows: DataFrame, runs: DataFrame) -> DataFrame:
     """Runs with the whole words on either side that stand beside the first occurrences too."""
     rows = rows.select(F.struct("id", "twin").alias("doc"), "text")  # equal as a key where the id is null, too
-    info = "start", "end", "begun", "until", "n_chunks", "first_id"
+    info = "n_chunks", "first_id"
     ends = runs.select(F.struct("id", "twin").alias("doc"), F.explode(F.array(*[
         F.struct(F.lit(side).alias("side"), F.col(f"{c}.place").alias("place"), F.struct(f"{c}.first.id", f"{c}.first.twin").alias("from_doc"),
                  F.col(f"{c}.first.place").alias("from_place"), "run", *info) for side, c in ((BEFORE, "head"), (AFTER, "tail"))])).alias("end"))
@@ -169,11 +168,11 @@ def _extended(rows: DataFrame, runs: DataFrame) -> DataFrame:
         F.collect_list("end").alias("ends"), F.collect_list("first").alias("firsts")).withColumnRenamed("doc", "who")
     read = rows.join(wanted, F.col("doc") == F.col("who")).select("doc", "text", "ends", "firsts")
     types = dict(read.dtypes)
-    near = map_arrow(read, _beside, f"doc {types['doc']}, place int, side int, own {types['ends'][6:-1]}, near string")
+    near = map_arrow(read, _beside, f"doc {types['doc']}, place int, side int, own {types['ends'][6:-1]}, near string, point int, begun int")
     near = stage(near, "substring-near")
     first = near.where("own IS NULL").groupBy("doc", "place", "side").agg(F.min("near").alias("other"))  # repeated rows give it again
     first = first.toDF("from_doc", "from_place", "side", "other")
-    own = near.where("own IS NOT NULL").select("doc", F.col("near").alias("own"), *[
+    own = near.where("own IS NOT NULL").select("doc", F.col("near").alias("own"), "point", "begun", *[
         F.col(f"own.{c}") for c in ("side", "place", "from_doc", "from_place", "run", *info)])
     both = own.join(first, ["from_doc", "from_place", "side"])
     # a repeat just after its first occurrence doesn't grow back into it
@@ -181,12 +180,13 @@ def _extended(rows: DataFrame, runs: DataFrame) -> DataFrame:
     both = both.withColumn("other", F.when(inside, F.lit("")).otherwise(F.col("other"))).withColumns(
         {"id": F.col("doc.id"), "twin": F.col("doc.twin")})
     types = dict(both.dtypes)
-    kept = ["id", "twin", "run", *info, "side", "own", "other"]
+    kept = ["id", "twin", "run", *info, "point", "begun", "side", "own", "other"]
     grown = map_arrow(both.select(*kept), _grown, ", ".join(f"{n} {types[n]}" for n in kept[:-2]) + ", chars int, more int")
-    at = lambda side, c: F.when(F.col("side") == side, F.col(c)).otherwise(0)
+    at = lambda side, value: F.when(F.col("side") == side, value)
+    point, words, chars, more = (F.col(c) for c in ("point", "begun", "chars", "more"))
     return grown.groupBy("id", "twin", "run").agg(
-        F.min(F.col("start") - at(BEFORE, "chars")).alias("start"), F.max(F.col("end") + at(AFTER, "chars")).alias("end"),
-        F.min(F.col("begun") - at(BEFORE, "more")).alias("begun"), F.max(F.col("until") + at(AFTER, "more")).alias("until"),
+        F.min(at(BEFORE, point - chars)).alias("start"), F.max(at(AFTER, point + chars)).alias("end"),
+        F.min(at(BEFORE, words - more)).alias("begun"), F.max(at(AFTER, words + more)).alias("until"),
         F.min("n_chunks").alias("n_chunks"), F.min("first_id").alias("first_id"))
 
 
@@ -196,15 +196,13 @@ def passages(docs: DataFrame, identity: str = "doc_id", text: str = "text", leas
     ``n_chunks`` counts whole repeated chunks; a first occurrence is that of a chunk, so parts of a passage may have several, and
     ``first_id`` is the smallest.
     """
-    single = repeats(docs, identity, text).groupBy("id", "twin", "place").agg(*[
-        F.min(c).alias(c) for c in ("start", "size", "begun", "n_words", "first")])
+    # dealt by text once, for its places and for its runs
+    single = repeats(docs, identity, text).repartition("id", "twin").groupBy("id", "twin", "place").agg(F.min("first").alias("first"))
     order = Window.partitionBy("id", "twin").orderBy("place")
     runs = single.withColumn("run", F.col("place") - F.row_number().over(order))
     end = F.struct("place", "first")
     runs = runs.groupBy("id", "twin", "run").agg(
-        F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("end"), F.min("begun").alias("begun"),
-        F.max(F.col("begun") + F.col("n_words")).alias("until"), F.count(F.lit(1)).alias("n_chunks"),
-        F.min("first.id").alias("first_id"), F.min(end).alias("head"), F.max(end).alias("tail"))
+        F.count(F.lit(1)).alias("n_chunks"), F.min("first.id").alias("first_id"), F.min(end).alias("head"), F.max(end).alias("tail"))
     grown = _extended(_rows(docs, identity, text), stage(runs, "substring-runs"))
     order = Window.partitionBy("id", "twin").orderBy("start", "end")
     reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
