@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.sql import types as T
+from pyspark.sql import functions as F, types as T
 
 from tillroll.functions.vectors import sampled
 from tillroll.operators import cluster, kmeans, silhouette, ward
@@ -208,3 +208,46 @@ def test_ward_sweep_places_rows_once(spark, monkeypatch):
     for k, r in sweep.items():
         want = silhouette.mean_euclidean_silhouette(fitted.transform(table, k)).mean
         assert r.silhouette == pytest.approx(want, abs=1e-12)
+
+
+def test_sweeps_take_the_silhouettes_of_all_rows(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (10_600, 2)) + rng.integers(0, 2, (10_600, 1)) * 3.0
+    table = frame(spark, x).drop("cluster").repartition(5).persist()
+    found = {r.k: r.silhouette for r in cluster.kmeans_sweep(table, [2, 3], 2).collect()}
+    for k in (2, 3):
+        model = cluster.fit_kmeans(table, k, 2)
+        labels = ((x[:, None] - np.array(model.clusterCenters())[None]) ** 2).sum(-1).argmin(1)
+        sizes, total = np.bincount(labels, minlength=k), 0.0
+        for start in range(0, len(x), 500):
+            apart, rows = np.sqrt(((x[start:start + 500, None] - x[None]) ** 2).sum(-1)), np.arange(len(x[start:start + 500]))
+            sums, own = np.stack([apart[:, labels == c].sum(1) for c in range(k)], 1), labels[start:start + 500]
+            a, others = sums[rows, own] / (sizes[own] - 1), sums / sizes
+            others[rows, own] = np.inf
+            total += ((others.min(1) - a) / np.maximum(a, others.min(1))).sum()
+        assert found[k] == pytest.approx(total / len(x), abs=1e-9)
+        assert cluster.fit_until_separated(table, k, 2)[1] == pytest.approx(found[k], abs=1e-12)
+
+
+def test_whole_silhouettes_equal_sampled_ones_of_a_small_table(spark, points, monkeypatch):
+    x, labels = points
+    labels, x = np.append(labels, 7), np.vstack((x, [[30.0] * 4]))  # a lone row
+    table = frame(spark, x, labels).repartition(3).withColumn("one", F.lit(0))
+    monkeypatch.setattr(silhouette, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(silhouette, "READ", 3000)
+    assert silhouette.whole_means(table, ["cluster", "one"]) == pytest.approx([plain_silhouettes(x, labels).mean(), 0.0], abs=1e-7)
+    assert silhouette.whole_means(table.limit(0), ["cluster"]) == [0.0]
+
+
+def test_starts_are_drawn_from_all_rows(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(c, 1, (100, 3)) for c in (0, 8, 20)] + [np.ones((40, 3))])
+    table = frame(spark, x).withColumn("id", F.when(F.col("id") < 300, F.col("id"))).repartition(3)  # the last rows are equal
+    whole, _ = kmeans.start_runs(table, [2, 6], 8, 1, "features")
+    monkeypatch.setattr(kmeans, "BLOCK", 120)
+    found, _ = kmeans.start_runs(table, [2, 6], 8, 1, "features")
+    assert kmeans._blocks(table, "features", len(x), 1)[1] == 9
+    for a, b in zip(whole, found):
+        assert (a.k, a.seed) == (b.k, b.seed) and np.array_equal(a.centers, b.centers) and len(a.centers) == a.k
+    few = frame(spark, np.ones((50, 3))).repartition(3)
+    assert all((r.centers == 1).all() and len(r.centers) == 4 for r in kmeans.start_runs(few, [4], 2, 1, "features")[0])
