@@ -3,6 +3,7 @@
 import glob
 from functools import partial
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from parity.tables import tables
@@ -48,6 +49,14 @@ def test_rows_for_fitting_are_bounded(spark, small):
     assert bounded(t.labelled, 10**6).count() == t.labelled.count()
 
 
+def test_classifiers_learn_from_all_rows(spark):
+    table = spark.range(50_200).select(F.col("id").alias("CustomerID"), (F.col("id") >= 50_100).cast("double").alias("label"),
+                                       array_to_vector(F.array(F.col("id") / 1000.0, F.lit(1.0))).alias("features"))
+    train, test = period.learning_sets(materialize(table, "many"))
+    real = train.where("NOT synthetic").select("label").unionByName(test.select("label"))
+    assert {r.label: r["count"] for r in real.groupBy("label").count().collect()} == {0.0: 50_100, 1.0: 100}
+
+
 def test_stages_are_removed_after_a_scope(spark, tmp_path):
     with stages(spark) as folder:
         assert materialize(spark.range(5), "x").count() == 5
