@@ -251,3 +251,27 @@ def test_starts_are_drawn_from_all_rows(spark, monkeypatch):
         assert (a.k, a.seed) == (b.k, b.seed) and np.array_equal(a.centers, b.centers) and len(a.centers) == a.k
     few = frame(spark, np.ones((50, 3))).repartition(3)
     assert all((r.centers == 1).all() and len(r.centers) == 4 for r in kmeans.start_runs(few, [4], 2, 1, "features")[0])
+
+
+def test_ward_of_many_rows_is_exact(spark, monkeypatch):
+    """Rounds over blocks give the merges and clusters of the plain ones; no representative stands for other rows."""
+    rng = np.random.default_rng(12)
+    x = np.concatenate([rng.normal(c, 1, (50, 3)) for c in (0, 4, 9)] + [[[60.0, 0, 0], [75.0, 0, 0]]])
+    x = x[np.lexsort(x.T[::-1])]
+    twice = frame(spark, np.concatenate((x, x[:30]))).drop("cluster").repartition(3).persist()
+    exact = ward.fit_ward(twice)
+    assert isinstance(exact, ward.Ward)
+    monkeypatch.setattr(ward, "MOST_LEAVES", 20)
+    monkeypatch.setattr(ward, "LAST_SETS", 50)
+    monkeypatch.setattr(ward, "BLOCK_ROWS", 40)
+    found = ward.fit_ward(twice)
+    assert len(found.rounds) > 1 and found.n == len(x)
+    got, want = (f.linkage(spark).orderBy("step").collect() for f in (found, exact))
+    assert [r[:3] for r in got] == [r[:3] for r in want] and [r.rows for r in got] == [r.rows for r in want]
+    assert np.allclose([r.height for r in got], [r.height for r in want])
+    for k in (1, 3, 60):
+        a, b = (sorted((r.id, r.cluster) for r in f.transform(twice, k).collect()) for f in (found, exact))
+        assert a == b and found.height(k) == pytest.approx(exact.height(k))
+    assert found.spread() == pytest.approx(exact.spread())
+    with pytest.raises(ValueError):
+        found.labels(len(x) + 1)
