@@ -111,6 +111,31 @@ def test_boosted_stumps_survive_storage(spark, blobs, tmp_path):
     assert classify.BoostedStumps.load(spark, str(tmp_path / "m")) == model
 
 
+def test_boosting_equals_a_plain_one_and_shuffles_nothing(spark):
+    rng = np.random.default_rng(2)
+    x = np.round(rng.normal(0, 2, (600, 3)), 1)
+    y = ((x[:, 0] + x[:, 1] > 1).astype(int) + (x[:, 2] > 0.5) * 2) * 3  # classes 0, 3, 6, 9
+    table = spark.createDataFrame([(float(c), Vectors.dense(r)) for r, c in zip(x.tolist(), y)], ["label", "features"]).repartition(3)
+    model = classify.fit_adaboost(table, rounds=12)
+    weight, classes = np.ones(len(x)), model.classes
+    assert classes == [0, 3, 6, 9] and len(model.stumps) == 12
+    for stump in model.stumps:
+        said = np.where(x[:, stump.feature] <= stump.threshold, stump.left, stump.right)
+        error = weight[said != y].sum() / weight.sum()
+        assert stump.weight == pytest.approx(np.log((1 - error) / error) + np.log(3))
+        sides = [x[:, stump.feature] <= stump.threshold, x[:, stump.feature] > stump.threshold]
+        for side, own in zip(sides, (stump.left, stump.right)):
+            sums = [weight[side & (y == c)].sum() for c in classes]
+            assert sums[classes.index(own)] == pytest.approx(max(sums))
+        weight = weight * np.exp(np.where(said != y, stump.weight, 0.0))
+    edges = [[-1.0, 0.0, 1.0], [0.5], []]
+    bins = table.select(F.col("label").cast("int").alias("label"), F.array(F.lit(2), F.lit(1), F.lit(0)).alias("bins"))
+    cells = {(c.feature, c.bin, c.label): c.weight for c in classify._cells(bins, classes, edges, [classify.Stump(0, 0.0, 3, 6, 2.0)])}
+    for j, i in ((0, 2), (1, 1), (2, 0)):  # all rows lie right of the stump, which says 6
+        assert [cells[j, i, c] for c in classes] == pytest.approx([(y == c).sum() * (1 if c == 6 else np.exp(2)) for c in classes])
+    assert cells[0, 0, 0] == cells[1, 0, 9] == 0
+
+
 def test_components_are_centred(spark, blobs):
     parts = features.fit_components(blobs)
     x = np.array([r.pca.toArray() for r in parts.transform(blobs).collect()])
